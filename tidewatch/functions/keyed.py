@@ -70,6 +70,15 @@ def oldest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Columns of several one-row aggregates in one row: a union and a final aggregate, no cross join."""
+    names = [c for frame in one_row for c in frame.columns]
+    stacked = one_row[0]
+    for frame in one_row[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in names])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives executor loss.
 

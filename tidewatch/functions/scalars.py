@@ -111,9 +111,9 @@ def parse_time(value: Column) -> Column:
 
 
 def sanitize_field(text: Column, limit: int = 500) -> Column:
-    """Control characters out, over-long values cut and marked."""
-    clean = F.regexp_replace(text, CONTROL_CHARS, "")
-    return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit), F.lit("...[truncated]"))).otherwise(clean)
+    """ASCII control characters out, over-long values cut and marked."""
+    clean = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit), F.lit(" [truncated]"))).otherwise(clean)
 
 
 def sha256_from_hash_list(hashes: Column) -> Column:
