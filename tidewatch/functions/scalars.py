@@ -64,14 +64,12 @@ def truncate_utf8(text: Column, limit: int = MAX_TEXT_BYTES) -> Column:
         F.decode(raw.substr(F.lit(1), cut), "UTF-8"))
 
 
-@F.pandas_udf("string")
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
-
-
 def compose_unicode(text: Column) -> Column:
     """NFC form; only non-ASCII values travel to Python, the rest pass as nulls."""
-    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+    def nfc(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+    return F.coalesce(F.pandas_udf(nfc, "string")(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 def decoded_base64(text: Column) -> Column:
