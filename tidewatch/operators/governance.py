@@ -90,7 +90,7 @@ def decide_actions(actions: DataFrame, min_confidence: float = 0.85, rate_limit:
                 if ok:
                     passed.append(t)
                 allowed.append(ok)
-            yield pd.DataFrame({"action_id": batch["action_id"], "allowed": allowed})
+            yield pd.DataFrame({"action_id": pd.Series(batch["action_id"].tolist(), dtype=object), "allowed": allowed})
 
     ordered = runs.select("action_id", "scope", "run", micros.alias("t")).repartition("scope", "run").sortWithinPartitions("scope", "run", "t", "action_id")
     judged = ordered.mapInPandas(stream, "action_id string, allowed boolean")

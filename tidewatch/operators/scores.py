@@ -154,10 +154,9 @@ def score_anomalies(events: DataFrame, window: int = 50, trees: int = 25, height
 
     def one_window(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf[pdf["scored"]]
-        if mine.empty:
-            return pd.DataFrame({"event_id": [], "subnet": [], "process": [], "anomaly_score": []})
         values = score(mine[columns].to_numpy(), pdf.loc[~pdf["scored"], columns].to_numpy())
-        return pd.DataFrame({"event_id": mine["event_id"], "subnet": mine["subnet"], "process": mine["process"], "anomaly_score": values})
+        text = {c: pd.Series(mine[c].tolist(), dtype=object) for c in ("event_id", "subnet", "process")}
+        return pd.DataFrame({**text, "anomaly_score": values})
 
     later = pieces.groupBy("subnet", "process", "w").applyInPandas(one_window, "event_id string, subnet string, process string, anomaly_score double")
     return early.unionByName(later)
