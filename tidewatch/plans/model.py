@@ -10,7 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.scalars import canonical_severity
-from tidewatch.schema import conform
+from tidewatch.schema import EVENT_SCHEMA
 
 K_SPARK = "cast(get_json_object(props, '$.k') as int)"
 K_DUCK = "cast(json_extract_string(props, '$.k') as int)"
@@ -127,8 +127,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a sensor would deliver them: severity spelled with aliases."""
     base = table(spark, sf, "events").withColumn("k", F.expr(K_SPARK))
-    cells = [F.expr(text).alias(name) for name, text in EVENT_EXPRESSIONS.items()]
-    return conform(base.select(*cells))
+    return base.selectExpr(*[f"cast({EVENT_EXPRESSIONS.get(f.name, 'null')} as {f.dataType.simpleString()}) AS {f.name}" for f in EVENT_SCHEMA.fields])
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

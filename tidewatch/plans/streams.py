@@ -97,7 +97,7 @@ def str7(spark, sf):
     return J.run_to_table(J.suppress(stream, "60 days"), folder + "/out", folder + "/cp").select("rule_id", "entity_key")
 
 
-@query("str8_heartbeats", with_ne("SELECT source_type, CAST(epoch_ms(max(timestamp)) AS BIGINT) AS last_seen_ms, 'connected' AS status FROM ne GROUP BY 1"))
+@query("str8_heartbeats", with_ne("SELECT source_type, epoch_us(max(timestamp)) // 1000 AS last_seen_ms, 'connected' AS status FROM ne GROUP BY 1"))
 def str8(spark, sf):
     stream, folder = landed(spark, sf)
     return J.run_to_table(J.stream_heartbeats(stream), folder + "/out", folder + "/cp", mode="update").filter("status = 'connected'").drop("batch_id")

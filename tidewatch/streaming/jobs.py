@@ -143,7 +143,7 @@ def stream_beacons(events: DataFrame, min_intervals: int = 19, max_cv: float = 0
 
 def stream_heartbeats(events: DataFrame, offline_after_ms: int = 300_000, delay: str = "1 minute") -> DataFrame:
     """``connected`` with the newest event time when a source sends, ``offline`` when event time moves on without it."""
-    beats = events.filter("source_type IS NOT NULL").withWatermark("timestamp", delay).select("source_type", "timestamp")
+    beats = events.filter("source_type IS NOT NULL").withWatermark("timestamp", delay).select("source_type", "timestamp", F.unix_millis("timestamp").alias("ms"))
 
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def row(seen: int, status: str) -> pd.DataFrame:
@@ -153,7 +153,7 @@ def stream_heartbeats(events: DataFrame, offline_after_ms: int = 300_000, delay:
             state.remove()
             yield row(seen, "offline")
             return
-        newest = max(int(pdf["timestamp"].max().value // 1_000_000) if hasattr(pdf["timestamp"].max(), "value") else 0 for pdf in batches)
+        newest = max(int(pdf["ms"].max()) for pdf in batches)
         seen = max(newest, state.get[0] if state.exists else 0)
         state.update((seen,))
         state.setTimeoutTimestamp(max(seen + offline_after_ms, state.getCurrentWatermarkMs() + 1))
