@@ -8,7 +8,9 @@ from tidewatch.plans.model import events, query, raw_events, table, with_ne
 from tidewatch.sources import feeds as X, logs as L, records as R, sensor as Z
 from tidewatch.sources.sinks import scratch_folder
 
-ISO = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+def iso():
+    return F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
 
 
 def as_json(df, *columns, **renamed):
@@ -19,7 +21,7 @@ def as_json(df, *columns, **renamed):
 # ---- generic records ---------------------------------------------------------------------------------
 
 def json_lines(spark, sf):
-    good = as_json(events(spark, sf), **{"@timestamp": ISO, "Host": F.col("hostname"), "user.name": F.col("username"), "Image": F.col("process_name"), "PID": F.col("process_id"),
+    good = as_json(events(spark, sf), **{"@timestamp": iso(), "Host": F.col("hostname"), "user.name": F.col("username"), "Image": F.col("process_name"), "PID": F.col("process_id"),
                                          "cmd": F.col("command_line"), "dest_ip": F.col("dst_ip"), "DestinationPort": F.col("dst_port"), "hashes": F.col("file_hash_sha256"),
                                          "action": F.col("event_type"), "level": F.upper("severity"), "tags": F.split("tags", ",")}).select("value")
     bad = events(spark, sf).filter("process_id % 9 = 0").select(F.concat(F.lit('{"broken": '), "event_id").alias("value"))
@@ -51,7 +53,7 @@ def src1b(spark, sf):
 @query("src2_csv", with_ne("SELECT timestamp, hostname, process_name, process_id, dst_port, event_type FROM ne"))
 def src2(spark, sf):
     folder = scratch_folder(spark) + "/csv"
-    events(spark, sf).select(ISO.alias("EventTime"), F.col("hostname").alias("ComputerName"), F.col("process_name").alias("NewProcessName"), F.col("process_id").alias("NewProcessId"),
+    events(spark, sf).select(iso().alias("EventTime"), F.col("hostname").alias("ComputerName"), F.col("process_name").alias("NewProcessName"), F.col("process_id").alias("NewProcessId"),
                              F.col("dst_port").alias("destination_port"), F.col("event_type").alias("Category")).write.option("header", True).csv(folder)
     return R.records_to_events(R.read_csv_records(spark, folder), "csv").select("timestamp", "hostname", "process_name", "process_id", "dst_port", "event_type")
 
@@ -137,7 +139,7 @@ def src6(spark, sf):
                               item("DestinationPort", "dst_port"), item("Hashes", "file_hash_sha256")).alias("Data"))
     flat = F.struct(F.col("username").alias("User"), F.col("process_name").alias("Image"), F.col("process_id").cast("string").alias("ProcessId"), F.col("command_line").alias("CommandLine"),
                     F.col("dst_port").cast("string").alias("DestinationPort"), F.col("file_hash_sha256").alias("Hashes"))
-    system = F.struct(F.struct(ISO.alias("@SystemTime")).alias("TimeCreated"), F.struct(number.cast("string").alias("#text")).alias("EventID"), channel.alias("Channel"),
+    system = F.struct(F.struct(iso().alias("@SystemTime")).alias("TimeCreated"), F.struct(number.cast("string").alias("#text")).alias("EventID"), channel.alias("Channel"),
                       F.col("hostname").alias("Computer"))
     data = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(system.alias("System"), listed.alias("EventData")).alias("Event")))) \
             .otherwise(F.to_json(F.struct(system.alias("System"), flat.alias("EventData"))))
@@ -189,7 +191,7 @@ def sensor_docs(spark, sf):
              smtp=s(**{"from": F.col("username"), "to": F.array("hostname"), "subject": F.col("command_line")}), tunnel=s(type=F.lit("Teredo")), pe=s(is_packed=k % 2 == 0, compile_ts=F.lit("c1")))
     nested = n % 2 == 0
     body = s(**{
-        "doc_id": F.col("event_id"), "doc_kind": kind, "@timestamp": ISO, "source": F.when(nested, s(ip=src, port=F.col("src_port"), bytes=k)), "destination": F.when(nested, s(ip=F.col("dst_ip"), port=F.col("dst_port"), domain=F.col("domain"), bytes=k * 2)),
+        "doc_id": F.col("event_id"), "doc_kind": kind, "@timestamp": iso(), "source": F.when(nested, s(ip=src, port=F.col("src_port"), bytes=k)), "destination": F.when(nested, s(ip=F.col("dst_ip"), port=F.col("dst_port"), domain=F.col("domain"), bytes=k * 2)),
         "src_ip": F.when(~nested, src), "dst_ip": F.when(~nested, F.col("dst_ip")), "observer": s(hostname=F.col("hostname")), "host": s(name=F.lit("h1")), "network": s(transport=F.lit("TCP"), duration=k * 1.5),
         "event": s(severity=F.when(k % 3 == 0, "High"), action=F.lit("act")), "rule": s(name=text), "zeek": F.when(nested, zeek), "zeek.weird.name": F.when(~nested, text), "zeek.conn.state": F.when(~nested, F.lit("S0")),
         "zeek.kerberos.client": F.when(~nested, F.col("username")), "tls": s(version=F.lit("1.3"), sni=F.col("domain"), established=k % 2 == 0, ja3=s(hash=F.lit("j3"))),
@@ -260,7 +262,7 @@ _sensor_query("src9_protocol_documents", KINDS[6:])
 @query("src10_dataset_rows", with_ne("""SELECT timestamp, src_ip AS hostname, username, process_name, event_type, dst_ip,
   CASE WHEN value_level = 'CRIT' THEN 'critical' WHEN value_level = 'warn' THEN 'medium' WHEN value_level = 'high' THEN 'high' ELSE 'low' END AS severity FROM (SELECT *, severity_raw AS value_level FROM ne)"""))
 def src10(spark, sf):
-    rows = raw_events(spark, sf).select(ISO.alias("Timestamp"), F.col("src_ip").alias("Source IP"), F.col("dst_ip").alias("Destination IP"), F.col("username").alias("User"),
+    rows = raw_events(spark, sf).select(iso().alias("Timestamp"), F.col("src_ip").alias("Source IP"), F.col("dst_ip").alias("Destination IP"), F.col("username").alias("User"),
                                         F.col("process_name").alias("Process"), F.col("event_type").alias("Event Type"), F.col("severity").alias("Severity"))
     return R.dataset_rows_to_events(rows).select("timestamp", "hostname", "username", "process_name", "event_type", "dst_ip", "severity")
 

@@ -37,8 +37,11 @@ def new_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def append_events(events: DataFrame, folder: str) -> None:
-    """Append by day; rows sorted by time inside files so min/max statistics prune."""
-    events.withColumn("event_date", F.to_date("timestamp")).repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(32))) \
+    """Append by day, rows sorted by time inside files so min/max statistics prune.
+
+    The rebalance hint lets adaptive execution split a hot day over many tasks and keep quiet days in one file.
+    """
+    events.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date") \
           .sortWithinPartitions("event_date", "timestamp").write.mode("append").partitionBy("event_date").parquet(folder)
 
 
