@@ -107,25 +107,25 @@ def mass_scorer(feature: np.ndarray, split: np.ndarray, window: int):
     """``score(rows, reference rows)``: 1 is most anomalous. Mass of the reference along a row's path, deeper counts more,
     down to the first node with less than a tenth of a window."""
     trees, inner = feature.shape
-    height = int(np.log2(inner + 1))
+    height, size, tree = int(np.log2(inner + 1)), 2 * inner + 1, np.arange(trees)
 
-    def walk(x: np.ndarray, t: int) -> list[np.ndarray]:
-        node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    def walk(x: np.ndarray) -> list[np.ndarray]:
+        """Node of every (row, tree) at each depth, all trees at once."""
+        node = np.zeros((len(x), trees), dtype=np.int64)
         path = [node]
         for _ in range(height):
-            node = 2 * node + 1 + (x[rows, feature[t, node]] >= split[t, node])
+            value = np.take_along_axis(x, feature[tree, node], axis=1)
+            node = 2 * node + 1 + (value >= split[tree, node])
             path.append(node)
         return path
 
     def score(x: np.ndarray, reference: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for t in range(trees):
-            mass = np.bincount(np.concatenate(walk(reference, t)), minlength=2 * inner + 1)
-            live = np.ones(len(x), dtype=bool)
-            for depth, node in enumerate(walk(x, t)):
-                m = mass[node]
-                total += np.where(live, m * 2.0 ** depth, 0.0)
-                live &= m >= 0.1 * window
+        mass = np.bincount(np.concatenate([(tree * size + n).ravel() for n in walk(reference)]), minlength=trees * size)
+        total, live = np.zeros(len(x)), np.ones((len(x), trees), dtype=bool)
+        for depth, node in enumerate(walk(x)):
+            m = mass[tree * size + node]
+            total += np.where(live, m, 0).sum(axis=1) * 2.0 ** depth
+            live &= m >= 0.1 * window
         return np.clip(1.0 - total / (trees * window * (2 ** (height + 1) - 1)), 0.0, 1.0)
 
     return score

@@ -9,6 +9,7 @@ from tidewatch.plans.clustering import HOURLY, hourly
 from tidewatch.plans.graphs import GRAPH
 from tidewatch.plans.model import AS_OF, events, query, table, with_ne
 from tidewatch.schema import ATTACK_TACTICS, PRIORITY_TECHNIQUES
+from tidewatch.sources.sinks import scratch_folder
 
 # ---- indicators --------------------------------------------------------------------------------------
 
@@ -134,6 +135,17 @@ def ti8(spark, sf):
     return enriched(spark, sf).select("ip", "conn_total", "country", "country_iso", "city", "asn", "lat", "ip_type", "ipsum_tier", "is_tor")
 
 
+@query("ti9_blocklist_refresh", "SELECT '7.7.7.' || s_suppkey AS ip, CAST(s_suppkey % 9 AS INT) AS tier, '2024-01-30' AS fetched_on FROM supplier")
+def ti9(spark, sf):
+    """Replaced twice and once with an empty download, which must not wipe the list."""
+    folder = scratch_folder(spark) + "/ipsum"
+    fresh = table(spark, sf, "supplier").selectExpr("concat('7.7.7.', s_suppkey) AS ip", "cast(s_suppkey % 9 as int) AS tier")
+    I.refresh_blocklist(fresh.withColumn("tier", F.lit(0)), folder, "2024-01-30")
+    I.refresh_blocklist(fresh, folder, "2024-01-30")
+    I.refresh_blocklist(fresh.limit(0), folder, "2024-01-30")
+    return spark.read.parquet(folder).select("ip", "tier", F.col("fetched_on").cast("string"))
+
+
 @query("ti10_top_flows", with_ne("SELECT *, 'outbound' AS direction FROM flows", FLOWS))
 def ti10(spark, sf):
     return flows(spark, sf)

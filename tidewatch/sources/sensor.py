@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.scalars import MAX_TEXT_BYTES, parse_time
-from tidewatch.schema import conform
+from tidewatch.schema import EVENT_SCHEMA, conform
 from tidewatch.sources.logs import parse_once
 from tidewatch.sources.records import event_key, register_source
 
@@ -111,17 +111,17 @@ def _schema() -> T.StructType:
     return top
 
 
-def _at(path: str) -> Column:
-    col = F.col("d")
-    if path.startswith("="):
-        return col.getField(path[1:])
-    for part in path.split("."):
-        col = col.getField(part)
-    return col
+def _at(path: str) -> str:
+    return f"d.`{path[1:]}`" if path.startswith("=") else f"d.{path}"
 
 
-def _first(paths: list[str]) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(_at(p)), F.lit("")) for p in paths])
+def _first(paths: list[str]) -> str:
+    """First non-empty of the paths, as expression text (hundreds of small Column calls would slow planning down)."""
+    return "coalesce(" + ", ".join(f"nullif(trim({_at(p)}), '')" for p in paths) + ")"
+
+
+def _kinds(names: list[str]) -> str:
+    return "kind in (" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
 def sensor_events(docs: DataFrame, ingested_at: Column | None = None) -> DataFrame:
@@ -134,30 +134,23 @@ def sensor_events(docs: DataFrame, ingested_at: Column | None = None) -> DataFra
         for column, paths in columns.items():
             wanted.setdefault(column, {})[name] = paths
 
-    def by_kind(per: dict[str, list[str]], default: Column | None = None) -> Column:
+    def by_kind(per: dict[str, list[str]]) -> str:
         """CASE over kinds; kinds that share paths share a branch."""
         groups: dict[tuple, list[str]] = {}
         for name, paths in per.items():
             groups.setdefault(tuple(paths), []).append(name)
-        out = None
-        for paths, names in groups.items():
-            out = F.when(kind.isin(names), _first(list(paths))) if out is None else out.when(kind.isin(names), _first(list(paths)))
-        return out if default is None else out.otherwise(default)
+        return "case " + " ".join(f"when {_kinds(names)} then {_first(list(paths))}" for paths, names in groups.items()) + " end"
 
     picked = {c: by_kind(per) for c, per in wanted.items()}
-    rest = {n: SRC for n in PATHS if n not in SOURCE_PATHS}
-    picked["src_ip"] = by_kind({**rest, **SOURCE_PATHS})
+    picked["src_ip"] = by_kind({**{n: SRC for n in PATHS if n not in SOURCE_PATHS}, **SOURCE_PATHS})
     picked["dst_ip"] = by_kind({**{n: DST for n in PATHS if n not in TARGET_PATHS}, **TARGET_PATHS})
-    rows = known.select("kind", "value", _first(["=@timestamp"]).alias("_t"), _first(SENSOR_HOST).alias("_sensor"), *[c.alias(n) for n, c in picked.items()])
+    rows = known.selectExpr("kind", "value", f"{_first(['=@timestamp'])} AS _t", f"{_first(SENSOR_HOST)} AS _sensor", *[f"{text} AS {n}" for n, text in picked.items()])
 
     def fixed(index: int) -> Column:
         groups: dict[str, list[str]] = {}
         for name, spec in PATHS.items():
             groups.setdefault(spec[index], []).append(name)
-        out = None
-        for value, names in groups.items():
-            out = F.when(kind.isin(names), value) if out is None else out.when(kind.isin(names), value)
-        return out
+        return F.expr("case " + " ".join(f"when {_kinds(names)} then '{value}'" for value, names in groups.items()) + " end")
 
     second, is_kind = F.col("_second"), lambda *names: kind.isin(*names)
     slash = lambda c: F.when(second.isNotNull() & F.col(c).isNotNull(), F.concat(c, F.lit("/"), "_second"))
@@ -182,7 +175,7 @@ def sensor_events(docs: DataFrame, ingested_at: Column | None = None) -> DataFra
         "http_resp_mime_type": F.coalesce(F.get_json_object("http_resp_mime_type", "$[0]"), "http_resp_mime_type"),
         "raw_event": F.substring("value", 1, MAX_TEXT_BYTES),
     }).filter(F.col("src_ip").isNotNull() | kind.isin(NEVER_DROPPED))
-    numbers = {f.name: f.dataType for f in conform(docs.limit(0)).schema.fields if not isinstance(f.dataType, (T.StringType, T.TimestampType))}
+    numbers = {f.name: f.dataType for f in EVENT_SCHEMA.fields if not isinstance(f.dataType, (T.StringType, T.TimestampType))}
     present = [c for c in numbers if c in out.columns]
     return conform(out.withColumns({c: F.col(c).try_cast(numbers[c]) for c in present}))
 
