@@ -151,7 +151,7 @@ def nearest_rank(values: DataFrame, column: str, percents: list[float], buckets:
         lo, hi = low, high
         scope = values
         while lo < hi:
-            step = (hi - lo) / buckets
+            step = (hi - lo) / buckets or hi - lo  # a range too small to divide is one bucket per end
             slot = F.least(F.floor((F.col(column) - lo) / step), F.lit(buckets - 1))
             rows = scope.groupBy(slot.alias("s")).agg(F.count(column).alias("c"), F.min(column).alias("a"), F.max(column).alias("b")).collect()
             for r in sorted(rows, key=lambda x: x["s"]):

@@ -43,7 +43,7 @@ def src1(spark, sf):
 @query("src1_json_arrays", with_ne("SELECT hostname, dst_ip, event_type FROM ne"))
 def src1b(spark, sf):
     folder = scratch_folder(spark) + "/arrays"
-    rows = as_json(events(spark, sf), "hostname", "dst_ip", "event_type").withColumn("file", F.substring("event_id", -2, 2))
+    rows = as_json(events(spark, sf), "hostname", "dst_ip", "event_type").withColumn("file", F.floor(F.col("event_id").cast("bigint") / 100))  # about a hundred records per array
     rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value").repartition(20).write.text(folder)
     listed = spark.read.text(folder)  # several arrays per part file, so they are read by line here
     rows = listed.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("fields")).select("fields", F.to_json("fields").alias("raw"), F.lit("arrays").alias("source_file"))

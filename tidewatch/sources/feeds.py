@@ -1,7 +1,7 @@
 """Threat feeds, blocklists, technique catalogs and external scanner findings."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.functions.scalars import stable_id
 from tidewatch.schema import lookup
@@ -153,8 +153,9 @@ def technique_documents(objects: DataFrame, min_description: int = 50, max_chars
     seen = _first_n(rel.filter((F.col("relationship_type") == "uses") & (F.coalesce("description", F.lit("")) != ""))
                     .select("target_ref", "id", F.substring(_clean(F.col("description")), 1, 400).alias("text")), procedures).withColumnRenamed("texts", "seen")
     names = objects.select(F.col("id").alias("source_ref"), F.col("name").alias("text"))
-    fixes = rel.filter(F.col("relationship_type") == "mitigates").join(names, "source_ref").filter("text <> ''").groupBy("target_ref") \
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]).alias("fixes"))
+    named = rel.filter(F.col("relationship_type") == "mitigates").join(names, "source_ref").filter("text <> ''").select("target_ref", "id", "text")
+    # A text of max_chars cannot show more than max_chars names, so this bound never changes the document.
+    fixes = _first_n(named, max_chars).withColumnRenamed("texts", "fixes")
     t = objects.filter((F.col("type") == "attack-pattern") & _not("revoked") & _not("x_mitre_deprecated")).select(
         "id", _catalog_id().alias("tid"), "name", _clean(F.col("description")).alias("body"), _clean(F.col("x_mitre_detection")).alias("advice"),
         F.coalesce(F.nullif(F.array_join(F.transform("kill_chain_phases", lambda p: p["phase_name"]), ", "), F.lit("")), F.lit("Unknown")).alias("tactics"),
@@ -171,7 +172,6 @@ def technique_documents(objects: DataFrame, min_description: int = 50, max_chars
 
 def _first_n(rows: DataFrame, n: int) -> DataFrame:
     """First n texts per target by id; the limit is applied before the shuffle as well as after it."""
-    from pyspark.sql import Window
     order = Window.partitionBy("target_ref").orderBy("id")
     top = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n)
     return top.groupBy("target_ref").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("texts"))
