@@ -23,6 +23,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 CHUNK = 1 << 14                # characters of text handled at a time
 MEMO = 1 << 19                 # words whose ids a worker remembers
+PAIRS = 1 << 19                # neighbouring tokens that it remembers
 MEMO_WORD = 48
 # The pattern that splits text before the merges.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -47,7 +48,7 @@ class Vocabulary:
             data = json.load(f)
         symbols = byte_symbols()
         self.bytes_of = {i: bytes(symbols[c] for c in token) for token, i in data["model"]["vocab"].items()}
-        ids = {b: i for i, b in self.bytes_of.items()}
+        self.ids = ids = {b: i for i, b in self.bytes_of.items()}
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
@@ -55,11 +56,53 @@ class Vocabulary:
         parts = [tuple(bytes(symbols[c] for c in side) for side in pair) for pair in pairs]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(parts)))}
         self.lookahead = lookahead(parts)
+        self.agree = Neighbours(self)
+        self.longest = [1] * 256
+        for token in ids:
+            self.longest[token[0]] = max(self.longest[token[0]], len(token))
         size = max(self.bytes_of) + 1
         self.table = [self.bytes_of.get(i, b"") for i in range(size)]
         self.splitter = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
 
+class Neighbours(dict):
+    """(token, token) to whether the merges of their joined bytes give back just these two, token to whether they give it alone.
+
+    Up to PAIRS answers are remembered.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.v = vocabulary
+
+    def __missing__(self, tokens: tuple[int, int] | int) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        alone = isinstance(tokens, int)
+        expected = [tokens] if alone else list(tokens)
+        self[tokens] = found = self.merged(b"".join(self.v.bytes_of[t] for t in expected)) == expected
+        return found
+
+    def merged(self, data: bytes) -> list[int]:
+        """Merges applied one rank at a time."""
+        ids, merges = [self.v.byte_ids[b] for b in data], self.v.merges
+        while len(ids) > 1:
+            found = [(merges[p], p) for p in zip(ids, ids[1:]) if p in merges]
+            if not found:
+                break
+            (_, made), (a, b) = min(found)
+            out, k, n = [], 0, len(ids)
+            while k < n:
+                if ids[k] == a and k + 1 < n and ids[k + 1] == b:
+                    out.append(made)
+                    k += 2
+                else:
+                    out.append(ids[k])
+                    k += 1
+            ids = out
+        return ids
+
+
 def lookahead(parts: list[tuple[bytes, bytes]]) -> int:
     """Bytes that a proper merge list may need to read past a token before the token is final."""
     made: dict[bytes, tuple[bytes, bytes]] = {}
@@ -84,29 +127,36 @@ class WordTransducer:
     """Bytes of one word in, final token ids out; holds at most lookahead + longest token + one feed."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.pending = vocabulary, b""
+        self.v, self.pending, self.agree = vocabulary, b"", vocabulary.agree
 
     def segment(self, data: bytes) -> list[int]:
-        ids, merges = [self.v.byte_ids[b] for b in data], self.v.merges
-        while len(ids) > 1:
-            rank, pair, made = 1 << 30, None, 0
-            for p in zip(ids, ids[1:]):
-                m = merges.get(p)
-                if m is not None and m[0] < rank:
-                    rank, made, pair = m[0], m[1], p
-            if pair is None:
-                break
-            a, b = pair
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if ids[k] == a and k + 1 < n and ids[k + 1] == b:
-                    out.append(made)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
+        """The ids of one run of bytes: longest token first, going back where neighbours would have merged differently.
+
+        A sequence of tokens is what the merges make of their bytes exactly if that holds for every two neighbours, and at most
+        one token can end at a position, so an end that led nowhere is never tried again.
+        """
+        ids, longest, agree, n = self.v.ids, self.v.longest, self.agree, len(data)
+        out: list[int] = []
+        ends, dead, at, limit = [0], set(), 0, n
+        while at < n:
+            end = min(limit, at + longest[data[at]])
+            while end > at:
+                token = ids.get(data[at:end])
+                if token is not None and end not in dead and (agree[out[-1], token] if out else end < n or agree[token]):
+                    break
+                end -= 1
+            if end > at:
+                out.append(token)
+                ends.append(end)
+                at = limit = end
+                limit = n
+            else:                                               # nothing fits after the last token: shorten it
+                dead.add(at)
+                limit = at - 1
+                out.pop()
+                ends.pop()
+                at = ends[-1]
+        return out
 
     def feed(self, data: bytes) -> list[int]:
         self.pending += data

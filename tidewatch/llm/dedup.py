@@ -7,7 +7,8 @@ average. A node of at most ``SMALL`` classes is a leaf. A larger one is branched
 ``LEVELS`` levels in all; a pair at the threshold is missed by one tree with probability 1/2 and by all with about 1e-6.
 
 Links are confirmed on full shingle sets in two steps, so that tight groups never turn into all their pairs:
-1. every class against the smallest class of each of its nodes (one pair a row of the tree); confirmed pairs give labels;
+1. TURNS times, every class against one pivot of another label: of the pivots drawn by its nodes, the one it shares most nodes
+   with. Components of the confirmed pairs give new labels, so a group is soon under one label.
 2. inside leaves, only pairs with different labels are compared, on the signatures first. Nodes that stay large at the last
    level are cut into blocks: classes outside the node's largest label meet every block, so nothing is left out.
 """
@@ -23,7 +24,7 @@ from tidewatch.llm.common import BASE, MASK, Words, byte_table, mixed, sequence_
 from tidewatch.operators.cluster import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.75
-COORDINATES, TREES, SMALL, LEVELS = 64, 20, 64, 3
+COORDINATES, TREES, SMALL, LEVELS, SHARED, TURNS = 64, 20, 64, 3, 8, 3
 ESTIMATE = 0.5                # of the signatures; 4.6 standard deviations under the threshold
 WORD_BYTES = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
 MULTIPLIERS = (mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1))
@@ -98,18 +99,6 @@ def children(rows: DataFrame, level: int) -> DataFrame:
     return rows.mapInArrow(scan, "node long, id long")
 
 
-def similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in ESTIMATE of the coordinates."""
-    def scan(batches):
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES) for c in ("ta", "tb"))
-            keep = pa.array((left == right).mean(axis=1) >= ESTIMATE)
-            yield batch.select(["a", "b"]).filter(keep)
-
-    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(classes.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(scan, "a long, b long")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents whose full sets reach the similarity. Sets are built only for documents in a pair."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -181,32 +170,58 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place", "id").mapInArrow(scan, "a long, b long").distinct()
 
 
-def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough of them to give all components; classes are (id, tokens)."""
-    rows, leaves = children(classes, 0), None
-    for level in range(LEVELS):
-        rows = stored(rows)
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).filter("size > 1")
-        members = stored(rows.join(nodes, "node"))
-        done = members if level == LEVELS - 1 else members.filter(F.col("size") <= SMALL)
-        leaves = done if leaves is None else leaves.unionByName(done)
+def mixed_members(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, id, size, label) of the nodes that still hold more than one label; a class without a row in ``label`` is its own."""
+    labelled = members.join(label, "id", "left").select("node", "id", "size", F.coalesce("label", "id").alias("label"))
+    several = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
+    return stored(labelled.join(several, "node", "left_semi"))
+
+
+def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id, size) of the leaves, and of all root nodes of classes that can have a link.
+
+    A linked pair shares about 19 of the roughly 25 tokens that the roots select; a class that shares fewer than SHARED with
+    anything has no link.
+    """
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node")
+
+    first = stored(shared(stored(children(classes, 0))).drop("size"))
+    active = first.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED).select("id")
+    roots = members = stored(shared(stored(first.join(active, "id", "left_semi"))))
+    leaves = None
+    for level in range(1, LEVELS + 1):
         large = members.filter(F.col("size") > SMALL)
-        if level == LEVELS - 1 or large.isEmpty():
-            break
-        rows = children(large.select("node", "id").join(classes, "id").select("node", "id", "tokens"), level + 1)
-    stars = leaves.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(confirmed(stored(similar(stars, classes)), docs))
-    # A label is the smallest pivot a class is linked to, followed twice; equal labels always mean one component.
-    label = first.groupBy("b").agg(F.min("a").alias("up")).select(F.col("b").alias("id"), "up")
-    for _ in range(2):
-        label = stored(label)
-        label = label.join(label.select(F.col("id").alias("up"), F.col("up").alias("further")), "up", "left").select("id", F.coalesce("further", "up").alias("up"))
-    label = stored(label)
-    labelled = leaves.join(label, "id", "left").select("node", "id", "size", F.coalesce("up", "id").alias("label"))
-    mixed_nodes = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
-    open_rows = stored(labelled.join(mixed_nodes, "node", "left_semi"))
-    small = open_rows.filter(F.col("size") <= SMALL).select(F.col("node").alias("place"), "id", "label", F.lit(True).alias("home"))
-    big = open_rows.filter(F.col("size") > SMALL)
+        last = level == LEVELS or large.isEmpty()
+        done = members if last else members.filter(F.col("size") <= SMALL)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if last:
+            return leaves, roots
+        members = stored(shared(stored(children(large.select("node", "id").join(classes, "id").select("node", "id", "tokens"), level))))
+    return leaves, roots
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class with one pivot of another label, of those its nodes drew the one it met most often."""
+    draw = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("draw"), "id", "label")
+    pivots = members.groupBy("node").agg(F.min(draw).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
+    met = members.join(pivots, "node").filter("label <> pivot_label").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    return met.groupBy("id").agg(F.max_by("pivot", F.struct("n", F.xxhash64("pivot"))).alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, label): for each linked class the smallest class it reaches; classes are (id, tokens)."""
+    leaves, roots = tree_nodes(classes)
+    label = classes.select("id", F.col("id").alias("label")).limit(0)
+    links, members = None, mixed_members(roots, label)
+    for turn in range(TURNS):
+        found = stored(confirmed(stored(star_pairs(members, turn)), docs))
+        links = found if links is None else links.unionByName(found)
+        label = stored(connected_components(links).select(F.col("node").alias("id"), "label"))
+        members = mixed_members(members.drop("label"), label)
+    rows = mixed_members(leaves, label)
+    small = rows.filter(F.col("size") <= SMALL).select(F.col("node").alias("place"), "id", "label", F.lit(True).alias("home"))
+    big = rows.filter(F.col("size") > SMALL)
     largest = big.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     n_blocks = F.ceil(F.col("size") / SMALL).cast("int")
     own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
@@ -215,14 +230,8 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     big = (big.join(largest, "node").withColumn("own", own).withColumn("block", F.explode(blocks))
            .select(F.xxhash64("node", "block").alias("place"), "id", "label", (F.col("own") == F.col("block")).alias("home")))
     more = cross_pairs(small.unionByName(big).join(classes, "id").select("place", "id", "label", "home", "tokens"))
-    second = confirmed(stored(more), docs)
-    # Contract to labels: the links that gave the labels are implied, only links between labels remain to be walked.
-    edges = stored(first.unionByName(second))
-    for side in ("a", "b"):
-        edges = edges.join(label.select(F.col("id").alias(side), "up"), side, "left").withColumn(side, F.coalesce("up", side)).drop("up")
-    contracted = connected_components(edges)
-    linked = label.select("id", F.col("up").alias("node")).unionByName(contracted.select(F.col("node").alias("id"), "node")).distinct()
-    return linked.join(contracted, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component"))
+    links = links.unionByName(confirmed(stored(more), docs))
+    return connected_components(links).select(F.col("node").alias("id"), "label")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -234,7 +243,7 @@ def components(docs: DataFrame) -> DataFrame:
     """
     signed = stored(signatures(docs))
     classes = stored(signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens")).filter("id is not null"))
-    reached = class_links(classes.select("id", "tokens"), docs)
+    reached = class_links(classes.select("id", "tokens"), docs).withColumnRenamed("label", "component")
     roots = classes.select("class", "id").join(reached, "id", "left").select("class", F.coalesce("component", "id").alias("root"))
     full = signed.filter("n_shingles > 0").join(roots, "class", "left").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
     none = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.common import byte_table, held_out, stored
 
-FEATURES, RIDGE, BINS, SEED, PARTS = 256, 1e-3, 1024, 7, 16
+FEATURES, RIDGE, BINS, SEED, PARTS = 256, 1e-2, 1024, 7, 16
 MAX_TRAIN_ROWS = 200_000       # documented bound of the labelled rows a fit uses, chosen by a hash of the id
 ACCEPT = 0.3
 STATISTICS = ("log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "line", "punctuation", "symbol", "wide", "capital_words", "ending_symbols",
@@ -66,7 +66,7 @@ class Model:
     def __init__(self, mean, scale, fallback=0.5):
         rng = np.random.default_rng(SEED)
         self.mean, self.scale, self.fallback, self.weights = mean, scale, fallback, None
-        self.directions = rng.normal(size=(len(STATISTICS), FEATURES)) / np.sqrt(len(STATISTICS))     # kernel width: the dimension's root
+        self.directions = rng.normal(size=(len(STATISTICS), FEATURES)) / (2 * np.sqrt(len(STATISTICS)))     # kernel width: twice the root of the dimension
         self.phase = rng.uniform(0, 2 * np.pi, FEATURES)
         self.edges, self.values = np.zeros(0), np.zeros(1)
 

@@ -5,10 +5,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidewatch.llm import bpe, decontaminate, dedup, language, quality
+from tidewatch.llm import bpe, decontaminate, dedup, fingerprints, language, pii, quality, sharding, token_files
 from tidewatch.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +32,21 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.components(read(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_spans(read(spark, sf_dir, "documents")))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(read(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_and_next(read(spark, sf_dir, "documents"))
+
+
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_quality_scores, op4_benchmark_hits, op5_near_duplicates, op10_languages)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_bpe_round_trip, op3_quality_scores, op4_benchmark_hits, op5_near_duplicates, op6_personal_data, op7_token_files, op8_fingerprints, op10_languages)}
 SQL: dict[str, str] = {}
