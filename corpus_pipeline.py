@@ -6,13 +6,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, decontaminate, dedup, quality
+from tidewatch.llm import bpe, decontaminate, dedup, pii, quality
 from tidewatch.llm.common import read, stored
 from tidewatch.llm.queries import BYTE_BPE
 
 ORACLE_SQL = None
 
 
+# Stage functions take (spark, docs, sf_dir). Null texts count as empty: they are scored like any text, never near copies, never
+# contaminated, hold no personal data and have no tokens. Empty tables pass through. All columns of docs are kept but by the last.
+
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accept(docs, read(spark, sf_dir, "labels"))
 
@@ -25,12 +28,16 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
     return bpe.round_trip(docs, BYTE_BPE)
 
 
-STAGES = [("quality", accept_quality), ("near_dedup", keep_one_of_near_copies), ("decontaminate", drop_benchmark), ("encode", encode)]
+STAGES = [("quality", accept_quality), ("near_dedup", keep_one_of_near_copies), ("decontaminate", drop_benchmark), ("personal_data", redact_personal_data), ("encode", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
