@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidewatch.llm import bpe, decontaminate, dedup, fingerprints, language, pii, quality, sharding, token_files
+from tidewatch.llm import bpe, decontaminate, dedup, fingerprints, language, pages, pii, quality, sharding, token_files
 from tidewatch.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,9 +44,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_and_next(read(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_bpe_round_trip, op3_quality_scores, op4_benchmark_hits, op5_near_duplicates, op6_personal_data, op7_token_files, op8_fingerprints, op10_languages)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_bpe_round_trip, op3_quality_scores, op4_benchmark_hits, op5_near_duplicates, op6_personal_data, op7_token_files, op8_fingerprints, op9_main_text, op10_languages)}
 SQL: dict[str, str] = {}
