@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.schema import FEED_BASE_SCORES, OCSF_BY_TYPE, SEVERITY_ALIASES, SEVERITY_RANK, lookup
 
@@ -72,28 +73,45 @@ def compose_unicode(text: Column) -> Column:
     return F.coalesce(F.pandas_udf(nfc, "string")(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with value computed a single time however often it is used: the optimizer can't copy it into each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def parse_once(rows: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """Add a computed column through a one-element explode. The generator keeps the optimizer from copying the computation into
+    every expression that reads it."""
+    return rows.select("*", F.explode(F.array(parsed)).alias(name))
+
+
 def decoded_base64(text: Column) -> Column:
-    """Readable plain text hidden in a base64-looking value, else null."""
-    bare = F.trim(text)
-    packed = F.regexp_replace(bare, " ", "")
-    body = F.regexp_replace(packed, r"[\s=]", "")
-    padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
-    decoded = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
-    plain = F.regexp_replace(decoded, "\ufffd", "")
-    # Bytes that are no text count as unreadable, so binary garbage is left out.
-    letters = F.length(F.regexp_replace(plain, UNREADABLE, ""))
-    ratio = letters / F.greatest(F.length(decoded), F.lit(1))
-    looks = (F.length(packed) >= 16) & bare.rlike(BASE64_TEXT)
-    return F.when(looks & (F.trim(plain) != "") & (ratio > 0.7), plain)
+    """Readable plain text hidden in a base64-looking value, else null. Length and alphabet are tested before anything is decoded."""
+    def readable(decoded: Column) -> Column:
+        def judged(plain: Column) -> Column:
+            # Bytes that are no text count as unreadable, so binary garbage is left out.
+            letters = F.length(F.regexp_replace(plain, UNREADABLE, ""))
+            return F.when((F.trim(plain) != "") & (letters / F.greatest(F.length(decoded), F.lit(1)) > 0.7), plain)
+        return once(F.replace(decoded, F.lit("\ufffd"), F.lit("")), judged)
+
+    def opened(body: Column) -> Column:
+        padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
+        return once(F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")), readable)
+
+    def tried(bare: Column) -> Column:
+        looks = (F.length(F.replace(bare, F.lit(" "), F.lit(""))) >= 16) & bare.rlike(BASE64_TEXT)
+        return F.when(looks, once(F.regexp_replace(bare, r"[\s=]", ""), opened))
+
+    return once(F.trim(text), tried)
 
 
 def scrub_prompt_injection(text: Column, unicode_form: bool = True) -> Column:
     """Remove instruction-injection phrases, also from base64-hidden text; empty becomes null."""
+    def trimmed(base: Column) -> Column:
+        seen = F.concat_ws(" ", base, decoded_base64(base))
+        return F.regexp_replace(F.regexp_replace(seen, INJECTION_PATTERN, ""), r"^\s+|\s+$", "")
+
     base = compose_unicode(text) if unicode_form else text
-    seen = F.concat_ws(" ", base, decoded_base64(base))
-    clean = F.regexp_replace(seen, INJECTION_PATTERN, "")
-    trimmed = F.regexp_replace(clean, r"^\s+|\s+$", "")
-    return F.when(text.isNotNull(), F.nullif(trimmed, F.lit("")))
+    return once(once(base, trimmed), lambda t: F.when(t != "", t))
 
 
 def parse_time(value: Column) -> Column:

@@ -54,18 +54,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         rest = down.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return rest.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
-    def state(e: DataFrame) -> tuple:
-        row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        return tuple(row)
-
     current = cut_lineage(edges.toDF("a", "b").filter("a <> b").distinct())
-    before = None
     for _ in range(max_rounds):
-        current = cut_lineage(small_star(large_star(current)))
-        now = state(current)
-        if now == before:
+        previous, current = current, cut_lineage(small_star(large_star(current)))
+        if current.count() == previous.count() and current.join(previous, ["a", "b"], "left_anti").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError("components did not converge; raise max_rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
@@ -80,7 +73,7 @@ def cluster_events(events: DataFrame, entities: Column | None = None) -> DataFra
     """
     tagged = events.select("event_id", "timestamp", (entities if entities is not None else entity_array()).alias("entities")) \
                    .filter(F.size("entities") > 0).withColumn("anchor", F.col("entities")[0])
-    edges = tagged.select(F.col("anchor").alias("a"), F.explode(F.slice("entities", 2, 32)).alias("b")).distinct()
+    edges = tagged.select(F.col("anchor").alias("a"), F.explode(F.slice("entities", 2, F.size("entities"))).alias("b")).distinct()
     labels = connected_components(edges)
     placed = tagged.join(labels, F.col("anchor") == F.col("node"), "left") \
                    .withColumn("cluster_id", F.coalesce("label", "anchor")).drop("node", "label", "anchor")

@@ -91,7 +91,7 @@ def extract_edges(events: DataFrame) -> DataFrame:
 
 def _zone() -> Column:
     marks = F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t.startswith("zone:"))
-    return F.lower(F.substring(F.get(marks, F.lit(0)), 6, 64))
+    return F.lower(F.substr(F.get(marks, F.lit(0)), F.lit(6)))
 
 
 def perimeter_entities(events: DataFrame, source_type: str = "ipfire_syslog") -> DataFrame:

@@ -276,8 +276,21 @@ def hunt_history(hunts: DataFrame, analyst: str, limit: int = 20) -> DataFrame:
 
 
 def hunt_sql(events: DataFrame, sql: str, view: str = "normalized_events", limit: int = 500) -> DataFrame:
-    """A user's own SELECT over the event view, at most ``limit`` rows back."""
-    if not re.match(r"(?is)^\s*(select|with)\b", sql) or ";" in sql.strip().rstrip(";"):
+    """A user's own SELECT over the event view and its own WITH names, at most ``limit`` rows back.
+
+    The parsed statement is searched for relations, subqueries included: any other table, view or file path is refused, and so
+    are functions that call Java by name.
+    """
+    statement = sql.strip().rstrip(";")
+    if not re.match(r"(?is)^\s*(select|with)\b", statement) or ";" in statement:
         raise ValueError("one SELECT statement is allowed")
+    spark = events.sparkSession
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
+    named = {n.strip().lower() for names in re.findall(r"(?m)\bCTE \[([^\]]*)\]", plan) for n in names.split(",")} | {view.lower()}
+    relations = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)
+    if len(relations) != plan.count("UnresolvedRelation") or any(r.lower() not in named for r in relations):
+        raise ValueError(f"only {view} can be read")
+    if re.search(r"(?i)\b(reflect|try_reflect|java_method)\s*\(", plan):
+        raise ValueError("functions that call Java by name are not allowed")
     events.createOrReplaceTempView(view)
-    return events.sparkSession.sql(sql.strip().rstrip(";")).limit(limit)
+    return spark.sql(statement).limit(limit)

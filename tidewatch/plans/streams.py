@@ -12,11 +12,22 @@ from tidewatch.sources.sinks import scratch_folder
 from tidewatch.streaming import jobs as J
 
 
-def landed(spark, sf):
-    """Event table as stream input; returns (stream, folder for outputs)."""
+def landed(spark, sf, batches=1):
+    """Event table as stream input; returns (stream, folder for outputs). Several batches are files in time order, read one at a time."""
     folder = scratch_folder(spark)
-    events(spark, sf).write.parquet(folder + "/in")
-    return J.event_stream(spark, folder + "/in", events(spark, sf).schema), folder
+    if batches == 1:
+        events(spark, sf).write.parquet(folder + "/in")
+        return J.event_stream(spark, folder + "/in", events(spark, sf).schema), folder
+    ordered = events(spark, sf).withColumn("_day", F.dayofyear("timestamp"))
+    for k in range(batches):                                  # written one after another: the stream takes files by age
+        ordered.filter((F.col("_day") > 30 * k // batches) & (F.col("_day") <= 30 * (k + 1) // batches if k < batches - 1 else F.lit(True))).drop("_day").coalesce(1).write.mode("append").parquet(folder + "/in")
+    return J.event_stream(spark, folder + "/in", events(spark, sf).schema, max_files=1), folder
+
+
+def newest_batch(rows, keys):
+    """Of an update-mode output, the last row of each key."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in rest])
 
 
 @query("str1_tail_firewall", with_ne("SELECT date_trunc('second', timestamp) AS timestamp, src_ip, dst_ip, dst_port FROM ne"))
@@ -83,9 +94,9 @@ SELECT src_ip, dst_ip, dst_port, count(*) AS n_intervals, round(avg(gap), 3) AS
   SELECT src_ip, dst_ip, dst_port, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY timestamp)) / 1e6 AS gap
   FROM ne WHERE event_type IN ('conn', 'http') AND dst_port IS NOT NULL) WHERE gap IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND stddev_pop(gap) / avg(gap) < 0.9"""))
 def str6(spark, sf):
-    stream, folder = landed(spark, sf)
-    out = J.run_to_table(J.stream_beacons(stream, 4, 0.9), folder + "/out", folder + "/cp", mode="update").drop("batch_id")
-    return out.select("src_ip", "dst_ip", "dst_port", "n_intervals", F.round("mean_interval", 3).alias("mean_interval"), F.round("stddev_interval", 3).alias("stddev_interval"))
+    stream, folder = landed(spark, sf, batches=5)
+    out = J.run_to_table(J.stream_beacons(stream, 4, 0.9, ttl_ms=40 * 86_400_000), folder + "/out", folder + "/cp", mode="update")
+    return newest_batch(out, ["src_ip", "dst_ip", "dst_port"]).filter("regular").select("src_ip", "dst_ip", "dst_port", "n_intervals", F.round("mean_interval", 3).alias("mean_interval"), F.round("stddev_interval", 3).alias("stddev_interval"))
 
 
 @query("str7_suppress_repeats", with_ne("SELECT DISTINCT 'corr-portscan' AS rule_id, src_ip AS entity_key FROM scans", SCAN_SQL))
@@ -99,8 +110,9 @@ def str7(spark, sf):
 
 @query("str8_heartbeats", with_ne("SELECT source_type, epoch_us(max(timestamp)) // 1000 AS last_seen_ms, 'connected' AS status FROM ne GROUP BY 1"))
 def str8(spark, sf):
-    stream, folder = landed(spark, sf)
-    return J.run_to_table(J.stream_heartbeats(stream), folder + "/out", folder + "/cp", mode="update").filter("status = 'connected'").drop("batch_id")
+    stream, folder = landed(spark, sf, batches=3)
+    out = J.run_to_table(J.stream_heartbeats(stream, offline_after_ms=40 * 86_400_000), folder + "/out", folder + "/cp", mode="update")
+    return newest_batch(out, ["source_type"]).filter("status = 'connected'")
 
 
 @query("str9_periodic_privacy_scan", with_ne("SELECT event_id FROM ne WHERE event_type = 'http' AND http_request_body_len > 4096 AND regexp_matches(domain, '(^|\\.)tracker[02]\\.com$')"))

@@ -154,8 +154,8 @@ def technique_documents(objects: DataFrame, min_description: int = 50, max_chars
                     .select("target_ref", "id", F.substring(_clean(F.col("description")), 1, 400).alias("text")), procedures).withColumnRenamed("texts", "seen")
     names = objects.select(F.col("id").alias("source_ref"), F.col("name").alias("text"))
     named = rel.filter(F.col("relationship_type") == "mitigates").join(names, "source_ref").filter("text <> ''").select("target_ref", "id", "text")
-    # A text of max_chars cannot show more than max_chars names, so this bound never changes the document.
-    fixes = _first_n(named, max_chars).withColumnRenamed("texts", "fixes")
+    # Names of one character or more, two more between each: a text of max_chars can't show more than a third as many and one.
+    fixes = _first_n(named, max_chars // 3 + 1).withColumnRenamed("texts", "fixes")
     t = objects.filter((F.col("type") == "attack-pattern") & _not("revoked") & _not("x_mitre_deprecated")).select(
         "id", _catalog_id().alias("tid"), "name", _clean(F.col("description")).alias("body"), _clean(F.col("x_mitre_detection")).alias("advice"),
         F.coalesce(F.nullif(F.array_join(F.transform("kill_chain_phases", lambda p: p["phase_name"]), ", "), F.lit("")), F.lit("Unknown")).alias("tactics"),
@@ -185,8 +185,11 @@ SCAN_A_TACTIC = {"Recon": "Reconnaissance", "ResDev": "Resource Development", "I
                  "PrivEsc": "Privilege Escalation", "DefEvas": "Defense Evasion", "CredAccess": "Credential Access", "Discov": "Discovery", "LatMov": "Lateral Movement",
                  "Collect": "Collection", "C2": "Command and Control", "Exfil": "Exfiltration", "Impact": "Impact"}
 SCAN_B_LEVEL = {"critical": "critical", "high": "high", "medium": "medium", "low": "low", "informational": "informational", "info": "informational"}
-SCAN_B_TACTICS = ("initial_access execution persistence privilege_escalation defense_evasion credential_access discovery lateral_movement collection "
-                  "command_and_control exfiltration impact reconnaissance resource_development").split()
+SCAN_B_TACTICS = [
+    "initial_access", "execution", "persistence", "privilege_escalation", "defense_evasion", "credential_access",
+    "discovery", "lateral_movement", "collection", "command_and_control", "exfiltration", "impact", "reconnaissance",
+    "resource_development",
+]
 
 
 def hayabusa_detections(lines: DataFrame, case_id: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.scalars import MAX_TEXT_BYTES, parse_time, sha256_from_hash_list
+from tidewatch.functions.scalars import parse_once, MAX_TEXT_BYTES, parse_time, sha256_from_hash_list
 from tidewatch.schema import conform, lookup
 from tidewatch.sources.records import event_key, register_source
 
@@ -16,12 +16,6 @@ def _file(lines: DataFrame) -> Column:
     return F.col("source_file") if "source_file" in lines.columns else F.lit("stream")
 
 
-def parse_once(rows: DataFrame, parsed: Column, name: str) -> DataFrame:
-    """Add a parsed column through a one-element explode. The generator keeps the optimizer from copying the parse into
-    every expression that reads one of its fields."""
-    return rows.select("*", F.explode(F.array(parsed)).alias(name))
-
-
 def _text(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -117,7 +111,13 @@ def firewall_events(lines: DataFrame, as_of: Column | None = None, ingested_at:
 
 # ---- host agent results ---------------------------------------------------------------------------------------
 
-QUERY_KINDS = {"process_create": "process|proc|startup", "network_connect": "socket|network|listen|open_socket", "file_create": "file|path", "logon_event": "user|account|login"}
+# Event type -> the words in a query name that mean it.
+QUERY_KINDS = {
+    "process_create": ["process", "proc", "startup"],
+    "network_connect": ["socket", "network", "listen", "open_socket"],
+    "file_create": ["file", "path"],
+    "logon_event": ["user", "account", "login"],
+}
 
 
 def osquery_events(lines: DataFrame, ingested_at: Column | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def osquery_events(lines: DataFrame, ingested_at: Column | None = None) -> DataF
     low = F.lower("q")
     kind = F.lit(None).cast("string")
     for name, words in reversed(QUERY_KINDS.items()):
-        kind = F.when(low.rlike(words), name).otherwise(kind)
+        kind = F.when(low.rlike("|".join(words)), name).otherwise(kind)
     who = c("uid", "username", "user")
     return conform(rows.select(
         event_key(F.col("source_file"), F.col("value"), F.col("n").cast("string")).alias("event_id"),

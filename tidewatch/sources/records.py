@@ -9,26 +9,26 @@ from tidewatch.schema import conform, lookup
 
 # Event column -> record keys that mean it (lower case).
 KEY_ALIASES = {
-    "hostname": "hostname host computer computername machine node",
-    "username": "username user account subjectusername targetusername user_name account_name",
-    "process_name": "process process_name image newprocessname processname process_image",
-    "process_id": "pid process_id processid newprocessid",
-    "parent_process_id": "ppid parent_pid parent_process_id parentprocessid",
-    "parent_process_name": "parent_process parent_process_name parentimage parentprocessname",
-    "command_line": "commandline command_line cmdline cmd image_loaded processcommandline",
-    "dst_ip": "dst_ip dest_ip destinationip destination_ip dest dst",
-    "dst_port": "dst_port dest_port destinationport destination_port",
-    "src_ip": "src_ip source_ip sourceip src",
-    "src_port": "src_port source_port sourceport",
-    "file_path": "file_path filepath targetfilename targetobject filename path",
-    "file_hash_sha256": "file_hash_sha256 sha256 hash hashes",
-    "domain": "domain destinationhostname dest_hostname fqdn queryname",
-    "timestamp": "timestamp time eventtime @timestamp date created_at event_time datetime",
-    "event_type": "event_type eventtype type action category",
-    "severity": "severity level alert_severity priority",
-    "tags": "tags labels",
-    "case_id": "case_id caseid case",
-    "url": "url uri http_url request_url",
+    "hostname": ["hostname", "host", "computer", "computername", "machine", "node"],
+    "username": ["username", "user", "account", "subjectusername", "targetusername", "user_name", "account_name"],
+    "process_name": ["process", "process_name", "image", "newprocessname", "processname", "process_image"],
+    "process_id": ["pid", "process_id", "processid", "newprocessid"],
+    "parent_process_id": ["ppid", "parent_pid", "parent_process_id", "parentprocessid"],
+    "parent_process_name": ["parent_process", "parent_process_name", "parentimage", "parentprocessname"],
+    "command_line": ["commandline", "command_line", "cmdline", "cmd", "image_loaded", "processcommandline"],
+    "dst_ip": ["dst_ip", "dest_ip", "destinationip", "destination_ip", "dest", "dst"],
+    "dst_port": ["dst_port", "dest_port", "destinationport", "destination_port"],
+    "src_ip": ["src_ip", "source_ip", "sourceip", "src"],
+    "src_port": ["src_port", "source_port", "sourceport"],
+    "file_path": ["file_path", "filepath", "targetfilename", "targetobject", "filename", "path"],
+    "file_hash_sha256": ["file_hash_sha256", "sha256", "hash", "hashes"],
+    "domain": ["domain", "destinationhostname", "dest_hostname", "fqdn", "queryname"],
+    "timestamp": ["timestamp", "time", "eventtime", "@timestamp", "date", "created_at", "event_time", "datetime"],
+    "event_type": ["event_type", "eventtype", "type", "action", "category"],
+    "severity": ["severity", "level", "alert_severity", "priority"],
+    "tags": ["tags", "labels"],
+    "case_id": ["case_id", "caseid", "case"],
+    "url": ["url", "uri", "http_url", "request_url"],
 }
 ACCEPTED_SEVERITIES = ["critical", "high", "medium", "low", "info", "informational"]
 
@@ -72,7 +72,7 @@ def records_to_events(records: DataFrame, source_type: str, ingested_at: Column
     lowered = records.select("*", F.explode(F.array(entries)).alias("_e"))  # a generator: computed once, not per column
 
     def pick(target: str) -> Column:
-        names = KEY_ALIASES[target].split() + DOTTED_NAMES.get(target, "").split()
+        names = KEY_ALIASES[target] + DOTTED_NAMES.get(target, [])
         hit = F.get(F.filter("_e", lambda e: e["k"].isin(names) & e["v"].isNotNull()), F.lit(0))["v"]
         return F.nullif(F.trim(hit), F.lit(""))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.scalars import MAX_TEXT_BYTES, parse_time
 from tidewatch.schema import EVENT_SCHEMA, conform
-from tidewatch.sources.logs import parse_once
+from tidewatch.functions.scalars import parse_once
 from tidewatch.sources.records import event_key, register_source
 
 SRC = ["source.ip", "src_ip", "srcip"]

@@ -24,16 +24,26 @@ def scratch_folder(spark: SparkSession) -> str:
 
 # ---- event table -------------------------------------------------------------------------------------
 
-def new_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of the batch to insert: first per id, ids already stored left out.
+def new_events(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Rows of the batch to insert: first per id, ids already stored under any date left out. ``stored`` is None for a new table.
 
-    When the stored table is partitioned by ``event_date`` only the dates of the batch are read.
+    Of the stored table only the id column is read. It is first reduced to the ids of the batch, which Spark broadcasts while the
+    batch is small, so the table's ids are scanned but not shuffled.
     """
     first = oldest_per_key(batch, ["event_id"], ["ingested_at", "timestamp"])
-    if "event_date" in stored.columns:
-        days = batch.agg(F.min(F.to_date("timestamp")).alias("a"), F.max(F.to_date("timestamp")).alias("b")).first()
-        stored = stored.filter(F.col("event_date").between(days["a"], days["b"]))
-    return first.join(stored.select("event_id"), "event_id", "left_anti").select(*batch.columns)
+    if stored is None:
+        return first
+    known = stored.select("event_id").join(batch.select("event_id").distinct(), "event_id", "left_semi")
+    return first.join(known, "event_id", "left_anti").select(*batch.columns)
+
+
+def stored_table(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table in a folder, or None if no file of it was written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path) or not any(s.isDirectory() or s.getPath().getName().endswith(".parquet") for s in files.listStatus(path)):
+        return None
+    return spark.read.parquet(folder)
 
 
 def append_events(events: DataFrame, folder: str) -> None:

@@ -15,7 +15,7 @@ from tidewatch.operators.intel import ioc_hits, match_iocs
 from tidewatch.operators.normalize import normalize
 from tidewatch.sources import logs, sensor  # noqa: F401  (they register their readers)
 from tidewatch.sources.records import source
-from tidewatch.sources.sinks import append_events, new_events
+from tidewatch.sources.sinks import append_events, new_events, stored_table
 
 
 # ---- sources -----------------------------------------------------------------------------------------
@@ -53,13 +53,7 @@ def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         matched = match_iocs(normalize(batch), iocs)
         rows = matched.select(*batch.columns)
-        fresh = rows.dropDuplicates(["event_id"])
-        try:
-            fresh = new_events(spark.read.parquet(table), rows)
-        except Exception as missing:  # first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-        fresh = fresh.persist()
+        fresh = new_events(stored_table(spark, table), rows).persist()
         try:
             if hits_folder:
                 new_hits = ioc_hits(matched).join(fresh.select("event_id"), "event_id", "left_semi")
@@ -98,14 +92,15 @@ def suppress(detections: DataFrame, window: str = "60 minutes") -> DataFrame:
 
 # ---- keyed state -------------------------------------------------------------------------------------------
 
-BEACON_OUT = "src_ip string, dst_ip string, dst_port int, n_intervals bigint, mean_interval double, stddev_interval double"
+BEACON_OUT = "src_ip string, dst_ip string, dst_port int, n_intervals bigint, mean_interval double, stddev_interval double, regular boolean"
 
 
 def stream_beacons(events: DataFrame, min_intervals: int = 19, max_cv: float = 0.3, ttl_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
-    """Running count, mean and spread of the gaps per (source, target, port); one row whenever a batch leaves a key regular.
+    """Running count, mean and spread of the gaps per (source, target, port), and whether they are regular; one row a key and micro-batch.
 
-    State is four numbers per key and expires when event time has moved on by ``ttl_ms``. A key's rows arrive as Arrow batches that are folded one by
-    one; a row older than the last seen instant of its key counts as late and is skipped.
+    The newest row of a key holds. State is four numbers per key and expires when event time has moved on by ``ttl_ms``. All instants of a key in a
+    micro-batch (eight bytes each, whatever the Arrow batches they come in) are ordered before they are folded in. A row older than what an earlier
+    micro-batch saw of its key counts as late and is skipped.
     """
     conns = events.filter(F.col("event_type").isin(BEACON_TYPES) & F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull() & F.col("dst_port").isNotNull()) \
         .withWatermark("timestamp", delay).select("src_ip", "dst_ip", "dst_port", "timestamp", F.unix_micros("timestamp").alias("t"))
@@ -115,27 +110,23 @@ def stream_beacons(events: DataFrame, min_intervals: int = 19, max_cv: float = 0
             state.remove()
             return
         last, n, mean, m2 = state.get if state.exists else (None, 0, 0.0, 0.0)
-        for pdf in batches:
-            t = np.sort(pdf["t"].to_numpy())
-            if last is not None:
-                t = t[t >= last]
-            if not len(t):
-                continue
-            gaps = np.diff(t if last is None else np.concatenate([[last], t])) / 1e6
-            last = int(t[-1])
-            if len(gaps):  # merge two samples' moments
-                k, gm = len(gaps), float(gaps.mean())
-                m2 += float(((gaps - gm) ** 2).sum()) + (gm - mean) ** 2 * n * k / (n + k)
-                mean += (gm - mean) * k / (n + k)
-                n += k
-        if last is None:
+        t = np.sort(np.concatenate([pdf["t"].to_numpy() for pdf in batches]))
+        if last is not None:
+            t = t[t >= last]
+        if not len(t):
             return
+        gaps = np.diff(t if last is None else np.concatenate([[last], t])) / 1e6
+        last = int(t[-1])
+        if len(gaps):  # merge two samples' moments
+            k, gm = len(gaps), float(gaps.mean())
+            m2 += float(((gaps - gm) ** 2).sum()) + (gm - mean) ** 2 * n * k / (n + k)
+            mean += (gm - mean) * k / (n + k)
+            n += k
         state.update((last, n, mean, m2))
         state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         spread = (m2 / n) ** 0.5 if n else 0.0
-        if n >= min_intervals and mean > 0 and spread / mean < max_cv:
-            yield pd.DataFrame({"src_ip": pd.Series([key[0]], dtype=object), "dst_ip": pd.Series([key[1]], dtype=object), "dst_port": [key[2]], "n_intervals": [n],
-                                "mean_interval": [mean], "stddev_interval": [spread]})
+        yield pd.DataFrame({"src_ip": pd.Series([key[0]], dtype=object), "dst_ip": pd.Series([key[1]], dtype=object), "dst_port": [key[2]], "n_intervals": [n],
+                            "mean_interval": [mean], "stddev_interval": [spread], "regular": [bool(n >= min_intervals and mean > 0 and spread / mean < max_cv)]})
 
     return conns.groupBy("src_ip", "dst_ip", "dst_port").applyInPandasWithState(
         fold, BEACON_OUT, "last bigint, n bigint, mean double, m2 double", "update", GroupStateTimeout.EventTimeTimeout)
