@@ -151,7 +151,7 @@ def test_nearest_neighbours_over_many_partitions_and_batches(spark):
     q = df.filter("vec_id < 30").selectExpr("vec_id AS query_id", "embedding")
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {(i, int(j)) for i in range(30) for j in np.argsort(1 - unit[i] @ unit.T, kind="stable")[:5]}
-    assert {(r["query_id"], r["id"]) for r in VEC.nearest(df, q, 5, query_batch=7).collect()} == want
+    assert {(r["query_id"], r["id"]) for r in VEC.nearest(df, q, 5, query_block=7).collect()} == want
 
 
 def test_shortest_path_and_missing_path(spark):

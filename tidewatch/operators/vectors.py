@@ -1,7 +1,6 @@
 """Nearest neighbours, reranking, evidence text and answer checks."""
 from __future__ import annotations
 
-import math
 from typing import Iterator
 
 import numpy as np
@@ -13,25 +12,26 @@ from tidewatch.functions.scalars import sanitize_field
 from tidewatch.schema import SEVERITY_BASE, lookup
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-            query_batch: int = 1024) -> DataFrame:
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, distance, rank): exact cosine k-NN of every query (query_id, embedding) over all vectors.
 
-    The vectors are scanned in place: each task multiplies its Arrow batches with the query matrix and keeps k candidates per
-    query, so no vector-query pair is ever a row. Queries travel in batches of bounded size, one scan per batch.
+    No vector-query pair is ever a row: a task multiplies a block of queries with vectors and keeps k candidates a query. Queries
+    that fit one block are broadcast and the vectors scanned in place. More queries meet the vectors block by block in a cogroup;
+    both sides of a group are of bounded size and nothing passes the driver.
     """
     n = queries.count()
-    batches = max(1, math.ceil(n / query_batch))
-    slot = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(batches))
-    out = None
-    for b in range(batches):
-        rows = queries.filter(slot == b).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        part = _scan(vectors, [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64), k, id_col, vec_col)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no queries")
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
+    if n <= query_block:
+        held = queries.select("query_id", "embedding").collect()          # at most one block
+        out = _scan(rows, np.array([r["query_id"] for r in held], dtype=np.int64), [r["embedding"] for r in held], k)
+    else:
+        n_q, n_v = -(-n // query_block), max(1, -(-vectors.count() // VECTOR_BLOCK))
+        asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
+        stored = rows.select("id", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb"))
+        out = asked.groupBy("qb", "vb").cogroup(stored.groupBy("qb", "vb")).applyInPandas(lambda q, v: _block(q, v, k), CANDIDATE)
     # Candidates are k per task and query; thin them per salt first so no query meets all tasks' rows at once.
     salted = out.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     first = Window.partitionBy("query_id", "salt").orderBy("distance", "id")
@@ -40,29 +40,58 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     return thin.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
 
 
-def _scan(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_col: str, vec_col: str) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+CANDIDATE = "query_id bigint, id bigint, distance double"
+
+
+def _unit(rows) -> np.ndarray:
+    m = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1.0, norm)
+
+
+def _closest(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest of each row by (distance, id); only rows' candidates up to the k-th distance are sorted."""
+    if distance.shape[1] > k:
+        bound = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
+        width = int((distance <= bound).sum(axis=1).max())               # more than k where distances tie
+        part = np.argpartition(distance, width - 1, axis=1)[:, :width]
+        distance, ids = np.take_along_axis(distance, part, 1), np.take_along_axis(ids, part, 1)
+    order = np.lexsort((ids, distance), axis=1)[:, :k]
+    return np.take_along_axis(distance, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _frame(names: np.ndarray, best_d: np.ndarray, best_i: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.repeat(names, best_d.shape[1]), "id": best_i.ravel(), "distance": best_d.ravel()})
+
+
+def _block(asked: pd.DataFrame, stored: pd.DataFrame, k: int) -> pd.DataFrame:
+    if asked.empty or stored.empty:
+        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+    q, v = _unit(asked["embedding"]), _unit(stored["v"])
+    best_d, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
+    for at in range(0, len(v), 4096):
+        distance = 1.0 - q @ v[at:at + 4096].T
+        ids = np.broadcast_to(stored["id"].to_numpy(dtype=np.int64)[at:at + 4096], distance.shape)
+        best_d, best_i = _closest(np.hstack([best_d, distance]), np.hstack([best_i, ids]), k)
+    return _frame(asked["query_id"].to_numpy(dtype=np.int64), best_d, best_i)
+
+
+def _scan(rows: DataFrame, names: np.ndarray, embeddings: list, k: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((names, _unit(embeddings) if embeddings else np.empty((0, 0))))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = shared.value
-        best_d = np.full((len(names), 0), np.inf)
-        best_i = np.zeros((len(names), 0), dtype=np.int64)
+        best_d, best_i = np.empty((len(names), 0)), np.empty((len(names), 0), dtype=np.int64)
         for pdf in batches:
-            if pdf.empty:
+            if pdf.empty or not len(names):
                 continue
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            dist = 1.0 - q @ (v / np.where(norm == 0, 1.0, norm)).T
-            all_d = np.hstack([best_d, dist])
-            all_i = np.hstack([best_i, np.broadcast_to(pdf["id"].to_numpy(dtype=np.int64), dist.shape)])
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+            distance = 1.0 - q @ _unit(pdf["v"]).T
+            ids = np.broadcast_to(pdf["id"].to_numpy(dtype=np.int64), distance.shape)
+            best_d, best_i = _closest(np.hstack([best_d, distance]), np.hstack([best_i, ids]), k)
         if best_d.shape[1]:
-            width = best_d.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(np.array(names, dtype=np.int64), width), "id": best_i.ravel(), "distance": best_d.ravel()})
+            yield _frame(names, best_d, best_i)
 
-    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")) \
-                  .mapInPandas(task, "query_id bigint, id bigint, distance double")
+    return rows.mapInPandas(task, CANDIDATE)
 
 
 def upsert_vectors(stored: DataFrame, incoming: DataFrame, key: str = "vec_id") -> DataFrame:

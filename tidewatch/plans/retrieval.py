@@ -7,8 +7,8 @@ from tidewatch.functions.scalars import sanitize_field
 from tidewatch.operators import vectors as V
 from tidewatch.plans.model import events, query, table, with_ne
 
-# One probe per label: its first vector.
-PROBES = "probes AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label), pe AS (SELECT query_id, embedding FROM probes JOIN embeddings ON vec_id = query_id)"
+# Every vector is a probe.
+PROBES = "pe AS (SELECT vec_id AS query_id, embedding FROM embeddings)"
 
 
 def knn_sql(k: int, where: str = "true") -> str:
@@ -18,8 +18,7 @@ def knn_sql(k: int, where: str = "true") -> str:
 
 
 def probes(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return e.groupBy("label").agg(F.min_by(F.struct(F.col("vec_id").alias("query_id"), "embedding"), "vec_id").alias("p")).select("p.*")
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("vec1_nearest", f"WITH {PROBES}, {knn_sql(10)} SELECT query_id, id, round(distance, 6) AS distance, rank FROM near")
@@ -29,7 +28,7 @@ def vec1(spark, sf):
 
 @query("vec1_nearest_filtered", f"WITH {PROBES}, {knn_sql(5, 'label >= 5')} SELECT query_id, id, round(distance, 6) AS distance, rank FROM near")
 def vec1b(spark, sf):
-    return V.nearest(table(spark, sf, "embeddings").filter("label >= 5"), probes(spark, sf), 5, query_batch=4).withColumn("distance", F.round("distance", 6))
+    return V.nearest(table(spark, sf, "embeddings").filter("label >= 5"), probes(spark, sf), 5, query_block=100).withColumn("distance", F.round("distance", 6))
 
 
 @query("vec2_upsert_vectors", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, len(embedding) AS dims FROM embeddings")
