@@ -29,7 +29,8 @@ def _window_id(rule: str, *keys: str) -> Column:
     return stable_id(F.lit(rule), F.concat_ws("|", F.unix_micros("window_start").cast("string"), *keys))
 
 
-def _scan_windows(events, window, as_of, lookback):
+def scan_windows(events: DataFrame, window: str, as_of: str | None = None, lookback: str | None = None) -> DataFrame:
+    """Rows with a source and a target port, and the start of the window they fall in."""
     return (events.filter(since("timestamp", as_of, lookback) & F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull())
             .withColumn("window_start", F.window("timestamp", window).getField("start")))
 
@@ -37,7 +38,7 @@ def _scan_windows(events, window, as_of, lookback):
 def port_scans(events: DataFrame, window: str = "60 seconds", min_ports: int = 15,
                as_of: str | None = None, lookback: str | None = None) -> DataFrame:
     """Sources touching many distinct ports inside one tumbling window."""
-    return (_scan_windows(events, window, as_of, lookback).groupBy("src_ip", "window_start")
+    return (scan_windows(events, window, as_of, lookback).groupBy("src_ip", "window_start")
             .agg(F.count_distinct("dst_port").alias("distinct_ports"), F.count(F.lit(1)).alias("n_events"),
                  F.min("timestamp").alias("first_event"), F.max("timestamp").alias("created_at"))
             .filter(F.col("distinct_ports") >= min_ports)
@@ -49,7 +50,7 @@ def port_scans(events: DataFrame, window: str = "60 seconds", min_ports: int = 1
 
 
 def port_scan_events(events: DataFrame, scans: DataFrame, window: str = "60 seconds", **scope) -> DataFrame:
-    keyed = _scan_windows(events, window, scope.get("as_of"), scope.get("lookback"))
+    keyed = scan_windows(events, window, scope.get("as_of"), scope.get("lookback"))
     hits = scans.select("src_ip", "window_start", F.col("id").alias("detection_id"))
     return keyed.join(hits, ["src_ip", "window_start"]).select("detection_id", "event_id")
 

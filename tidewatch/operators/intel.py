@@ -176,13 +176,22 @@ def domain_feed_status(store: DataFrame) -> DataFrame:
 
 # ---- assets ------------------------------------------------------------------------------------------------
 
-def asset_inventory(events: DataFrame) -> DataFrame:
-    """Per address: first and last event time, latest known hostname, internal or external."""
+def asset_mentions(events: DataFrame) -> DataFrame:
+    """Per address: first and last event time and the latest row with a hostname; mentions of several batches can be merged."""
     sides = events.select(F.explode(F.array_compact(F.array("src_ip", "dst_ip"))).alias("ip"), "hostname", "timestamp", "event_id").filter("ip <> ''")
     return sides.groupBy("ip").agg(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-        F.max_by("hostname", F.when(F.col("hostname").isNotNull(), F.struct("timestamp", "event_id"))).alias("hostname")
-    ).withColumn("tag", address_tag(F.col("ip")))
+        F.max(F.when(F.col("hostname").isNotNull(), F.struct("timestamp", "event_id", "hostname"))).alias("named"))
+
+
+def merge_assets(mentions: DataFrame) -> DataFrame:
+    return mentions.groupBy("ip").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("named")["hostname"].alias("hostname")) \
+                   .withColumn("tag", address_tag(F.col("ip")))
+
+
+def asset_inventory(events: DataFrame) -> DataFrame:
+    """Per address: first and last event time, latest known hostname, internal or external."""
+    return merge_assets(asset_mentions(events))
 
 
 def alert_counts(links: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import correlate as C, intel as I
 from tidewatch.plans import derived as D
+from tidewatch.plans.enrichment import ASSETS
+from tidewatch.plans.graphs import GRAPH
 from tidewatch.plans.detection import BRUTE_SQL, BRUTE, SCAN, SCAN_SQL, correlated
 from tidewatch.plans.ingestion import RECORD_COLUMNS, eve_lines, sensor_docs, syslog_lines  # noqa: F401
 from tidewatch.plans.model import events, query, raw_events, with_ne
@@ -62,15 +64,41 @@ def str3(spark, sf):
     return out.select(F.get_json_object("raw_event", "$.doc_id").alias("doc"))
 
 
-@query("str4_ingest_pipeline", with_ne("SELECT event_id, severity, timestamp FROM ne"))
-def str4(spark, sf):
+def ingested(spark, sf, stages=False):
+    """Folder of a table filled in three micro-batches, the last of which delivers a fifth of the rows again."""
     folder = scratch_folder(spark)
     raw = raw_events(spark, sf)
     raw.repartition(2).write.parquet(folder + "/in")
-    raw.filter("process_id % 5 = 0").repartition(1).write.mode("append").parquet(folder + "/in")  # delivered again
+    raw.filter("process_id % 5 = 0").repartition(1).write.mode("append").parquet(folder + "/in")
     stream = J.event_stream(spark, folder + "/in", raw.schema, max_files=1)
-    J.ingest(stream, folder + "/events", folder + "/cp", D.iocs(spark, sf), folder + "/hits").awaitTermination()
-    return spark.read.parquet(folder + "/events").select("event_id", "severity", "timestamp")
+    hook = J.derived_stages(folder + "/events", folder + "/stages", **SCAN) if stages else None
+    J.ingest(stream, folder + "/events", folder + "/cp", D.iocs(spark, sf), folder + "/hits", hook).awaitTermination()
+    return folder
+
+
+@query("str4_ingest_pipeline", with_ne("SELECT event_id, severity, timestamp FROM ne"))
+def str4(spark, sf):
+    return spark.read.parquet(ingested(spark, sf) + "/events").select("event_id", "severity", "timestamp")
+
+
+@query("str4_assets", with_ne("SELECT * FROM assets", ASSETS))
+def str4b(spark, sf):
+    return J.derived_table(spark, ingested(spark, sf, True) + "/stages", "assets")
+
+
+@query("str4_entities", with_ne("SELECT * FROM ents", *GRAPH))
+def str4c(spark, sf):
+    return J.derived_table(spark, ingested(spark, sf, True) + "/stages", "entities").select("id", "type", "name", "case_id", "created_at")
+
+
+@query("str4_edges", with_ne("SELECT source_id, edge_type, target_id, event_id, created_at FROM edges", *GRAPH))
+def str4d(spark, sf):
+    return J.derived_table(spark, ingested(spark, sf, True) + "/stages", "edges").select("source_id", "edge_type", "target_id", "event_id", "created_at")
+
+
+@query("str4_detections", with_ne("SELECT * FROM scans", SCAN_SQL))
+def str4e(spark, sf):
+    return J.derived_table(spark, ingested(spark, sf, True) + "/stages", "detections").select("src_ip", "window_start", "distinct_ports", "n_events", "first_event", "created_at")
 
 
 CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM ne {0})"

@@ -10,9 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions.scalars import stable_id
-from tidewatch.operators.correlate import BEACON_TYPES, auth_failure
-from tidewatch.operators.intel import ioc_hits, match_iocs
+from tidewatch.functions.keyed import cut_lineage, newest_per_key, oldest_per_key
+from tidewatch.operators.correlate import BEACON_TYPES, auth_failure, port_scans, scan_windows
+from tidewatch.operators.graph import EDGE_KEY, extract_edges, extract_entities, first_edges, upsert_entities
+from tidewatch.operators.intel import asset_mentions, ioc_hits, match_iocs, merge_assets
 from tidewatch.operators.normalize import normalize
+from tidewatch.operators.rules import anomaly_rules
 from tidewatch.sources import logs, sensor  # noqa: F401  (they register their readers)
 from tidewatch.sources.records import source
 from tidewatch.sources.sinks import append_events, new_events, stored_table
@@ -42,32 +45,72 @@ def event_stream(spark: SparkSession, folder: str, schema, max_files: int | None
 # ---- pipeline ------------------------------------------------------------------------------------------
 
 def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits_folder: str | None = None,
-           after: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, interval: str = "30 seconds") -> StreamingQuery:
+           stages: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, interval: str = "30 seconds") -> StreamingQuery:
     """normalize -> indicator match -> drop ids already stored -> append, per micro-batch.
 
-    A replayed batch finds its ids stored and adds nothing, so the sink is idempotent. ``after`` may run graph or detector
-    jobs on the stored rows of the batch.
+    A replayed batch finds its ids stored and adds nothing, so the sink is idempotent. ``stages`` gets the new rows of the batch
+    before they are stored: whatever it writes by batch is complete once the rows are, and written again if they never were.
     """
     spark = events.sparkSession
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         matched = match_iocs(normalize(batch), iocs)
         rows = matched.select(*batch.columns)
-        fresh = new_events(stored_table(spark, table), rows).persist()
-        try:
-            if hits_folder:
-                new_hits = ioc_hits(matched).join(fresh.select("event_id"), "event_id", "left_semi")
-                new_hits.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(hits_folder)
-            append_events(fresh, table)
-            if after:
-                after(fresh, batch_id)
-        finally:
-            fresh.unpersist()
+        # Checkpointed, not cached: appending to the table would make Spark compute a cached frame anew, then finding all ids stored.
+        fresh = cut_lineage(new_events(stored_table(spark, table), rows))
+        if hits_folder:
+            new_hits = ioc_hits(matched).join(fresh.select("event_id"), "event_id", "left_semi")
+            new_hits.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(hits_folder)
+        if stages:
+            stages(fresh, batch_id)
+        append_events(fresh, table)
 
     writer = events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+def derived_stages(table: str, folder: str, window: str = "60 seconds", min_ports: int = 15) -> Callable[[DataFrame, int], None]:
+    """The ``stages`` of :func:`ingest`: assets, anomalies, graph and correlation of each micro-batch.
+
+    Each stage writes mentions or detections below ``folder``, partitioned by batch; a replayed batch overwrites its own. Correlation
+    reads the stored rows of just the (source, window) pairs that the batch touches, so a window split over batches is counted whole.
+    A batch without new rows (a replay) writes nothing.
+    """
+    def run(fresh: DataFrame, batch_id: int) -> None:
+        spark = fresh.sparkSession
+        touched = scan_windows(fresh, window).select("src_ip", "window_start").distinct()
+        days = touched.agg(F.date_sub(F.min("window_start").cast("date"), 1), F.date_add(F.max(F.col("window_start") + F.expr(f"interval {window}")).cast("date"), 1)).first()
+        stored, near = stored_table(spark, table), fresh
+        if stored is not None and days[0] is not None:
+            near = fresh.unionByName(stored.filter(F.col("event_date").between(*days)).select(*fresh.columns))
+        scope = scan_windows(near, window).join(touched, ["src_ip", "window_start"], "left_semi").select(*fresh.columns)
+        outputs = {
+            "assets": asset_mentions(fresh),
+            "anomalies": fresh.select("event_id", anomaly_rules().alias("rules")).filter(F.size("rules") > 0),
+            "entities": newest_per_key(extract_entities(fresh), ["id"], ["timestamp", "event_id"]),
+            "edges": oldest_per_key(extract_edges(fresh), EDGE_KEY, ["timestamp", "event_id"]),
+            "detections": port_scans(scope, window, min_ports),
+        }
+        for name, rows in outputs.items():
+            rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
+
+    return run
+
+
+def derived_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """What the stages of all batches add up to: equal to the batch operator over all stored events."""
+    rows = spark.read.parquet(f"{folder}/{name}")
+    if name == "assets":
+        return merge_assets(rows)
+    if name == "entities":
+        return upsert_entities(rows.drop("batch_id"))
+    if name == "edges":
+        return first_edges(rows.drop("batch_id"))
+    if name == "detections":
+        return newest_per_key(rows, ["id"], ["batch_id"]).drop("batch_id")
+    return rows.drop("batch_id")
+
+
 # ---- windowed detectors ---------------------------------------------------------------------------------
 
 def stream_port_scans(events: DataFrame, window: str = "60 seconds", min_ports: int = 15, delay: str = "10 minutes") -> DataFrame:
