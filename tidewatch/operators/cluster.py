@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.keyed import cut_lineage
 from tidewatch.functions.scalars import canonical_id
+from tidewatch.operators.rules import map_techniques
 from tidewatch.schema import CHAIN_SEVERITY_POINTS, lookup
 
 
@@ -225,15 +226,22 @@ def score_chains(chain_events: DataFrame, alerts: DataFrame, techniques: DataFra
 
 def causality(events: DataFrame, detections: DataFrame, links: DataFrame, detection_id: str, max_depth: int = 5,
               max_events: int = 50) -> DataFrame:
-    """One row for a detection: chain size, alerts in the chain, techniques, score, time bounds."""
+    """One row for a detection: chain size, alerts in the chain, techniques, score, time bounds.
+
+    Techniques are the catalog's for the detection's tag; without one, those that the type of the triggering event or the
+    detection's text stand for.
+    """
     trigger = links.filter(F.col("detection_id") == detection_id).join(events.select("event_id", "timestamp"), "event_id") \
         .agg(F.min_by("event_id", F.struct("timestamp", "event_id")).alias("event_id")).first()["event_id"]
     chain = causal_chain(events, trigger, max_depth, max_events)
     in_chain = events.join(chain, "event_id").withColumn("chain_id", F.lit(detection_id))
     touching = links.join(chain.select("event_id"), "event_id", "left_semi").select(F.col("detection_id").alias("id")).distinct()
     alerts = detections.join(touching, "id", "left_semi").withColumn("chain_id", F.lit(detection_id))
-    techniques = detections.filter(F.col("id") == detection_id).select(
-        F.lit(detection_id).alias("chain_id"), F.col("attack_technique").alias("technique"))
+    kind = events.filter(F.col("event_id") == trigger).select("event_type").first()
+    tag = F.when(F.coalesce("attack_technique", F.lit("")) != "", F.array(F.concat(F.lit("attack."), F.lower("attack_technique")))).otherwise(F.array().cast("array<string>"))
+    text = F.lower("explanation") if "explanation" in detections.columns else F.lit("")
+    alert = detections.filter(F.col("id") == detection_id).select(tag.alias("tags"), F.lit(kind["event_type"] if kind else None).cast("string").alias("event_type"), text.alias("category"))
+    techniques = map_techniques(alert).select(F.lit(detection_id).alias("chain_id"), "technique")
     bounds = in_chain.groupBy("chain_id").agg(F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event"))
     alert_count = alerts.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_alerts"))
     return score_chains(in_chain, alerts, techniques).join(bounds, "chain_id").join(alert_count, "chain_id", "left") \

@@ -1,9 +1,9 @@
 """Threat indicators, address reference data, assets and tracker privacy checks."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.functions.keyed import newest_per_key, side_by_side
+from tidewatch.functions.keyed import cut_lineage, newest_per_key, side_by_side
 from tidewatch.functions.scalars import address_tag, domain_suffixes, flow_direction, ip_type, is_private_ip
 from tidewatch.operators.hunt import newest_first, recent_dns, recent_http
 from tidewatch.schema import DNS_EVENT_TYPES, FEED_STALE_HOURS
@@ -77,6 +77,23 @@ def retroactive_hits(events: DataFrame, fresh: DataFrame, as_of: str, lookback:
     return touched.join(wanted, "ip").select("event_id", "timestamp", "ioc_value", "ioc_type", F.col("confidence").alias("risk_score"))
 
 
+def mark_stored(spark: SparkSession, folder: str, fresh: DataFrame, as_of: str, lookback: str = "30 DAYS") -> None:
+    """Write match flag and confidence of new indicators into the stored events of the lookback.
+
+    Only day partitions with a hit are rewritten, each replaced when the job commits; a rerun gives the same rows. The highest
+    confidence wins, and an actor already known stays.
+    """
+    stored = spark.read.parquet(folder)
+    hits = cut_lineage(retroactive_hits(stored, fresh, as_of, lookback).groupBy("event_id").agg(F.max("risk_score").alias("_risk")))
+    days = [r[0] for r in stored.join(hits, "event_id", "left_semi").select("event_date").distinct().collect()]     # one row a day
+    if not days:
+        return
+    marked = stored.filter(F.col("event_date").isin(days)).join(hits, "event_id", "left").withColumns({
+        "ioc_matched": F.coalesce("ioc_matched", F.lit(False)) | F.col("_risk").isNotNull(),
+        "ioc_confidence": F.greatest("ioc_confidence", F.col("_risk").cast(stored.schema["ioc_confidence"].dataType))})
+    marked.select(*stored.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(folder)
+
+
 def feed_status(iocs: DataFrame, syncs: DataFrame, as_of: str) -> DataFrame:
     """Status per known feed from its last sync (feed, last_sync) and its indicator count."""
     spark = iocs.sparkSession

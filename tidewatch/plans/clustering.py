@@ -103,10 +103,11 @@ def clu7(spark, sf):
 
 
 @query("clu8_causality", with_ne(f"""
-SELECT 'det-3' AS chain_id, '30' AS trigger_event, count(*) AS n_events, min(timestamp) AS first_event, max(timestamp) AS last_event FROM (
+SELECT 'det-3' AS chain_id, '30' AS trigger_event, count(*) AS n_events, min(timestamp) AS first_event, max(timestamp) AS last_event,
+  count(DISTINCT CASE WHEN doc_id IS NOT NULL THEN CAST(event_id AS BIGINT) // 10 END) AS n_alerts FROM (
   SELECT event_id, timestamp FROM ne WHERE event_id = '30'
   UNION ALL (SELECT n.event_id, n.timestamp FROM ne n, (SELECT * FROM ne WHERE event_id = '30') s WHERE n.event_id <> '30' AND ({CAUSAL_MATCH})
-  ORDER BY n.timestamp, n.event_id LIMIT 49))"""))
+  ORDER BY n.timestamp, n.event_id LIMIT 49)) LEFT JOIN documents ON doc_id = CAST(event_id AS BIGINT) // 10"""))
 def clu8(spark, sf):
     out = K.causality(events(spark, sf), D.detections(spark, sf), D.detection_links(spark, sf), "det-3")
-    return out.select("chain_id", "trigger_event", "n_events", "first_event", "last_event")
+    return out.select("chain_id", "trigger_event", "n_events", "first_event", "last_event", "n_alerts")

@@ -9,7 +9,7 @@ from tidewatch.plans.clustering import HOURLY, hourly
 from tidewatch.plans.graphs import GRAPH
 from tidewatch.plans.model import AS_OF, events, query, table, with_ne
 from tidewatch.schema import ATTACK_TACTICS, PRIORITY_TECHNIQUES
-from tidewatch.sources.sinks import scratch_folder
+from tidewatch.sources.sinks import append_events, scratch_folder
 
 # ---- indicators --------------------------------------------------------------------------------------
 
@@ -80,6 +80,17 @@ def ti4(spark, sf):
     return I.retroactive_hits(events(spark, sf), D.iocs(spark, sf), AS_OF, "20 DAYS").select("event_id", "ioc_value", "risk_score")
 
 
+@query("ti4_marked_events", with_ne(f"""
+SELECT event_id, coalesce(max(i.confidence) IS NOT NULL, false) AS ioc_matched, CAST(max(i.confidence) AS BIGINT) AS ioc_confidence FROM ne
+LEFT JOIN iocs i ON coalesce(i.bare_ip, i.ioc_value) IN (ne.src_ip, ne.dst_ip) AND timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY GROUP BY 1""", D.IOCS))
+def ti4b(spark, sf):
+    """Stored events after the write-back of new indicators."""
+    folder = scratch_folder(spark) + "/events"
+    append_events(events(spark, sf).withColumns({"ioc_matched": F.lit(None).cast("boolean"), "ioc_confidence": F.lit(None).cast(events(spark, sf).schema["ioc_confidence"].dataType)}), folder)
+    I.mark_stored(spark, folder, D.iocs(spark, sf), AS_OF, "20 DAYS")
+    return spark.read.parquet(folder).select("event_id", F.coalesce("ioc_matched", F.lit(False)).alias("ioc_matched"), F.col("ioc_confidence").cast("bigint").alias("ioc_confidence"))
+
+
 @query("ti5_feed_status", f"""WITH {D.IOCS}
 SELECT feed, (SELECT count(*) FROM iocs WHERE feed_source = feed) AS ioc_count, status FROM (VALUES ('feodo', 'stale'), ('cisa_kev', 'never'), ('threatfox', 'ok'), ('misp', 'ok')) t(feed, status)""")
 def ti5(spark, sf):
