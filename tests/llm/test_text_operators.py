@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tidewatch.llm import bpe, decontaminate, dedup, language, quality
-from tidewatch.llm.queries import BYTE_BPE, QUERIES
+from tidewatch.llm import bpe, decontaminate, dedup, fingerprints, language, pii, quality, sharding, token_files
+from tidewatch.llm.queries import BYTE_BPE, QUERIES, SQL, WORD_BPE
 
 SF = "/root/testdata/sf0.01"
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
@@ -155,6 +155,33 @@ def test_near_duplicates_of_one_large_loose_group(spark, monkeypatch):
     assert rows_of(dedup.components(frame(spark, rows))) == brute_components(rows)
 
 
+def test_clashing_extra_columns_are_ignored(spark):
+    """Columns that bear the names of the operators' own."""
+    rows = [r for r in AWKWARD if r[0] not in (5, None)]
+    plain = frame(spark, rows)
+    busy = plain
+    for name in ("ids", "node", "id", "class", "label", "held_out", "x", "y", "digest", "shard", "size", "text_key", "rank", "chunk", "base", "kind", "row", "n_tokens", "key"):
+        busy = busy.withColumn(name, F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (7, None, None)], LABELS).withColumn("text", F.lit("z")).withColumn("x", F.lit(1))
+    bench = spark.createDataFrame([(90, "one two", 1)], "item_id long, text string, doc_id long")
+    jobs = [lambda d: bpe.round_trip(d, BYTE_BPE), lambda d: quality.score_quality(d, labels), lambda d: decontaminate.report(decontaminate.decontaminate(d, bench)), dedup.components, language.identify,
+            sharding.shard_by_bytes, lambda d: pii.report(pii.find_spans(d)), lambda d: token_files.written_and_read(d, WORD_BPE), fingerprints.edited_and_next]
+    for job in jobs:
+        assert rows_of(job(busy)) == rows_of(job(plain))
+    for job in (lambda d: quality.accept(d, labels), dedup.keep_one, lambda d: decontaminate.drop_contaminated(d, bench), pii.redact):
+        assert job(busy).columns == busy.columns and rows_of(job(busy).select("doc_id", "text")) == rows_of(job(plain).select("doc_id", "text"))
+
+
+def test_sql_of_benchmark_hits(spark):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.execute(SQL["op4_benchmark_hits"])
+    names = [d[0] for d in found.description]
+    assert sorted(map(repr, found.fetchall())) == rows_of(QUERIES["op4_benchmark_hits"](spark, SF).select(*names))
+
+
 def test_quality_on_held_out_rows(spark):
     found = QUERIES["op3_quality_scores"](spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 CHUNK = 1 << 14                # characters of text handled at a time
 MEMO = 1 << 19                 # words whose ids a worker remembers
@@ -323,20 +322,16 @@ def loaded(path: str) -> tuple[Vocabulary, Encoder]:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of docs, and ids: the text as an array of token ids; null texts have none."""
-    kept = docs.columns
-    if "ids" in kept:
-        raise ValueError("docs already has a column ids")
-
+    """(doc_id, ids): the text as an array of token ids; null texts have none. Other columns are ignored."""
     def scan(batches):
         _, encoder = loaded(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 ids = [np.frombuffer(b"".join(encoder.chunks(in_pieces(t or ""))), dtype="<u4").astype(np.int32) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.mapInArrow(scan, StructType(list(docs.schema.fields)).add("ids", ArrayType(IntegerType())))
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_documents(docs: DataFrame, path: str) -> DataFrame:
