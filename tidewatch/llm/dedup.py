@@ -6,11 +6,11 @@ its classes to one child per value of each selected token, so a pair at the thre
 average. A node of at most ``SMALL`` classes is a leaf. A larger one is branched again, on two coordinates on average, up to
 ``LEVELS`` levels in all; a pair at the threshold is missed by one tree with probability 1/2 and by all with about 1e-6.
 
-Links are confirmed on full shingle sets in two steps, so that tight groups never turn into all their pairs:
-1. TURNS times, every class against one pivot of another label: of the pivots drawn by its nodes, the one it shares most nodes
-   with. Components of the confirmed pairs give new labels, so a group is soon under one label.
-2. inside leaves, only pairs with different labels are compared, on the signatures first. Nodes that stay large at the last
-   level are cut into blocks: classes outside the node's largest label meet every block, so nothing is left out.
+Links are confirmed on full shingle sets in two steps, so that groups never turn into all their pairs:
+1. every class against one pivot, of its nodes' smallest classes the one it shares most nodes with. Confirmed pairs merge labels.
+2. classes tied by leaves (over pairs with similar signatures) or by nodes that stay large form families. A family's sets are
+   brought together once, in blocks of about BLOCK classes; classes outside its largest label meet every block, so every pair of
+   different labels is compared, and one row a joined label comes out.
 """
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from tidewatch.llm.common import BASE, MASK, Words, byte_table, mixed, sequence_
 from tidewatch.operators.cluster import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.75
-COORDINATES, TREES, SMALL, LEVELS, SHARED, TURNS = 64, 20, 64, 3, 8, 3
+COORDINATES, TREES, SMALL, LEVELS, SHARED, BLOCK = 64, 20, 64, 3, 8, 512
 ESTIMATE = 0.5                # of the signatures; 4.6 standard deviations under the threshold
 WORD_BYTES = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
 MULTIPLIERS = (mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1))
@@ -101,73 +101,110 @@ def children(rows: DataFrame, level: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents whose full sets reach the similarity. Sets are built only for documents in a pair."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-
-    def sets(batches):
-        for batch in batches:
-            for first, run in text_batches(batch.column("text").to_pylist()):
-                hashes, bounds = shingle_sets(run)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(run)), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "set"])
-
     def compare(batches):
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(left.as_py(), dtype=np.uint64), np.frombuffer(right.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 100 * SIMILARITY * (len(x) + len(y) - both))
+            keep = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    built = stored(texts.mapInArrow(sets, "id long, set binary"))
+    built = shingles_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     both = pairs.join(built.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(built.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs with different labels and similar signatures at each place; rows are (place, id, label, home, tokens).
+def token_matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
-    Each of the about SMALL home rows of a place is compared with all its rows. Places are read from sorted partitions.
-    """
-    def pairs_of(ids, labels, home, tokens):
+
+def leaf_ties(rows: DataFrame) -> DataFrame:
+    """(a, b) ties inside leaves, from (node, id, tokens) rows: every class of a leaf with the first one that it reaches over pairs
+    with similar signatures. All pairs of a leaf are compared, but a leaf gives less ties than it has classes."""
+    def emit(table):
+        node, ids, tokens = table.column("node").to_numpy(), table.column("id").to_numpy(), token_matrix(table.column("tokens"))
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)]))
         out_a, out_b = [], []
-        for i in np.flatnonzero(home).tolist():
-            other = labels != labels[i]
-            other[:i] &= ~home[:i]
-            rest = np.flatnonzero(other)
-            if len(rest):
-                near = rest[(tokens[rest] == tokens[i]).mean(axis=1) >= ESTIMATE]
-                out_a.append(np.full(len(near), ids[i]))
-                out_b.append(ids[near])
-        return out_a, out_b
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            part = tokens[first:last]
+            near = (part[:, None, :] == part[None, :, :]).mean(axis=2) >= ESTIMATE
+            reach = np.arange(last - first)
+            while True:                                          # at most SMALL classes: a few rounds
+                new = np.where(near, reach[None, :], last - first).min(axis=1)
+                if (new == reach).all():
+                    break
+                reach = new
+            at = np.flatnonzero(reach != np.arange(last - first))
+            out_a.append(ids[first + reach[at]])
+            out_b.append(ids[first + at])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def scan(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            place = table.column("place").to_numpy()
-            cut = int(np.searchsorted(place, place[-1])) if len(place) else 0      # the last group may go on
-            yield from emit(table.slice(0, cut))
+            node = table.column("node").to_numpy()
+            cut = int(np.searchsorted(node, node[-1])) if len(node) else 0      # the last leaf may go on
+            if cut:
+                yield emit(table.slice(0, cut))
             held = table.slice(cut)
-        if held is not None:
-            yield from emit(held)
+        if held is not None and held.num_rows:
+            yield emit(held)
 
-    def emit(table):
-        if not table.num_rows:
-            return
-        place, ids, labels, home = (table.column(c).to_numpy() for c in ("place", "id", "label", "home"))
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-        bounds = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
-        all_a, all_b = [], []
-        for first, last in zip(bounds[:-1], bounds[1:]):
-            a, b = pairs_of(ids[first:last], labels[first:last], home[first:last], tokens[first:last])
-            all_a += a
-            all_b += b
-        if all_a:
-            a, b = np.concatenate(all_a), np.concatenate(all_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return rows.repartition("place").sortWithinPartitions("place", "id").mapInArrow(scan, "a long, b long").distinct()
+    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(scan, "a long, b long").distinct()
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, set) of the documents with a wanted id; stored."""
+    def sets(batches):
+        for batch in batches:
+            for first, run in text_batches(batch.column("text").to_pylist()):
+                hashes, bounds = shingle_sets(run)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(run)), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    return stored(texts.mapInArrow(sets, "id long, set binary"))
+
+
+def linked(left: np.ndarray, right: np.ndarray) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= 100 * SIMILARITY * (len(left) + len(right) - both)
+
+
+def family_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join different labels of a family, from (place, id, label, home, tokens, set) rows.
+
+    The about BLOCK home rows of a place are held and all its rows pass by them. Pairs of one label, or of labels that a link of
+    this place has joined, are skipped; signatures select what is compared on full sets.
+    """
+    def scan(batches):
+        place, ids, labels, sets, tokens, joined = None, [], [], [], np.empty((0, COORDINATES), dtype=np.uint32), {}
+
+        def root(label):
+            while joined.get(label, label) != label:
+                label = joined[label]
+            return label
+
+        for batch in batches:
+            out_a, out_b = [], []
+            for row, own in zip(batch.to_pylist(), token_matrix(batch.column("tokens"))):
+                if row["place"] != place:
+                    place, ids, labels, sets, tokens, joined = row["place"], [], [], [], np.empty((BLOCK, COORDINATES), dtype=np.uint32), {}
+                mine, n = np.frombuffer(row["set"], dtype=np.uint64), len(ids)
+                near = np.flatnonzero((tokens[:n] == own).mean(axis=1) >= ESTIMATE) if n else ()
+                for k in near:
+                    if root(labels[k]) != root(row["label"]) and linked(mine, sets[k]):
+                        joined[root(labels[k])] = root(row["label"])
+                        out_a.append(min(ids[k], row["id"]))
+                        out_b.append(max(ids[k], row["id"]))
+                if row["home"]:
+                    if n == len(tokens):
+                        tokens = np.concatenate([tokens, np.empty_like(tokens)])
+                    tokens[n] = own
+                    ids.append(row["id"])
+                    labels.append(row["label"])
+                    sets.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("place").sortWithinPartitions("place", F.desc("home"), "id").mapInArrow(scan, "a long, b long").distinct()
 
 
 def mixed_members(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -201,37 +238,47 @@ def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return leaves, roots
 
 
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each class with one pivot of another label, of those its nodes drew the one it met most often."""
-    draw = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("draw"), "id", "label")
-    pivots = members.groupBy("node").agg(F.min(draw).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.label").alias("pivot_label"))
-    met = members.join(pivots, "node").filter("label <> pivot_label").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+def star_pairs(roots: DataFrame) -> DataFrame:
+    """(a, b): each class with the pivot, the smallest class of a node, that it shares most nodes with."""
+    pivots = roots.groupBy("node").agg(F.min("id").alias("pivot"))
+    met = roots.join(pivots, "node").filter("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
     return met.groupBy("id").agg(F.max_by("pivot", F.struct("n", F.xxhash64("pivot"))).alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
+def hooked(label: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after confirmed pairs: each label takes the smallest that a pair ties it to, followed twice. No loop is needed here,
+    as equal labels need only mean one component; the components themselves are walked once, over all links, at the end."""
+    ends = found
+    for side in ("a", "b"):
+        ends = ends.join(label.select(F.col("id").alias(side), "label"), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    ties = ends.filter("a <> b").select(F.greatest("a", "b").alias("low"), F.least("a", "b").alias("up"))
+    up = stored(ties.groupBy("low").agg(F.min("up").alias("up")))
+    for _ in range(2):
+        up = up.join(up.select(F.col("low").alias("up"), F.col("up").alias("further")), "up", "left").select("low", F.coalesce("further", "up").alias("up"))
+    moved = label.join(up, F.col("label") == F.col("low"), "left").select("id", F.coalesce("up", "label").alias("label"))
+    return stored(moved.unionByName(up.select(F.col("low").alias("id"), F.col("up").alias("label"))).groupBy("id").agg(F.min("label").alias("label")))
+
+
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, label): for each linked class the smallest class it reaches; classes are (id, tokens)."""
     leaves, roots = tree_nodes(classes)
-    label = classes.select("id", F.col("id").alias("label")).limit(0)
-    links, members = None, mixed_members(roots, label)
-    for turn in range(TURNS):
-        found = stored(confirmed(stored(star_pairs(members, turn)), docs))
-        links = found if links is None else links.unionByName(found)
-        label = stored(connected_components(links).select(F.col("node").alias("id"), "label"))
-        members = mixed_members(members.drop("label"), label)
+    first = stored(confirmed(stored(star_pairs(roots)), docs))
+    label = hooked(classes.select("id", F.col("id").alias("label")).limit(0), first)
     rows = mixed_members(leaves, label)
-    small = rows.filter(F.col("size") <= SMALL).select(F.col("node").alias("place"), "id", "label", F.lit(True).alias("home"))
-    big = rows.filter(F.col("size") > SMALL)
-    largest = big.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    n_blocks = F.ceil(F.col("size") / SMALL).cast("int")
-    own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    # Rows of the node's largest label stay in their own block, the others meet every block: all pairs of different labels meet.
-    blocks = F.when(F.col("label") != F.col("main"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(own))
-    big = (big.join(largest, "node").withColumn("own", own).withColumn("block", F.explode(blocks))
-           .select(F.xxhash64("node", "block").alias("place"), "id", "label", (F.col("own") == F.col("block")).alias("home")))
-    more = cross_pairs(small.unionByName(big).join(classes, "id").select("place", "id", "label", "home", "tokens"))
-    links = links.unionByName(confirmed(stored(more), docs))
-    return connected_components(links).select(F.col("node").alias("id"), "label")
+    ties = leaf_ties(rows.filter(F.col("size") <= SMALL).join(classes, "id").select("node", "id", "tokens"))
+    dense = rows.filter(F.col("size") > SMALL).select("node", "id")
+    ties = ties.unionByName(dense.join(dense.groupBy("node").agg(F.min("id").alias("a")), "node").filter("a <> id").select("a", F.col("id").alias("b")).distinct())
+    family = stored(connected_components(ties).select(F.col("node").alias("id"), F.col("label").alias("family")).join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    several = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("family", "size")
+    largest = family.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # Rows of the family's largest label stay in their own block, the others meet every block: all pairs of different labels meet.
+    blocks = F.when(F.col("label") != F.col("main"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(F.col("own")))
+    placed = (family.join(several, "family").join(largest, "family").withColumn("own", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("block", F.explode(blocks))
+              .select(F.xxhash64("family", "block").alias("place"), "id", "label", (F.col("own") == F.col("block")).alias("home")))
+    placed = stored(placed)
+    second = family_links(placed.join(classes, "id").join(shingles_of(docs, placed.select("id").distinct()), "id").select("place", "id", "label", "home", "tokens", "set"))
+    return connected_components(first.unionByName(second)).select(F.col("node").alias("id"), "label")
 
 
 def components(docs: DataFrame) -> DataFrame:
