@@ -12,6 +12,7 @@ from tidewatch.sources.sinks import scratch_folder
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+MAX_BROADCAST_IDS = 1_000_000
 BATCH_BYTES = 1 << 21              # text that one array step handles at once, apart from a single longer text
 
 
@@ -26,6 +27,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def with_ids(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows with a wanted id; ``wanted`` is stored. Up to MAX_BROADCAST_IDS ids (8 MB) are broadcast, so that texts stay where they
+    are; more are joined by a shuffle."""
+    return docs.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted, key, "left_semi")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that is never learned from; a row without id belongs to it."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

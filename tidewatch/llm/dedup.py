@@ -3,8 +3,8 @@
 Texts become sets of five-word shingles; documents with equal sets are one class. Each class has ``COORDINATES`` minwise
 tokens. In each of ``TREES`` independent trees a node selects a few coordinates, 1 / similarity of them on average, and sends
 its classes to one child per value of each selected token, so a pair at the threshold survives a level with one common child on
-average. A node of at most ``SMALL`` classes is a leaf. A larger one is branched again, on two coordinates on average, up to
-``LEVELS`` levels in all; a pair at the threshold is missed by one tree with probability 1/2 and by all with about 1e-6.
+average. A node of at most ``SMALL`` classes is a leaf. A larger one is branched again, up to ``LEVELS`` levels in all; a pair at
+the threshold is lost by one tree with probability 0.55 after three levels and by all with less than 1e-5.
 
 Links are confirmed on full shingle sets in two steps, so that groups never turn into all their pairs:
 1. every class against one pivot, of its nodes' smallest classes the one it shares most nodes with. Confirmed pairs merge labels.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import BASE, MASK, Words, byte_table, mixed, sequence_hash, stored, text_batches
+from tidewatch.llm.common import BASE, MASK, Words, byte_table, mixed, sequence_hash, stored, text_batches, with_ids
 from tidewatch.operators.cluster import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.75
@@ -66,8 +66,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def chosen(node: np.ndarray, level: int) -> list[np.ndarray]:
-    """Per coordinate whether a node selects it: 1 / SIMILARITY of them on average and at least one at a root, else two."""
-    share = np.uint64(int((1 << 64) * (2 if level else 1 / SIMILARITY) / COORDINATES))
+    """Per coordinate whether a node selects it: 1 / SIMILARITY of them on average, and at least one at a root."""
+    share = np.uint64(int((1 << 64) / (SIMILARITY * COORDINATES)))
     draws = np.stack([mixed(node + np.uint64((k + 1) * BASE & MASK)) for k in range(COORDINATES)])
     picked = draws < share
     if level == 0:
@@ -99,15 +99,14 @@ def children(rows: DataFrame, level: int) -> DataFrame:
     return rows.mapInArrow(scan, "node long, id long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents whose full sets reach the similarity. Sets are built only for documents in a pair."""
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets, from (id, set), reach the similarity."""
     def compare(batches):
         for batch in batches:
             keep = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    built = shingles_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    both = pairs.join(built.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(built.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
@@ -160,7 +159,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 hashes, bounds = shingle_sets(run)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(run)), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), wanted, "id")
     return stored(texts.mapInArrow(sets, "id long, set binary"))
 
 
@@ -262,7 +261,8 @@ def hooked(label: DataFrame, found: DataFrame) -> DataFrame:
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, label): for each linked class the smallest class it reaches; classes are (id, tokens)."""
     leaves, roots = tree_nodes(classes)
-    first = stored(confirmed(stored(star_pairs(roots)), docs))
+    sets = shingles_of(docs, stored(roots.select("id").distinct()))        # once, of the classes that can have a link
+    first = stored(confirmed(stored(star_pairs(roots)), sets))
     label = hooked(classes.select("id", F.col("id").alias("label")).limit(0), first)
     rows = mixed_members(leaves, label)
     ties = leaf_ties(rows.filter(F.col("size") <= SMALL).join(classes, "id").select("node", "id", "tokens"))
@@ -277,7 +277,7 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     placed = (family.join(several, "family").join(largest, "family").withColumn("own", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("block", F.explode(blocks))
               .select(F.xxhash64("family", "block").alias("place"), "id", "label", (F.col("own") == F.col("block")).alias("home")))
     placed = stored(placed)
-    second = family_links(placed.join(classes, "id").join(shingles_of(docs, placed.select("id").distinct()), "id").select("place", "id", "label", "home", "tokens", "set"))
+    second = family_links(placed.join(classes, "id").join(sets, "id").select("place", "id", "label", "home", "tokens", "set"))
     return connected_components(first.unionByName(second)).select(F.col("node").alias("id"), "label")
 
 
@@ -301,4 +301,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose id names their component, all columns kept; documents without an id are kept."""
     kept = stored(components(docs).filter("kept").select("doc_id").distinct())
     alone = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(alone)
+    return with_ids(docs, kept, "doc_id").select(*docs.columns).unionByName(alone)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import byte_table, held_out, stored
+from tidewatch.llm.common import byte_table, held_out, stored, with_ids
 
 FEATURES, RIDGE, BINS, SEED, PARTS = 256, 1e-2, 1024, 7, 16
 MAX_TRAIN_ROWS = 200_000       # documented bound of the labelled rows a fit uses, chosen by a hash of the id
@@ -160,8 +160,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents scored at ACCEPT or more, all columns kept: learns as score_quality does, then scores inside one scan."""
-    known = labels.filter("quality is not null").select("doc_id").distinct()
-    model = docs.sparkSession.sparkContext.broadcast(fit(statistics_table(docs.join(known, "doc_id", "left_semi")), labels))
+    known = stored(labels.filter("quality is not null").select("doc_id").distinct())
+    model = docs.sparkSession.sparkContext.broadcast(fit(statistics_table(with_ids(docs, known, "doc_id")), labels))
 
     def scan(batches):
         for batch in batches:
