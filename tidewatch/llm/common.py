@@ -13,7 +13,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MAX_BROADCAST_IDS = 1_000_000
-BATCH_BYTES = 1 << 21              # text that one array step handles at once, apart from a single longer text
+BATCH_BYTES = 1 << 19              # text that one array step handles at once, apart from a single longer text
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -208,12 +208,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not built:
             built.append(benchmark_patterns(shared.value))
         for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for first, run in text_batches(batch.column("text").to_pylist()):
-                words = Words(run, WORD_BYTES)
-                for tables, _ in built[0]:
-                    for _, at in tables.search(words):
-                        keep[first + int(words.text[at])] = False
-            yield batch.filter(pa.array(keep))
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                keep = np.ones(part.num_rows, dtype=bool)
+                for first, run in text_batches(part.column("text").to_pylist()):
+                    words = Words(run, WORD_BYTES)
+                    for tables, _ in built[0]:
+                        for _, at in tables.search(words):
+                            keep[first + int(words.text[at])] = False
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(scan, docs.schema)
