@@ -49,6 +49,24 @@ def test_other_layouts_and_decoding(spark):
     assert len(got) == len(odd) and pages.extract(rows.limit(0)).count() == 0
 
 
+def test_layout_of_div_elements_alone_is_read():
+    rng = random.Random(5)
+    words = "river stone market paper window garden letter morning winter simple travel number farmer bridge season station".split()
+
+    def sentence(low, high):
+        return " ".join(rng.choices(words, k=rng.randint(low, high))).capitalize() + "."
+
+    def page():
+        body = [" ".join(sentence(6, 14) for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(3, 6))]
+        links = "".join(f'<li><a href="#">{sentence(1, 2)}</a></li>' for _ in range(5))
+        return f'<body><div class="menu"><ul>{links}</ul></div><div class="story">{"".join(f"<div>{b}</div>" for b in body)}</div><div class="footer">{sentence(3, 6)}</div></body>', "\n".join(body)
+
+    made = [page() for _ in range(230)]
+    model = pages.fit([h for h, _ in made[:200]])
+    got = [(set(t.split("\n")), set(body.split("\n"))) for t, (_, body) in zip(pages.main_text([pages.Page(h) for h, _ in made[200:]], model), made[200:])]
+    assert all(found <= wanted for found, wanted in got) and sum(len(found) for found, _ in got) > 0.96 * sum(len(wanted) for _, wanted in got)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     sf = "/root/testdata/sf0.001"

@@ -5,7 +5,8 @@ from its tag, the words of its attributes, depth, subtree density, links and sib
 the whole tree under one rule: below a node left out, all is left out, so an ancestor and a descendant never contradict.
 
 No gold labels come with pages. The trees learn from two bounded sets: page skeletons built here from the texts of a sample of
-the pages, whose labels are known, and the sampled pages themselves, labelled by their semantic tags.
+the pages, whose labels are known, and the sampled pages themselves, labelled by their semantic tags. A sampled page whose tags
+mark no text (no article or main element, or nothing in it) says nothing about its blocks: it lends its texts, not labels.
 """
 from __future__ import annotations
 
@@ -298,7 +299,8 @@ def fit(samples: list[str | None]) -> BoostedTrees:
     texts = [t for p in parsed for t in p.text if t.count(" ") >= 3] or ["one two three four five six seven. Eight nine ten, eleven twelve thirteen."]
     rng = random.Random(11)
     parsed += [Page(skeleton(rng, texts)) for _ in range(SKELETONS)]
-    return BoostedTrees().fit(np.concatenate([p.features() for p in parsed]), np.concatenate([p.known() for p in parsed]).astype(np.float64))
+    labelled = [(p, known) for p, known in ((p, p.known()) for p in parsed) if known.any()]
+    return BoostedTrees().fit(np.concatenate([p.features() for p, _ in labelled]), np.concatenate([known for _, known in labelled]).astype(np.float64))
 
 
 def main_text(pages: list[Page], model: BoostedTrees) -> list[str]:
