@@ -60,11 +60,16 @@ def auth_failure() -> Column:
     return F.coalesce((F.col("event_outcome") == "failure") | (F.col("event_type") == "logon_failure") | failed_ssh, F.lit(False))
 
 
+def failure_windows(events: DataFrame, window: str, as_of: str | None = None, lookback: str | None = None) -> DataFrame:
+    """Authentication failures with a source, and the start of the window they fall in."""
+    return (events.filter(since("timestamp", as_of, lookback) & F.col("src_ip").isNotNull() & auth_failure())
+            .withColumn("window_start", F.window("timestamp", window).getField("start")))
+
+
 def brute_force(events: DataFrame, window: str = "60 seconds", min_failures: int = 10,
                 as_of: str | None = None, lookback: str | None = None) -> DataFrame:
     """Repeated authentication failures from one source to one target."""
-    return (events.filter(since("timestamp", as_of, lookback) & F.col("src_ip").isNotNull() & auth_failure())
-            .withColumn("window_start", F.window("timestamp", window).getField("start"))
+    return (failure_windows(events, window, as_of, lookback)
             .groupBy("src_ip", "dst_ip", "window_start")
             .agg(F.count(F.lit(1)).alias("n_events"), F.min("timestamp").alias("first_event"),
                  F.max("timestamp").alias("created_at"))
@@ -77,12 +82,14 @@ def brute_force(events: DataFrame, window: str = "60 seconds", min_failures: int
                                     F.coalesce("dst_ip", F.lit("unknown")), "n_events").alias("explanation")))
 
 
+def connections(events: DataFrame, as_of: str | None = None, lookback: str | None = None) -> DataFrame:
+    return events.filter(since("timestamp", as_of, lookback) & F.col("event_type").isin(BEACON_TYPES)
+                         & F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull() & F.col("dst_port").isNotNull())
+
+
 def connection_gaps(events: DataFrame, as_of=None, lookback=None, chunk: str = "hour") -> DataFrame:
     """Seconds since the previous connection of the same (source, target, port); first one has no row."""
-    conns = events.filter(
-        since("timestamp", as_of, lookback) & F.col("event_type").isin(BEACON_TYPES)
-        & F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull() & F.col("dst_port").isNotNull()
-    ).select("event_id", "src_ip", "dst_ip", "dst_port", "timestamp")
+    conns = connections(events, as_of, lookback).select("event_id", "src_ip", "dst_ip", "dst_port", "timestamp")
     micros = F.unix_micros("timestamp")
     return (with_previous(conns, ["src_ip", "dst_ip", "dst_port"], "timestamp", "event_id", micros, "_before", chunk)
             .filter(F.col("_before").isNotNull())

@@ -7,9 +7,9 @@ from tidewatch.operators import correlate as C, intel as I
 from tidewatch.plans import derived as D
 from tidewatch.plans.enrichment import ASSETS
 from tidewatch.plans.graphs import GRAPH
-from tidewatch.plans.detection import BRUTE_SQL, BRUTE, SCAN, SCAN_SQL, correlated
+from tidewatch.plans.detection import BEACON, BRUTE_SQL, BRUTE, CHAINS, SCAN, SCAN_SQL, correlated
 from tidewatch.plans.ingestion import RECORD_COLUMNS, eve_lines, sensor_docs, syslog_lines  # noqa: F401
-from tidewatch.plans.model import events, query, raw_events, with_ne
+from tidewatch.plans.model import AS_OF, REGISTRY, events, query, raw_events, with_ne
 from tidewatch.sources.sinks import scratch_folder
 from tidewatch.streaming import jobs as J
 
@@ -71,7 +71,7 @@ def ingested(spark, sf, stages=False):
     raw.repartition(2).write.parquet(folder + "/in")
     raw.filter("process_id % 5 = 0").repartition(1).write.mode("append").parquet(folder + "/in")
     stream = J.event_stream(spark, folder + "/in", raw.schema, max_files=1)
-    hook = J.derived_stages(folder + "/events", folder + "/stages", **SCAN) if stages else None
+    hook = J.derived_stages(folder + "/events", folder + "/stages", **SCAN, brute=BRUTE, beacon=BEACON, chains=CHAINS, as_of=AS_OF) if stages else None
     J.ingest(stream, folder + "/events", folder + "/cp", D.iocs(spark, sf), folder + "/hits", hook).awaitTermination()
     return folder
 
@@ -98,7 +98,14 @@ def str4d(spark, sf):
 
 @query("str4_detections", with_ne("SELECT * FROM scans", SCAN_SQL))
 def str4e(spark, sf):
-    return J.derived_table(spark, ingested(spark, sf, True) + "/stages", "detections").select("src_ip", "window_start", "distinct_ports", "n_events", "first_event", "created_at")
+    return J.derived_table(spark, ingested(spark, sf, True) + "/stages", "detections").filter("rule_id = 'corr-portscan'").select("src_ip", "window_start", "distinct_ports", "n_events", "first_event", "created_at")
+
+
+@query("str4_correlations", REGISTRY.sql["cor7_run_all"])
+def str4f(spark, sf):
+    """What the correlation stage stored, repeats removed as of the same time and against the same history as cor7_run_all."""
+    found = J.derived_table(spark, ingested(spark, sf, True) + "/stages", "detections")
+    return C.suppress_repeats(found, found.filter(~F.col("rule_id").startswith("corr-chain-")), AS_OF).select("rule_id", "entity_key", "n_events", "created_at")
 
 
 CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM ne {0})"

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions.scalars import stable_id
 from tidewatch.functions.keyed import cut_lineage, newest_per_key, oldest_per_key
-from tidewatch.operators.correlate import BEACON_TYPES, auth_failure, port_scans, scan_windows
+from tidewatch.operators.correlate import BEACON_TYPES, OUTPUT, Chain, auth_failure, beacons, brute_force, chain_by_rules, chain_by_tactics, connections, failure_windows, port_scans, scan_windows, since
 from tidewatch.operators.graph import EDGE_KEY, extract_edges, extract_entities, first_edges, upsert_entities
 from tidewatch.operators.intel import asset_mentions, ioc_hits, match_iocs, merge_assets
 from tidewatch.operators.normalize import normalize
@@ -69,27 +69,109 @@ def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def derived_stages(table: str, folder: str, window: str = "60 seconds", min_ports: int = 15) -> Callable[[DataFrame, int], None]:
+DETECTION = {**dict.fromkeys(OUTPUT, "string"), "n_events": "bigint", "created_at": "timestamp", "src_ip": "string", "dst_ip": "string", "dst_port": "int", "window_start": "timestamp", "distinct_ports": "bigint",
+             "first_event": "timestamp", "mean_interval": "double", "stddev_interval": "double", "suppressed": "boolean", "retracted": "boolean"}
+
+
+def _detection_rows(*parts: DataFrame) -> DataFrame:
+    """Rows of several detectors in the columns of :data:`DETECTION`, null where a detector has none."""
+    rows = [p.select(*[F.col(c).cast(t) if c in p.columns else F.lit(None).cast(t).alias(c) for c, t in DETECTION.items()]) for p in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _stored_detections(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """Newest state of each detection, of the batches below ``before``; those that no longer hold are left out."""
+    rows = stored_table(spark, f"{folder}/detections")
+    if rows is None:
+        return None
+    if before is not None:
+        rows = rows.filter(F.col("batch_id") < before)
+    return newest_per_key(rows, ["id"], ["batch_id"]).filter(~F.col("retracted")).drop("batch_id")
+
+
+def _touched(keyed: Callable[[DataFrame], DataFrame], keys: list[str], fresh: DataFrame, stored: DataFrame | None, window: str | None = None) -> DataFrame:
+    """New and stored rows of the keys that new rows have. ``keyed`` adds the keys; with a window only the days it can reach are read."""
+    touched = keyed(fresh).select(*keys).distinct()
+    near = fresh
+    if stored is not None:
+        old = stored
+        if window:
+            first, last = touched.agg(F.date_sub(F.min("window_start").cast("date"), 1), F.date_add(F.max(F.col("window_start") + F.expr(f"interval {window}")).cast("date"), 1)).first()
+            old = stored.filter(F.col("event_date").between(first, last)) if first is not None else None
+        near = fresh.unionByName(old.select(*fresh.columns)) if old is not None else fresh
+    same = touched.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return keyed(near).join(same, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi").select(*fresh.columns)
+
+
+def correlate_batch(fresh: DataFrame, stored: DataFrame | None, history: DataFrame | None, scan: dict, brute: dict, beacon: dict, chains: list[Chain],
+                    as_of: str | None = None, suppress_minutes: int = 60) -> DataFrame:
+    """Detections that the new rows make, change or end, over the keys they touch: the parts of :func:`~tidewatch.operators.correlate.run_all` on one micro-batch.
+
+    A scan or failure window split over batches is counted whole, and a beacon from all stored connections of its key. A beacon that new rows
+    make irregular is written with ``retracted``. Chains are looked for among all detections of the entities with a new detection, those of this
+    batch included. ``suppressed`` marks a detection whose (rule, entity) an earlier batch reported within the last ``suppress_minutes`` as another
+    detection; it stays evidence for chains. Without ``as_of`` the clock is the newest time seen, and a chain found once stays unless it may
+    rest on a beacon since retracted; at a fixed ``as_of`` it stays as long as it holds as of then.
+    """
+    spark = fresh.sparkSession
+    if history is None:
+        history = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in DETECTION.items()))
+    history = cut_lineage(history)
+    reach = {k: v for k, v in beacon.items() if k in ("as_of", "lookback")}
+    window, failures = scan.get("window", "60 seconds"), brute.get("window", "60 seconds")
+    pair = ["src_ip", "dst_ip", "dst_port"]
+    found = cut_lineage(_detection_rows(
+        port_scans(_touched(lambda rows: scan_windows(rows, window), ["src_ip", "window_start"], fresh, stored, window), **scan),
+        brute_force(_touched(lambda rows: failure_windows(rows, failures), ["src_ip", "dst_ip", "window_start"], fresh, stored, failures), **brute),
+        beacons(_touched(lambda rows: connections(rows, **reach), pair, fresh, stored), **beacon)))
+    lost = history.filter("rule_id = 'corr-beacon'").join(connections(fresh).select(*pair).distinct(), pair, "left_semi").join(found, "id", "left_anti").select(*history.columns)
+    entities = found.select("entity_key").union(lost.select("entity_key")).distinct()
+    known = history.join(entities, "entity_key", "left_semi").join(found.select("id").union(lost.select("id")), "id", "left_anti").select(*DETECTION).unionByName(found)
+    if as_of is None:
+        now = fresh.agg(F.max("timestamp").alias("t")).union(history.agg(F.max("created_at"))).agg(F.max("t").cast("string")).first()[0]
+    else:
+        now = as_of
+    changed, ended = [found], [lost]
+    for chain in chains if now is not None else []:
+        parts = [chain_by_rules(known, chain, now)] if chain.rule_ids else []
+        parts += [chain_by_tactics(known, chain, now)] if len(chain.rule_tactics) >= 2 else []
+        if not parts:
+            continue
+        rows = _detection_rows(*parts)
+        gone = history.filter(F.col("rule_id") == f"corr-chain-{chain.name}").join(entities, "entity_key", "left_semi").join(rows, "id", "left_anti")
+        if as_of is None:
+            gone = gone.filter(since("created_at", now, chain.window)).join(lost, "entity_key", "left_semi") if "corr-beacon" in chain.rule_ids or "command-and-control" in chain.rule_tactics else None
+        changed.append(rows)
+        ended += [] if gone is None else [gone.select(*history.columns)]
+    live = history.filter(~F.col("suppressed"))
+    recent = live.filter(F.col("created_at") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {suppress_minutes} MINUTES")) \
+        .groupBy("rule_id", "entity_key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    earlier = live.select("id", F.lit(True).alias("_reported"))
+    out = _detection_rows(*changed).join(recent, ["rule_id", "entity_key"], "left").join(earlier, "id", "left") \
+        .withColumn("suppressed", F.col("_reported").isNull() & F.coalesce((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")), F.lit(False))).withColumn("retracted", F.lit(False))
+    return cut_lineage(_detection_rows(out, *[e.withColumn("retracted", F.lit(True)) for e in ended]))
+
+
+def derived_stages(table: str, folder: str, window: str = "60 seconds", min_ports: int = 15, brute: dict | None = None, beacon: dict | None = None,
+                   chains: list[Chain] | None = None, as_of: str | None = None, suppress_minutes: int = 60) -> Callable[[DataFrame, int], None]:
     """The ``stages`` of :func:`ingest`: assets, anomalies, graph and correlation of each micro-batch.
 
     Each stage writes mentions or detections below ``folder``, partitioned by batch; a replayed batch overwrites its own. Correlation
-    reads the stored rows of just the (source, window) pairs that the batch touches, so a window split over batches is counted whole.
-    A batch without new rows (a replay) writes nothing.
+    (:func:`correlate_batch`) reads the stored rows of just the keys that the batch touches. A batch without new rows (a replay) writes nothing.
     """
     def run(fresh: DataFrame, batch_id: int) -> None:
         spark = fresh.sparkSession
-        touched = scan_windows(fresh, window).select("src_ip", "window_start").distinct()
-        days = touched.agg(F.date_sub(F.min("window_start").cast("date"), 1), F.date_add(F.max(F.col("window_start") + F.expr(f"interval {window}")).cast("date"), 1)).first()
-        stored, near = stored_table(spark, table), fresh
-        if stored is not None and days[0] is not None:
-            near = fresh.unionByName(stored.filter(F.col("event_date").between(*days)).select(*fresh.columns))
-        scope = scan_windows(near, window).join(touched, ["src_ip", "window_start"], "left_semi").select(*fresh.columns)
+        found = correlate_batch(fresh, stored_table(spark, table), _stored_detections(spark, folder, batch_id), dict(window=window, min_ports=min_ports),
+                                brute or {}, beacon or {}, chains or [], as_of, suppress_minutes)
         outputs = {
             "assets": asset_mentions(fresh),
             "anomalies": fresh.select("event_id", anomaly_rules().alias("rules")).filter(F.size("rules") > 0),
             "entities": newest_per_key(extract_entities(fresh), ["id"], ["timestamp", "event_id"]),
             "edges": oldest_per_key(extract_edges(fresh), EDGE_KEY, ["timestamp", "event_id"]),
-            "detections": port_scans(scope, window, min_ports),
+            "detections": found,
         }
         for name, rows in outputs.items():
             rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
@@ -99,6 +181,9 @@ def derived_stages(table: str, folder: str, window: str = "60 seconds", min_port
 
 def derived_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """What the stages of all batches add up to: equal to the batch operator over all stored events."""
+    if name == "detections":
+        found = _stored_detections(spark, folder)
+        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in DETECTION.items())).drop("retracted") if found is None else found.drop("retracted")
     rows = spark.read.parquet(f"{folder}/{name}")
     if name == "assets":
         return merge_assets(rows)
@@ -106,8 +191,6 @@ def derived_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return upsert_entities(rows.drop("batch_id"))
     if name == "edges":
         return first_edges(rows.drop("batch_id"))
-    if name == "detections":
-        return newest_per_key(rows, ["id"], ["batch_id"]).drop("batch_id")
     return rows.drop("batch_id")
 
 
