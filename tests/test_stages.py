@@ -3,10 +3,9 @@ import os
 import random
 from datetime import datetime, timedelta, timezone
 
-import pytest
-from pyspark.sql import functions as F
+import numpy as np
 
-from tidewatch.operators import correlate as C
+from tidewatch.operators import correlate as C, scores as S
 from tidewatch.schema import conform
 from tidewatch.streaming import jobs
 
@@ -66,3 +65,22 @@ def test_correlation_over_batches_equals_the_detectors_over_all_events(spark, tm
     assert [r["retracted"] for r in early][-1] and not early[0]["retracted"]
     repeats = [r for r in got.collect() if r["suppressed"]]
     assert {(r["rule_id"], r["window_start"].astimezone(timezone.utc)) for r in repeats} == {("corr-bruteforce", at(180))}     # the second target of one source
+
+
+def test_anomaly_scores_over_batches_equal_a_sequential_replay(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"e{i:04d}", at(60 * rng.randint(0, 5000)), f"10.0.{int(rng.random() < 0.3)}.5", "9.9.9.9", rng.choice([443, 443, 443, 65000]), "conn", None, "cmd.exe") for i in range(330)]
+    batches = [rows[:70], rows[70:75], rows[75:330]]
+    events, stages = run_batches(spark, tmp_path, batches, anomaly=dict(trees=5, height=4), threshold=0.4)
+    feats = {r["event_id"]: np.array([[r[f"f_{n}"] for n in S.FEATURES]]) for r in S.peer_features(events).collect()}
+    score, want, history = S.mass_scorer(*S.grow_trees(7, 5, 4), 50), {}, {}
+    for batch in batches:
+        for eid, _, ip, *_ in sorted(batch, key=lambda r: (r[1], r[0])):
+            past = history.setdefault(ip, [])
+            w = len(past) // 50
+            want[eid] = float(score(feats[eid], np.vstack(past[(w - 1) * 50:w * 50]))[0]) if w else 0.0 if past else 0.5
+            past.append(feats[eid])
+    got = {r["event_id"]: r["anomaly_score"] for r in events.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    found = {r["event_id"] for r in jobs.derived_table(spark, stages, "anomalies").collect()}
+    assert found == {k for k, v in want.items() if v > 0.4} and found

@@ -142,19 +142,25 @@ def score_anomalies(events: DataFrame, window: int = 50, trees: int = 25, height
     base = peer_features(events)
     if squash_features:
         base = base.withColumns({f"f_{n}": squash(F.col(f"f_{n}")) for n in FEATURES})
-    placed = with_position(base, ["subnet", "process"], "timestamp", "event_id", "position", chunk) \
-        .withColumn("window", F.floor(F.col("position") / window))
-    early = placed.filter("window = 0").select("event_id", "subnet", "process", F.when(F.col("position") == 0, 0.5).otherwise(0.0).alias("anomaly_score"))
+    placed = with_position(base, ["subnet", "process"], "timestamp", "event_id", "position", chunk)
+    return _scored(placed.withColumn("scored", F.lit(True)), window, trees, height, seed)
+
+
+def _scored(placed: DataFrame, window: int, trees: int, height: int, seed: int) -> DataFrame:
+    """Scores of the rows to be ``scored`` from their position in their group; the other rows are known ones that only count."""
+    placed = placed.withColumn("window", F.floor(F.col("position") / window))
+    early = placed.filter("scored AND window = 0").select("event_id", "subnet", "process", F.when(F.col("position") == 0, 0.5).otherwise(0.0).alias("anomaly_score"))
     columns = [f"f_{n}" for n in FEATURES]
     pieces = placed.select("event_id", "subnet", "process", *columns, F.explode(F.array(
-        F.struct(F.col("window").alias("w"), F.lit(True).alias("scored")), F.struct((F.col("window") + 1).alias("w"), F.lit(False).alias("scored")))).alias("p")) \
-        .select("event_id", "subnet", "process", *columns, "p.w", "p.scored").filter("w > 0")
+        F.struct(F.col("window").alias("w"), F.col("scored")), F.struct((F.col("window") + 1).alias("w"), F.lit(None).cast("boolean").alias("scored")))).alias("p")) \
+        .select("event_id", "subnet", "process", *columns, "p.w", F.coalesce("p.scored", F.lit(False)).alias("scored"), F.col("p.scored").isNull().alias("counts")) \
+        .filter("w > 0 AND (scored OR counts)")
 
     score = mass_scorer(*grow_trees(len(columns), trees, height, seed), window)
 
     def one_window(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf[pdf["scored"]]
-        values = score(mine[columns].to_numpy(), pdf.loc[~pdf["scored"], columns].to_numpy())
+        values = score(mine[columns].to_numpy(), pdf.loc[pdf["counts"], columns].to_numpy()) if len(mine) else np.zeros(0)
         text = {c: pd.Series(mine[c].tolist(), dtype=object) for c in ("event_id", "subnet", "process")}
         return pd.DataFrame({**text, "anomaly_score": values})
 
@@ -162,6 +168,24 @@ def score_anomalies(events: DataFrame, window: int = 50, trees: int = 25, height
     return early.unionByName(later)
 
 
+def score_new(events: DataFrame, state: DataFrame | None, window: int = 50, trees: int = 25, height: int = 8, seed: int = 7, chunk: str = "day") -> tuple[DataFrame, DataFrame]:
+    """(scores, new state) of events that arrive after those the state has seen; in one batch they count in time order.
+
+    A peer group's state is its rows since the start of its last full window, fewer than two windows, with their positions. Given no state and
+    all events this is :func:`score_anomalies`. Groups without new rows have no row in the new state.
+    """
+    group = ["subnet", "process"]
+    base = peer_features(events).drop("timestamp")
+    placed = with_position(peer_features(events), group, "timestamp", "event_id", "position", chunk).withColumn("scored", F.lit(True)).drop("timestamp")
+    if state is not None:
+        known = state.join(base.select(*group).distinct(), group, "left_semi").withColumn("scored", F.lit(False))
+        start = known.groupBy(*group).agg((F.max("position") + 1).alias("_start"))
+        placed = placed.join(start, group, "left").withColumn("position", F.col("position") + F.coalesce("_start", F.lit(0))).drop("_start").unionByName(known)
+    ends = placed.groupBy(*group).agg(((F.floor((F.max("position") + 1) / window) - 1) * window).alias("_from"))
+    kept = placed.join(ends, group).filter("position >= _from").drop("_from", "scored")
+    return _scored(placed, window, trees, height, seed), kept
+
+
 def anomaly_detections(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Synthetic detections for scores above the threshold; high above 0.85. Needs event_id, subnet, process, anomaly_score."""
     s = F.col("anomaly_score")

@@ -108,6 +108,14 @@ def str4f(spark, sf):
     return C.suppress_repeats(found, found.filter(~F.col("rule_id").startswith("corr-chain-")), AS_OF).select("rule_id", "entity_key", "n_events", "created_at")
 
 
+@query("str4_anomalies")
+def str4g(spark, sf):
+    """Score of every ingested event and the detection it made; random trees, so rows only, checked against a replay in the tests."""
+    folder = ingested(spark, sf, True)
+    found = J.derived_table(spark, folder + "/stages", "anomalies").select("event_id", F.col("id").alias("detection_id"), "rule_id", "severity")
+    return spark.read.parquet(folder + "/events").select("event_id", "anomaly_score").join(found, "event_id", "left")
+
+
 CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM ne {0})"
 
 

@@ -16,6 +16,7 @@ from tidewatch.operators.graph import EDGE_KEY, extract_edges, extract_entities,
 from tidewatch.operators.intel import asset_mentions, ioc_hits, match_iocs, merge_assets
 from tidewatch.operators.normalize import normalize
 from tidewatch.operators.rules import anomaly_rules
+from tidewatch.operators.scores import anomaly_detections, score_new
 from tidewatch.sources import logs, sensor  # noqa: F401  (they register their readers)
 from tidewatch.sources.records import source
 from tidewatch.sources.sinks import append_events, new_events, stored_table
@@ -45,11 +46,12 @@ def event_stream(spark: SparkSession, folder: str, schema, max_files: int | None
 # ---- pipeline ------------------------------------------------------------------------------------------
 
 def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits_folder: str | None = None,
-           stages: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, interval: str = "30 seconds") -> StreamingQuery:
+           stages: Callable[[DataFrame, int], DataFrame | None] | None = None, available_now: bool = True, interval: str = "30 seconds") -> StreamingQuery:
     """normalize -> indicator match -> drop ids already stored -> append, per micro-batch.
 
     A replayed batch finds its ids stored and adds nothing, so the sink is idempotent. ``stages`` gets the new rows of the batch
-    before they are stored: whatever it writes by batch is complete once the rows are, and written again if they never were.
+    before they are stored: whatever it writes by batch is complete once the rows are, and written again if they never were. Rows
+    it returns are stored in their place.
     """
     spark = events.sparkSession
 
@@ -61,9 +63,8 @@ def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits
         if hits_folder:
             new_hits = ioc_hits(matched).join(fresh.select("event_id"), "event_id", "left_semi")
             new_hits.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(hits_folder)
-        if stages:
-            stages(fresh, batch_id)
-        append_events(fresh, table)
+        staged = stages(fresh, batch_id) if stages else None
+        append_events(fresh if staged is None else staged.select(*batch.columns), table)
 
     writer = events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
@@ -155,26 +156,44 @@ def correlate_batch(fresh: DataFrame, stored: DataFrame | None, history: DataFra
     return cut_lineage(_detection_rows(out, *[e.withColumn("retracted", F.lit(True)) for e in ended]))
 
 
+def _anomaly_state(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
+    """Rows that each peer group's last batch below ``before`` left behind."""
+    rows = stored_table(spark, f"{folder}/anomaly_state")
+    if rows is None:
+        return None
+    rows = rows.filter(F.col("batch_id") < before)
+    return rows.join(rows.groupBy("subnet", "process").agg(F.max("batch_id").alias("batch_id")), ["subnet", "process", "batch_id"], "left_semi").drop("batch_id")
+
+
 def derived_stages(table: str, folder: str, window: str = "60 seconds", min_ports: int = 15, brute: dict | None = None, beacon: dict | None = None,
-                   chains: list[Chain] | None = None, as_of: str | None = None, suppress_minutes: int = 60) -> Callable[[DataFrame, int], None]:
+                   chains: list[Chain] | None = None, as_of: str | None = None, suppress_minutes: int = 60,
+                   anomaly: dict | None = None, threshold: float = 0.7) -> Callable[[DataFrame, int], DataFrame]:
     """The ``stages`` of :func:`ingest`: assets, anomalies, graph and correlation of each micro-batch.
 
+    New rows get the score of their peer group's half-space trees (:func:`~tidewatch.operators.scores.score_new`, ``anomaly`` its sizes) and are
+    returned with it; scores above ``threshold`` make a detection. The state of a group is what the last batch that touched it wrote. The fixed rules are written beside.
+
     Each stage writes mentions or detections below ``folder``, partitioned by batch; a replayed batch overwrites its own. Correlation
     (:func:`correlate_batch`) reads the stored rows of just the keys that the batch touches. A batch without new rows (a replay) writes nothing.
     """
-    def run(fresh: DataFrame, batch_id: int) -> None:
+    def run(fresh: DataFrame, batch_id: int) -> DataFrame:
         spark = fresh.sparkSession
+        scores, state = score_new(fresh, _anomaly_state(spark, folder, batch_id), **(anomaly or {}))
+        scores, state = cut_lineage(scores), cut_lineage(state)
         found = correlate_batch(fresh, stored_table(spark, table), _stored_detections(spark, folder, batch_id), dict(window=window, min_ports=min_ports),
                                 brute or {}, beacon or {}, chains or [], as_of, suppress_minutes)
         outputs = {
             "assets": asset_mentions(fresh),
-            "anomalies": fresh.select("event_id", anomaly_rules().alias("rules")).filter(F.size("rules") > 0),
+            "anomaly_rules": fresh.select("event_id", anomaly_rules().alias("rules")).filter(F.size("rules") > 0),
+            "anomaly_state": state,
+            "anomalies": anomaly_detections(scores, threshold),
             "entities": newest_per_key(extract_entities(fresh), ["id"], ["timestamp", "event_id"]),
             "edges": oldest_per_key(extract_edges(fresh), EDGE_KEY, ["timestamp", "event_id"]),
             "detections": found,
         }
         for name, rows in outputs.items():
             rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
+        return fresh.drop("anomaly_score").join(scores.select("event_id", "anomaly_score"), "event_id", "left").select(*fresh.columns)
 
     return run
 
