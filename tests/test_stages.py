@@ -84,3 +84,20 @@ def test_anomaly_scores_over_batches_equal_a_sequential_replay(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     found = {r["event_id"] for r in jobs.derived_table(spark, stages, "anomalies").collect()}
     assert found == {k for k, v in want.items() if v > 0.4} and found
+
+
+def test_beacon_state_takes_rows_of_neighbouring_batches_interleaved(spark, tmp_path):
+    instants = [60 * i for i in range(48)]
+    batches = [instants[0:12:2] + [instants[12]], instants[1:12:2] + instants[14:24:2], instants[13:24:2] + instants[24:36:3], [t for i, t in enumerate(instants[24:]) if i >= 12 or i % 3]]
+    assert sorted(sum(batches, [])) == instants
+    for k, batch in enumerate(batches):
+        frame = conform(spark.createDataFrame([(f"e{t}", at(t), "10.0.0.1", "9.9.9.9", 443, "conn", None, None) for t in batch], DDL))
+        frame.coalesce(1).write.parquet(f"{tmp_path}/made{k}")
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        [name] = [n for n in os.listdir(f"{tmp_path}/made{k}") if n.endswith(".parquet")]
+        os.rename(f"{tmp_path}/made{k}/{name}", f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1e9 + 10 * k, 1e9 + 10 * k))
+    stream = jobs.event_stream(spark, f"{tmp_path}/in", frame.schema, max_files=1)
+    rows = jobs.run_to_table(jobs.stream_beacons(stream), f"{tmp_path}/out", f"{tmp_path}/cp", mode="update").orderBy("batch_id").collect()
+    assert [r["n_intervals"] for r in rows] == [6, 17, 27, 47]
+    assert abs(rows[-1]["mean_interval"] - 60) < 1e-9 and rows[-1]["stddev_interval"] < 1e-6 and rows[-1]["regular"]

@@ -243,38 +243,48 @@ BEACON_OUT = "src_ip string, dst_ip string, dst_port int, n_intervals bigint, me
 def stream_beacons(events: DataFrame, min_intervals: int = 19, max_cv: float = 0.3, ttl_ms: int = 7_200_000, delay: str = "10 minutes") -> DataFrame:
     """Running count, mean and spread of the gaps per (source, target, port), and whether they are regular; one row a key and micro-batch.
 
-    The newest row of a key holds. State is four numbers per key and expires when event time has moved on by ``ttl_ms``. All instants of a key in a
-    micro-batch (eight bytes each, whatever the Arrow batches they come in) are ordered before they are folded in. A row older than what an earlier
-    micro-batch saw of its key counts as late and is skipped.
+    The newest row of a key holds and counts every instant admitted so far. Instants that the watermark has passed are folded into four numbers;
+    newer ones (eight bytes each) are held in state and ordered among those of later micro-batches, which may still come in between. State
+    expires when event time has moved on by ``ttl_ms``.
     """
     conns = events.filter(F.col("event_type").isin(BEACON_TYPES) & F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull() & F.col("dst_port").isNotNull()) \
         .withWatermark("timestamp", delay).select("src_ip", "dst_ip", "dst_port", "timestamp", F.unix_micros("timestamp").alias("t"))
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, n, mean, m2 = state.get if state.exists else (None, 0, 0.0, 0.0)
-        t = np.sort(np.concatenate([pdf["t"].to_numpy() for pdf in batches]))
-        if last is not None:
-            t = t[t >= last]
+    def folded(moments: tuple, t: np.ndarray) -> tuple:
+        last, n, mean, m2 = moments
         if not len(t):
-            return
+            return moments
         gaps = np.diff(t if last is None else np.concatenate([[last], t])) / 1e6
-        last = int(t[-1])
         if len(gaps):  # merge two samples' moments
             k, gm = len(gaps), float(gaps.mean())
             m2 += float(((gaps - gm) ** 2).sum()) + (gm - mean) ** 2 * n * k / (n + k)
             mean += (gm - mean) * k / (n + k)
             n += k
-        state.update((last, n, mean, m2))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        return int(t[-1]), n, mean, m2
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        *moments, held = state.get if state.exists else (None, 0, 0.0, 0.0, b"")
+        parts = [np.frombuffer(held, dtype=np.int64)] + ([] if state.hasTimedOut else [pdf["t"].to_numpy() for pdf in batches])
+        t = np.sort(np.concatenate(parts))
+        passed = int(np.searchsorted(t, watermark * 1000, side="right"))       # a later micro-batch brings nothing up to here
+        moments, t = folded(tuple(moments), t[:passed]), t[passed:]
+        total = folded(moments, t)
+        expiry = total[0] // 1000 + ttl_ms
+        if state.hasTimedOut and expiry <= watermark:
+            state.remove()
+            return
+        state.update((*moments, t.tobytes()))
+        state.setTimeoutTimestamp(max(min(expiry, int(t[-1]) // 1000 + 1) if len(t) else expiry, watermark + 1))
+        if state.hasTimedOut:
+            return
+        _, n, mean, m2 = total
         spread = (m2 / n) ** 0.5 if n else 0.0
         yield pd.DataFrame({"src_ip": pd.Series([key[0]], dtype=object), "dst_ip": pd.Series([key[1]], dtype=object), "dst_port": [key[2]], "n_intervals": [n],
                             "mean_interval": [mean], "stddev_interval": [spread], "regular": [bool(n >= min_intervals and mean > 0 and spread / mean < max_cv)]})
 
     return conns.groupBy("src_ip", "dst_ip", "dst_port").applyInPandasWithState(
-        fold, BEACON_OUT, "last bigint, n bigint, mean double, m2 double", "update", GroupStateTimeout.EventTimeTimeout)
+        fold, BEACON_OUT, "last bigint, n bigint, mean double, m2 double, held binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_heartbeats(events: DataFrame, offline_after_ms: int = 300_000, delay: str = "1 minute") -> DataFrame:
