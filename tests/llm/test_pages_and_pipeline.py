@@ -67,6 +67,16 @@ def test_layout_of_div_elements_alone_is_read():
     assert all(found <= wanted for found, wanted in got) and sum(len(found) for found, _ in got) > 0.96 * sum(len(wanted) for _, wanted in got)
 
 
+def test_formulas_unclosed_elements_and_foreign_marks(spark):
+    body = "The first paragraph has enough words to be read. It goes on for a while, and on."
+    sample = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(100).collect()]
+    odd = [f"<body><article><p>{body} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", *[f"<body><article><p>{body}</p><{t}><p>{body}</p><p>{body}</p></article>" for t in ("select", "svg", "math", "template")],
+           *[f"<body data-keep={v}><article><p data-keep={v}>{body}</p></article>" for v in ('"true"', '""', "0")]]
+    rows = spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate(odd + sample)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(rows).filter(f"page_id < {len(odd)}").collect()}
+    assert [got[k] for k in range(len(odd))] == [f"{body} x=1 holds.", *["\n".join([body] * 3)] * 4, *[body] * 3]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     sf = "/root/testdata/sf0.001"

@@ -23,23 +23,25 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Elements by their role in a page.
-RAW = {"script", "style", "textarea", "title", "template", "iframe", "noscript", "svg", "math", "select"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}      # their content is raw text
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-GROUPS = [["article", "main"], ["section", "div", "center"], ["p"], ["h1", "h2", "h3", "h4", "h5", "h6", "hgroup"], ["li", "dd", "dt"], ["ul", "ol", "dl", "menu"], ["nav"], ["header"], ["footer"], ["aside"],
-          ["form", "fieldset", "button", "legend", "dialog", "search"], ["table", "tbody", "thead", "tfoot", "tr", "td", "th"], ["blockquote", "pre", "figure", "figcaption", "details", "summary", "address"], ["html", "body"], ["head"], ["#text"]]
+GROUPS = [["article", "main"], ["section", "div", "center", "noscript", "template"], ["p"], ["h1", "h2", "h3", "h4", "h5", "h6", "hgroup"], ["li", "dd", "dt"], ["ul", "ol", "dl", "menu"], ["nav"], ["header"], ["footer"], ["aside"],
+          ["form", "fieldset", "button", "legend", "dialog", "search", "select", "optgroup", "option"], ["table", "tbody", "thead", "tfoot", "tr", "td", "th"], ["blockquote", "pre", "figure", "figcaption", "details", "summary", "address"], ["html", "body"], ["head"], ["#text"]]
 GROUP = {tag: k for k, tags in enumerate(GROUPS) for tag in tags}
 WORDS = [["article", "content", "post", "entry", "main", "body", "story", "text"], ["nav", "menu", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager"], ["ad", "ads", "adv", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner"],
          ["comment", "comments", "reply", "replies", "discussion", "disqus", "respond"], ["sidebar", "side", "aside", "widget", "related", "recommended", "teaser", "complementary"], ["header", "head", "masthead", "top", "logo", "brand"],
          ["footer", "foot", "bottom", "copyright", "contentinfo", "legal"], ["cookie", "notice", "consent", "alert", "modal", "popup", "overlay", "gdpr", "privacy", "warning"], ["share", "social", "form", "login", "search", "newsletter", "subscribe", "signup"]]
 WORD = {w: k for k, words in enumerate(WORDS) for w in words}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CHOICES = {"select", "optgroup", "option"}
+CLOSES = {"option": {"option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 N_FEATURES = len(GROUPS) + len(WORDS) + 16
 
 
 class Page:
-    """Nodes of one page in page order: a parent comes before its children."""
+    """Nodes of one page in page order: a parent comes before its children. Marks of generated skeletons are read with ``marks`` alone."""
 
-    def __init__(self, html: str | None):
+    def __init__(self, html: str | None, marks: bool = True):
+        self.marks = marks
         self.group, self.words, self.parent, self.depth, self.text, self.links, self.keep = [], [], [], [], [], [], []
         self.stack: list[tuple[str, int]] = []
         self.add("html", "")
@@ -77,7 +79,7 @@ class Page:
         for name, *values in ATTRIBUTE.findall(attributes):
             value = "".join(values)
             if name.lower() == "data-keep":
-                keep = int(value)
+                keep = int(value) if self.marks and value in ("0", "1") else None
             else:
                 words += tuple(WORD[w] for w in (x.lower() for x in ATTRIBUTE_WORD.findall(value)) if w in WORD)
         self.group.append(GROUP[tag])
@@ -106,6 +108,8 @@ class Page:
             self.close("head")
         if self.stack[-1][0] == "p":
             self.stack.pop()
+        while tag not in CHOICES and self.stack[-1][0] in CHOICES:         # other elements end an unclosed choice
+            self.stack.pop()
         for t in CLOSES.get(tag, ()):
             if self.stack[-1][0] == t:
                 self.stack.pop()
@@ -295,7 +299,7 @@ def skeleton(rng: random.Random, texts: list[str]) -> str:
 
 
 def fit(samples: list[str | None]) -> BoostedTrees:
-    parsed = [Page(h) for h in samples]
+    parsed = [Page(h, False) for h in samples]
     texts = [t for p in parsed for t in p.text if t.count(" ") >= 3] or ["one two three four five six seven. Eight nine ten, eleven twelve thirteen."]
     rng = random.Random(11)
     parsed += [Page(skeleton(rng, texts)) for _ in range(SKELETONS)]
@@ -314,7 +318,7 @@ def main_text(pages: list[Page], model: BoostedTrees) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its main blocks in page order, joined by line ends.
 
-    A null, empty or contentless page has an empty text. Head, scripts, styles and form choices are never text. Unclosed and
+    A null, empty or contentless page has an empty text. Head, scripts and styles are never text. Unclosed and
     stray tags are taken as browsers do in the common cases. Repeated pages each get a row; other columns are ignored.
     """
     total = pages.count()
@@ -326,7 +330,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = main_text([Page(h) for h in part.column("html").to_pylist()], model.value)
+                texts = main_text([Page(h, False) for h in part.column("html").to_pylist()], model.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
