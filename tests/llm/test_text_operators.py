@@ -57,6 +57,15 @@ def test_bpe_streams_long_words():
             assert got == b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(text, add_special_tokens=False).ids), (alphabet, n)
 
 
+def test_special_token_right_after_a_long_run():
+    encoder, tokenizer = bpe.Encoder(bpe.Vocabulary(BYTE_BPE)), Tokenizer.from_file(BYTE_BPE)
+    for mark in "! -":
+        for n in (40000, 3 * bpe.CHUNK - 5, 3 * bpe.CHUNK - 1):
+            text = mark * n + "<|endoftext|>" + mark * 3 + "tail"
+            want = b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
+            assert b"".join(encoder.chunks(bpe.in_pieces(text))) == want, (mark, n)
+
+
 def test_bpe_ids_decode(spark):
     rows = frame(spark, [(i, t) for i, t in AWKWARD if t and len(t) < 5000])
     back = bpe.decode_documents(bpe.encode_documents(rows, BYTE_BPE), BYTE_BPE)

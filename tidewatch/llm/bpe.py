@@ -248,9 +248,10 @@ class Encoder:
             yield np.asarray(transducer.feed(word[:part].encode()), dtype="<u4").tobytes()
             held = held[part:]
             while True:                                         # the open word: whole pieces of its class go straight through
-                n = run.match(held).end()
-                back = 1 if kind == r"\p{White_Space}" else 0   # the last blank of a run may belong to the next word
-                if n == len(held) and not ended:
+                special = min((at for at in map(held.find, self.v.special) if at >= 0), default=len(held))
+                n = min(run.match(held).end(), special)         # a special token ends the run, even one of its own class
+                back = 1 if kind == r"\p{White_Space}" and n < special else 0      # the last blank of a run may belong to the next word
+                if special == len(held) and n + TAIL > len(held) and not ended:
                     safe = max(0, n - TAIL)
                     yield np.asarray(transducer.feed(held[:safe].encode()), dtype="<u4").tobytes()
                     held = held[safe:]
