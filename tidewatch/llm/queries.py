@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidewatch.llm import bpe, decontaminate, dedup, fingerprints, language, pages, pii, quality, sharding, token_files
+from tidewatch.llm import bpe, chat, decontaminate, dedup, fim, fingerprints, language, pages, pii, quality, sharding, token_files
 from tidewatch.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,7 +54,18 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_bpe_round_trip, op3_quality_scores, op4_benchmark_hits, op5_near_duplicates, op6_personal_data, op7_token_files, op8_fingerprints, op9_main_text, op10_languages)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(fim.transform(read(spark, sf_dir, "documents")))
+
+
+def op13_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.report(*chat.format_conversations(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe), BYTE_BPE))
+
+
+QUERIES = {f.__name__: f for f in (op1_shards, op2_bpe_round_trip, op3_quality_scores, op4_benchmark_hits, op5_near_duplicates, op6_personal_data, op7_token_files, op8_fingerprints, op9_main_text, op10_languages,
+                                   op12_fill_in_middle, op13_chat_masks)}
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SQL: dict[str, str] = {"op4_benchmark_hits": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
@@ -66,4 +77,21 @@ found AS (SELECT doc_id, i, size, item_id FROM (
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM found) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""}
+  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""", "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM documents),
+drawn AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+  CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+formed AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+cut AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM cut""", "op13_chat_masks": """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (SELECT *, regexp_replace(text, '([\\[<])(\\\\*(?:/?s>|/?INST\\]|</?SYS>>|/?ROLE\\]|TEXT\\]|\\|endoftext\\|>))', '\\1\\\\\\2', 'g') AS e,
+  regexp_replace(role, '([\\[<])(\\\\*(?:/?s>|/?INST\\]|</?SYS>>|/?ROLE\\]|TEXT\\]|\\|endoftext\\|>))', '\\1\\\\\\2', 'g') AS r FROM turns),
+shown AS (SELECT *, CASE role WHEN 'user' THEN '[INST]' || e || '[/INST]' WHEN 'system' THEN '<<SYS>>' || e || '<</SYS>>' WHEN 'assistant' THEN e || '</s>' ELSE '[ROLE]' || r || '[TEXT]' || e || '[/ROLE]' END AS f FROM escaped)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(length(f)) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id"""}
