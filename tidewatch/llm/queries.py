@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidewatch.llm import bpe, chat, decontaminate, dedup, fim, fingerprints, language, pages, pii, quality, sharding, token_files
+from tidewatch.llm import bpe, chat, decontaminate, dedup, fim, fingerprints, language, pages, pii, quality, sharding, spelling, token_files
 from tidewatch.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +54,10 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(fim.transform(read(spark, sf_dir, "documents")))
 
@@ -65,7 +69,7 @@ def op13_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_shards, op2_bpe_round_trip, op3_quality_scores, op4_benchmark_hits, op5_near_duplicates, op6_personal_data, op7_token_files, op8_fingerprints, op9_main_text, op10_languages,
-                                   op12_fill_in_middle, op13_chat_masks)}
+                                   op11_spelling_variants, op12_fill_in_middle, op13_chat_masks)}
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SQL: dict[str, str] = {"op4_benchmark_hits": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
@@ -94,4 +98,17 @@ escaped AS (SELECT *, regexp_replace(text, '([\\[<])(\\\\*(?:/?s>|/?INST\\]|</?S
 shown AS (SELECT *, CASE role WHEN 'user' THEN '[INST]' || e || '[/INST]' WHEN 'system' THEN '<<SYS>>' || e || '<</SYS>>' WHEN 'assistant' THEN e || '</s>' ELSE '[ROLE]' || r || '[TEXT]' || e || '[/ROLE]' END AS f FROM escaped)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(3 + sum(length(f)) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id"""}
+  CAST(3 + sum(length(f)) AS BIGINT) AS formatted_chars FROM shown GROUP BY conv_id""", "op11_spelling_variants": f"""
+WITH RECURSIVE codes AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(w, '{ascii_uppercase}', '{ascii_lowercase}') AS w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+coded AS (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM runs),
+summed AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda j: CAST('0x' || x[2 * j + 1:2 * j + 2] AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM coded, codes),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM summed) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+cuts AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT c.word AS a, c.n AS n_a, w.word AS b, w.n AS n_b FROM cuts c JOIN words w ON c.d = w.word),
+near AS (SELECT a AS word, b AS other, n_b AS other_n FROM shorter UNION ALL SELECT b, a, n_a FROM shorter UNION ALL SELECT a.word, b.word, b.n FROM cuts a JOIN cuts b ON a.d = b.d AND a.i = b.i WHERE a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top, min(other) FILTER (other_n = m) AS other FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS m FROM near) GROUP BY word),
+formed AS (SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN top >= 5 * n THEN other END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain(word, here, step) AS (SELECT word, word, 0 FROM formed UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN formed f ON c.here = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)"""}
