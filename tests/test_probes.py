@@ -55,13 +55,30 @@ def test_all_entities_of_an_event_link(spark):
     assert found.select("cluster_id").distinct().count() == 1 and found.count() == 2
 
 
-def test_hunts_read_the_event_view_alone(spark):
-    events = spark.createDataFrame([("a", 1), ("b", 2)], "event_id string, k int")
-    events.createOrReplaceTempView("secrets")
-    ok = ["select event_id from normalized_events", "with t as (select * from normalized_events) select k from t where k in (select max(k) from t)", "select count(*) from NORMALIZED_EVENTS n join normalized_events m using (k);"]
+def test_hunts_read_the_event_view_alone(spark, tmp_path):
+    columns = ", ".join(f"c{k} int" for k in range(40))
+    events = spark.createDataFrame([("a", 1, "UnresolvedRelation [x]", [1, 2], *range(40)), ("b", 2, "identifier('x')", None, *range(40))], f"event_id string, k int, str string, list array<int>, {columns}")
+    events.select("event_id", "k").createOrReplaceTempView("secrets")
+    path = f"{tmp_path}/other"
+    events.select("event_id").write.parquet(path)
+    ok = ["select event_id from normalized_events", "with t as (select * from normalized_events) select k from t where k in (select max(k) from t)", "select count(*) from NORMALIZED_EVENTS n join normalized_events m using (k);",
+          "select str, upper(str) from normalized_events where str like '%Unresolved%'", "with a as (select k from normalized_events), b as (select * from a where exists (select 1 from normalized_events e where e.k = a.k)) select * from b union all select k from a",
+          "select event_id, sum(case when k > 1 then 1 else 0 end) over (partition by str order by k rows between unbounded preceding and current row) s from normalized_events order by s desc limit 5",
+          "select k, x from normalized_events lateral view explode(list) as x where x between 1 and 3", "select str, count(distinct k) n, max(cast(k as double)) from normalized_events group by str having count(*) > 0",
+          "select filter(list, x -> x > 1), element_at(list, 1), list[0], k % 2, str || 'x', date '2024-01-01' from normalized_events", "with normalized_events as (select event_id from normalized_events) select * from normalized_events"]
     for sql in ok:
-        assert hunt_sql(events, sql).count() > 0
+        assert hunt_sql(events, sql).count() > 0, sql
+    many = ", ".join(f"c{k}" for k in range(35))
     for sql in ["select * from secrets", "select * from parquet.`/root/testdata/sf0.001/labels.parquet`", "select * from normalized_events where k = (select max(k) from secrets)",
-                "with normalized as (select * from secrets) select * from normalized", "select java_method('java.lang.System', 'getenv') from normalized_events", "drop table x", "select 1; select 2"]:
-        with pytest.raises(ValueError):
+                "with normalized as (select * from secrets) select * from normalized", "select java_method('java.lang.System', 'getenv') from normalized_events", "drop table x", "select 1; select 2",
+                f"select * from identifier('parquet.`{path}`')", f"select * from identifier(concat('parquet.`', '{path}`'))", f"select {many}, reflect('java.lang.System', 'getProperty', 'user.home') from normalized_events",
+                "with secrets as (select * from secrets) select * from secrets", "with recursive secrets as (select event_id, k from secrets) select * from secrets",
+                "select * from normalized_events n where exists (select 1 from (select * from secrets) s where s.k = n.k)", "select * from normalized_events where k in (select k from secrets)",
+                "select (select max(k) from secrets) m from normalized_events", "select * from range(3)", "select * from normalized_events, lateral (select * from secrets)", "table secrets", "from secrets select *",
+                "select '${env:HOME}' from normalized_events", "select try_reflect('java.lang.System', 'getProperty', 'user.home') from normalized_events", "select system.builtin.reflect('a', 'b') from normalized_events",
+                "select _metadata.file_path from normalized_events", "select current_user from normalized_events", "select input_file_name() from normalized_events", "select * from stream(normalized_events)",
+                f"select * from read_files('{path}')", f"select * from normalized_events union select * from parquet.`{path}`", "select identifier('k') from normalized_events",
+                "with a as (select * from b), b as (select k from normalized_events) select * from a", "select k from normalized_events lateral view java_method('a', 'b') as x"]:
+        with pytest.raises(Exception) as error:
             hunt_sql(events, sql)
+        assert isinstance(error.value, ValueError) or "PARSE" in str(error.value), (sql, error.value)

@@ -275,22 +275,68 @@ def hunt_history(hunts: DataFrame, analyst: str, limit: int = 20) -> DataFrame:
     return newest_first(hunts.filter(F.col("analyst_id") == analyst), limit, 0, "created_at", "hunt_id")
 
 
+# What a hunt may be made of: nodes of the parsed statement by class name, and functions. Anything else is refused.
+HUNT_PLANS = set("""Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedHaving Join Union Intersect Except
+    UnresolvedWith UnresolvedRelation OneRowRelation Generate""".split())
+HUNT_EXPRESSIONS = set("""UnresolvedAttribute UnresolvedStar UnresolvedAlias UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable LambdaFunction Alias MultiAlias Literal Cast
+    And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual IsNull IsNotNull In InSubquery ListQuery ScalarSubquery Exists Like ILike RLike LikeAny LikeAll NotLikeAny
+    NotLikeAll CaseWhen Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive BitwiseAnd BitwiseOr BitwiseXor BitwiseNot Concat CreateNamedStruct StringTrim StringTrimLeft
+    StringTrimRight StringLocate Overlay Substring TimestampAdd TimestampDiff SortOrder WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame CurrentRow UnboundedPreceding
+    UnboundedFollowing Rollup Cube GroupingSets""".split())
+HUNT_FUNCTIONS = set("""abs array array_agg array_contains array_distinct array_join array_max array_min array_position array_sort array_union arrays_overlap approx_count_distinct ascii avg between bit_length bool_and
+    bool_or cardinality ceil char_length coalesce collect_list collect_set concat concat_ws contains corr count count_if crc32 cume_dist current_date current_timestamp date date_add date_diff date_format
+    date_sub date_trunc datediff day dayofmonth dayofweek dayofyear decode dense_rank element_at encode endswith every exists exp explode explode_outer extract filter find_in_set first first_value flatten
+    floor forall from_unixtime get_json_object greatest hash hex hour if ifnull initcap instr isnotnull isnull json_array_length lag last last_value lcase lead least left length levenshtein ln locate log
+    log10 log2 lower lpad ltrim map_keys map_values max max_by md5 mean median min min_by minute mod month now nth_value ntile nullif nvl nvl2 octet_length parse_url percent_rank percentile
+    percentile_approx percentile_cont percentile_disc pmod posexplode position pow power quarter rank regexp regexp_count regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace
+    regexp_substr repeat replace reverse right round row_number rpad rtrim second sequence sha1 sha2 sign size slice sort_array split split_part sqrt startswith stddev stddev_pop stddev_samp struct""".split()) | set(
+    """substr substring substring_index sum timestamp to_date to_timestamp transform translate trim trunc try_cast try_divide ucase unbase64 unhex unix_micros unix_millis unix_timestamp upper url_decode
+    var_pop var_samp variance weekday weekofyear when window xxhash64 year zip_with""".split())
+HUNT_NAMES_REFUSED = {"_metadata", "user", "current_user", "session_user"}     # resolve without being columns
+
+
+def _items(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _check_hunt(node, readable: frozenset[str], view: str) -> None:
+    """Walks the parsed statement. ``readable`` holds the names a relation may have here: the view, and the WITH names in scope."""
+    kind, where = node.getClass().getSimpleName().rstrip("$"), node.getClass().getName()
+    is_expression = kind in HUNT_EXPRESSIONS
+    if not where.startswith("org.apache.spark.sql.catalyst.") or not (is_expression or kind in HUNT_PLANS):
+        raise ValueError(f"not allowed in a hunt: {kind}")
+    if kind == "UnresolvedRelation":
+        parts = _items(node.multipartIdentifier())
+        if len(parts) != 1 or parts[0].lower() not in readable or node.isStreaming():
+            raise ValueError(f"only {view} can be read")
+    elif kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+        name = ".".join(_items(node.nameParts())) if kind == "UnresolvedFunction" else node.name().unquotedString()
+        if name.lower() not in HUNT_FUNCTIONS:
+            raise ValueError(f"function not allowed in a hunt: {name}")
+    elif kind == "UnresolvedAttribute" and any(p.lower() in HUNT_NAMES_REFUSED for p in _items(node.nameParts())):
+        raise ValueError(f"not a column: {node.name()}")
+    elif kind == "UnresolvedWith":
+        for named in _items(node.cteRelations()):                # a body sees the names before its own, not its own
+            _check_hunt(named._2(), readable, view)
+            readable = readable | {named._1().lower()}
+    for child in _items(node.children()) + ([] if is_expression else _items(node.expressions())):
+        _check_hunt(child, readable, view)
+    if kind in ("ListQuery", "ScalarSubquery", "Exists"):
+        _check_hunt(node.plan(), readable, view)
+
+
 def hunt_sql(events: DataFrame, sql: str, view: str = "normalized_events", limit: int = 500) -> DataFrame:
     """A user's own SELECT over the event view and its own WITH names, at most ``limit`` rows back.
 
-    The parsed statement is searched for relations, subqueries included: any other table, view or file path is refused, and so
-    are functions that call Java by name.
+    The nodes of the parsed statement are walked, subqueries included: a class, function or relation that is not on the list is
+    refused, so other tables, files, names computed by ``identifier``, table functions and calls into Java never get analysed.
     """
     statement = sql.strip().rstrip(";")
     if not re.match(r"(?is)^\s*(select|with)\b", statement) or ";" in statement:
         raise ValueError("one SELECT statement is allowed")
+    if "${" in statement:
+        raise ValueError("variables are not allowed")           # they would be replaced before parsing
     spark = events.sparkSession
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
-    named = {n.strip().lower() for names in re.findall(r"(?m)\bCTE \[([^\]]*)\]", plan) for n in names.split(",")} | {view.lower()}
-    relations = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)
-    if len(relations) != plan.count("UnresolvedRelation") or any(r.lower() not in named for r in relations):
-        raise ValueError(f"only {view} can be read")
-    if re.search(r"(?i)\b(reflect|try_reflect|java_method)\s*\(", plan):
-        raise ValueError("functions that call Java by name are not allowed")
+    _check_hunt(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement), frozenset({view.lower()}), view)
     events.createOrReplaceTempView(view)
     return spark.sql(statement).limit(limit)
