@@ -194,12 +194,16 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, all columns kept; the search runs inside the scan, nothing is shuffled."""
-    columns = docs.columns
+    """The documents without any benchmark window, all columns kept; every row is judged by its own text.
+
+    The search runs inside the scan and nothing is shuffled; for a benchmark over BLOCK_BYTES, the hit rows are found by id and
+    text digest and taken out by a null-safe join.
+    """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     if size > BLOCK_BYTES:
-        hit = decontaminate(docs, benchmark).filter("n_hit > 0").select("doc_id").distinct()
-        return docs.join(hit, "doc_id", "left_anti").select(*columns)
+        hit = decontaminate(docs, benchmark).filter("n_hit > 0").select("doc_id", "text_key").distinct().alias("hit")
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("hit.doc_id")) & (F.xxhash64("d.text") == F.col("hit.text_key"))
+        return docs.alias("d").join(hit, same, "left_anti")
     rows = [tuple(r) for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     built: list = []

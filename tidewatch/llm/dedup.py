@@ -19,8 +19,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidewatch.llm.common import BASE, MASK, Words, byte_table, mixed, sequence_hash, stored, text_batches, with_ids
+from tidewatch.llm.common import BASE, MASK, MAX_BROADCAST_IDS, Words, byte_table, mixed, sequence_hash, stored, text_batches, with_ids
 from tidewatch.operators.cluster import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.75
@@ -47,8 +48,18 @@ def shingle_sets(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64), bounds
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def stand_in(digest: bytes) -> int:
+    """The number of a class whose documents all lack an id."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, tokens): class is a digest of the set, tokens the minwise values as 32-bit integers."""
+    """(doc_id, n_shingles, class, number, tokens): class is a digest of the set, number what stands for an id that all of its documents
+    lack, tokens the minwise values as 32-bit integers."""
     def scan(batches):
         for batch in batches:
             for first, run in text_batches(batch.column("text").to_pylist()):
@@ -57,12 +68,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 minima = np.zeros((len(run), COORDINATES), dtype=np.uint32)
                 for k in range(COORDINATES if len(full) else 0):
                     minima[full, k] = np.minimum.reduceat(hashes * MULTIPLIERS[k], bounds[full]) >> np.uint64(32)
-                digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
+                digests = [set_digest(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, len(run)), pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.binary()),
-                    pa.array([row.tobytes() for row in minima], pa.binary())], ["doc_id", "n_shingles", "class", "tokens"])
+                    pa.array([stand_in(d) for d in digests], pa.int64()), pa.array([row.tobytes() for row in minima], pa.binary())], ["doc_id", "n_shingles", "class", "number", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, class binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, class binary, number long, tokens binary")
 
 
 def chosen(node: np.ndarray, level: int) -> list[np.ndarray]:
@@ -151,16 +162,21 @@ def leaf_ties(rows: DataFrame) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(scan, "a long, b long").distinct()
 
 
-def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the documents with a wanted id; stored."""
+def shingles_of(docs: DataFrame, wanted: DataFrame, nameless: bool = False) -> DataFrame:
+    """(id, set) of the documents with a wanted id, and of one document of each wanted class without any; stored."""
     def sets(batches):
         for batch in batches:
             for first, run in text_batches(batch.column("text").to_pylist()):
                 hashes, bounds = shingle_sets(run)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(run)), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "set"])
+                found = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                ids = [stand_in(set_digest(x)) if i is None else i for i, x in zip(batch.column("id").slice(first, len(run)).to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "set"])
 
-    texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), wanted, "id")
-    return stored(texts.mapInArrow(sets, "id long, set binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = with_ids(texts, wanted, "id").mapInArrow(sets, "id long, set binary")
+    if nameless:
+        rows = rows.unionByName(with_ids(texts.filter("id is null").mapInArrow(sets, "id long, set binary"), wanted, "id").dropDuplicates(["id"]))
+    return stored(rows)
 
 
 def linked(left: np.ndarray, right: np.ndarray) -> bool:
@@ -258,10 +274,11 @@ def hooked(label: DataFrame, found: DataFrame) -> DataFrame:
     return stored(moved.unionByName(up.select(F.col("low").alias("id"), F.col("up").alias("label"))).groupBy("id").agg(F.min("label").alias("label")))
 
 
-def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, label): for each linked class the smallest class it reaches; classes are (id, tokens)."""
+def class_links(classes: DataFrame, docs: DataFrame, nameless: bool = False) -> DataFrame:
+    """(id, label): for each linked class the smallest class it reaches; classes are (id, tokens). ``nameless`` says whether some have
+    no document with an id."""
     leaves, roots = tree_nodes(classes)
-    sets = shingles_of(docs, stored(roots.select("id").distinct()))        # once, of the classes that can have a link
+    sets = shingles_of(docs, stored(roots.select("id").distinct()), nameless)        # once, of the classes that can have a link
     first = stored(confirmed(stored(star_pairs(roots)), sets))
     label = hooked(classes.select("id", F.col("id").alias("label")).limit(0), first)
     rows = mixed_members(leaves, label)
@@ -281,24 +298,68 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return connected_components(first.unionByName(second)).select(F.col("node").alias("id"), "label")
 
 
+def memberships(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id, stands) for every document.
+
+    ``stands`` marks the rows that may stand for their component: those with its id, in a component without ids those of its smallest
+    class, and every row without shingles.
+    """
+    signed = stored(signatures(docs))
+    full = signed.filter("n_shingles > 0")
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("least_id"), F.first("number").alias("number"), F.first("tokens").alias("tokens"))
+    classes = stored(classes.withColumn("id", F.coalesce("least_id", "number")))
+    nameless = not classes.filter("least_id is null").isEmpty()
+    roots = classes.select("class", "id", "least_id").join(class_links(classes.select("id", "tokens"), docs, nameless), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    if nameless:                                 # numbers of classes without an id name no component
+        roots = stored(roots)
+        names = roots.groupBy("label").agg(F.min("least_id").alias("component_id"))
+        roots = roots.join(names, "label").select("class", "component_id", (F.col("component_id").isNull() & (F.col("id") == F.col("label"))).alias("first"))
+    else:
+        roots = roots.select("class", F.col("label").alias("component_id"), F.lit(False).alias("first"))
+    own = ["doc_id", "n_shingles", "class"]
+    rows = full.select(*own).join(roots, "class", "left").select(*own, "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("stands"))
+    return rows.unionByName(signed.filter("n_shingles = 0").select(*own, F.col("doc_id").alias("component_id"), F.lit(True).alias("stands")))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
-    component_id is the smallest doc_id reachable over links. Null and empty texts have no shingles and are linked with nothing:
-    their own id is the component. Documents that repeat an id and text are copies of one another and all kept; a document
-    without id takes the component of its class, null if the class has no id. Extra columns are ignored.
+    component_id is the smallest doc_id reachable over links, also over documents without an id; it is null if none has one. Null
+    and empty texts have no shingles and are linked with nothing: their own id is the component. Documents that repeat an id and
+    text are copies of one another and all kept; one without id is not. Extra columns are ignored.
     """
-    signed = stored(signatures(docs))
-    classes = stored(signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens")).filter("id is not null"))
-    reached = class_links(classes.select("id", "tokens"), docs).withColumnRenamed("label", "component")
-    roots = classes.select("class", "id").join(reached, "id", "left").select("class", F.coalesce("component", "id").alias("root"))
-    full = signed.filter("n_shingles > 0").join(roots, "class", "left").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
-    none = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return memberships(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """Adds the digest of the text's set."""
+    def scan(batches):
+        for batch in batches:
+            for first, run in text_batches(batch.column("text").to_pylist()):
+                hashes, bounds = shingle_sets(run)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(run)).columns, pa.array([set_digest(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their component, all columns kept; documents without an id are kept."""
-    kept = stored(components(docs).filter("kept").select("doc_id").distinct())
-    alone = docs.filter("doc_id is null")
-    return with_ids(docs, kept, "doc_id").select(*docs.columns).unionByName(alone)
+    """One document of each component, all columns kept: the one whose id names it; where several rows have that id and one set, or
+    where no row has an id, one of them. Texts without words are no copies of one another: one row an id stays, and all without id.
+
+    Ids that stand once (all, as a rule) are selected without moving a text; only the rows of other ids, and those without one, are
+    dealt by id and set to pick one.
+    """
+    standing = memberships(docs).filter("stands").select("doc_id", "class")
+    counts = stored(standing.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    kept = with_ids(docs, counts.filter("n = 1 and doc_id is not null").select("doc_id"), "doc_id").select(*docs.columns)
+    several = counts.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    n = several.count()
+    if not n:
+        return kept
+    key = next(f"_set{k}" for k in range(len(docs.columns) + 1) if f"_set{k}" not in docs.columns)
+    same = F.col("r.doc_id").eqNullSafe(F.col("s._id"))
+    again = with_class(docs.alias("r").join((F.broadcast(several) if n <= MAX_BROADCAST_IDS else several).alias("s"), same, "left_semi"), key)
+    chosen = stored(standing.select(F.col("doc_id").alias("_id"), F.col("class").alias("_class")).distinct())
+    loose = F.col("doc_id").isNull() & (F.col(key) == F.lit(set_digest(np.empty(0, dtype=np.uint64))))
+    picked = again.filter(~loose).dropDuplicates(["doc_id", key]).alias("r").join(chosen.alias("s"), same & (F.col(f"r.{key}") == F.col("s._class")), "left_semi")
+    return kept.unionByName(picked.select(*docs.columns)).unionByName(again.filter(loose).select(*docs.columns))

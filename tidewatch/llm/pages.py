@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -19,7 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SAMPLE_PAGES, SKELETONS, TREES, DEPTH, BINS, RATE, ROWS = 200, 300, 40, 4, 32, 0.3, 64     # documented bounds of what a fit uses
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+NAME_END = re.compile(r"[\s/>]")
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+QUOTE_OR_END = re.compile(r"[>\"']")
+LONG_REFERENCE = re.compile(r"&#(?:[0-9]{64,}|[xX][0-9a-fA-F]{64,});?")         # of no character
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Elements by their role in a page.
@@ -37,6 +43,60 @@ CLOSES = {"option": {"option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "
 N_FEATURES = len(GROUPS) + len(WORDS) + 16
 
 
+class TagEnds:
+    """Where tags end, for a page in which one does not: from every quote or ``>`` on, the ``>`` that is outside of quotes."""
+
+    def __init__(self, html: str, start: int):
+        marks = list(QUOTE_OR_END.finditer(html, start))
+        self.at = np.array([m.start() for m in marks], dtype=np.int64)
+        self.end = [-1] * (len(marks) + 1)
+        later: dict[str, int] = {}
+        for k in range(len(marks) - 1, -1, -1):
+            mark = marks[k][0]
+            self.end[k] = int(self.at[k]) + 1 if mark == ">" else self.end[later[mark] + 1] if mark in later else -1
+            later[mark] = k
+
+    def after(self, at: int) -> int:
+        return self.end[int(np.searchsorted(self.at, at))]
+
+
+def markup(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of comments, declarations (without a name) and tags, in one pass.
+
+    A ``<`` whose tag never ends is text. Each look ahead either is consumed or its outcome is kept, so the time is linear.
+    """
+    at, last_end, name_from, name_end, ends = 0, html.rfind(">"), 0, -1, None
+    while opening := OPENING.search(html, at):
+        start = opening.start()
+        at = start + 1
+        if html.startswith("<!--", start):
+            found = html.find("-->", start + 4)
+            at = found + 3 if found >= 0 else len(html)
+            yield start, at, False, "", ""
+        elif start > last_end:                                        # nothing but an open comment can follow
+            if (found := html.find("<!--", start)) >= 0:
+                yield found, len(html), False, "", ""
+            return
+        elif html[start + 1] in "!?":
+            at = html.index(">", start) + 1
+            yield start, at, False, "", ""
+        else:
+            first = opening.end() - 1
+            if not name_from <= first < name_end:                     # else inside a name that was read before
+                name_from, name_end = first, NAME_END.search(html, first).start()
+            if ends is None:
+                rest = REST.match(html, name_end)
+                end = rest.end() if rest else -1
+                if not rest:
+                    ends = TagEnds(html, start)
+            else:
+                end = ends.after(name_end)
+            if end >= 0:
+                at = end
+                jump = yield start, end, html[start + 1] == "/", html[first:name_end].lower(), html[name_end:end - 1]
+                at = max(at, jump or 0)
+
+
 class Page:
     """Nodes of one page in page order: a parent comes before its children. Marks of generated skeletons are read with ``marks`` alone."""
 
@@ -44,25 +104,29 @@ class Page:
         self.marks = marks
         self.group, self.words, self.parent, self.depth, self.text, self.links, self.keep = [], [], [], [], [], [], []
         self.stack: list[tuple[str, int]] = []
-        self.add("html", "")
-        self.stack.append(("html", 0))
+        self.opened: Counter = Counter()                # open elements by tag
+        self.push("html", self.add("html", ""))
         pieces, link, link_chars, at, html = [], 0, 0, 0, html or ""
-        while at <= len(html):
-            m = TOKEN.search(html, at)
-            piece = html[at:m.start() if m else len(html)]
-            if piece:
-                pieces.append(piece)
-                link_chars += len(piece) if link else 0
-            if not m:
+        tags, jump = markup(html), None
+        while True:
+            try:
+                start, end, closing, tag, attributes = tags.send(jump)
+            except StopIteration:
+                start = end = len(html)
+                tag = None
+            jump = None
+            if start > at:
+                pieces.append(html[at:start])
+                link_chars += start - at if link else 0
+            if tag is None:
                 break
-            at = m.end()
-            if m[2] is None:
-                continue
-            tag, closing = m[2].lower(), bool(m[1])
+            at = end
             if tag in RAW and not closing:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
+                if not attributes.endswith("/"):
+                    close = re.compile(f"</{tag}", re.I).search(html, at)
+                    at = jump = html.find(">", close.end()) + 1 if close else 0
+                    if not at:
+                        at = jump = len(html)
             elif tag == "a":
                 link = 0 if closing else 1
             elif tag in VOID:
@@ -71,9 +135,18 @@ class Page:
                     link_chars = self.flush(pieces, link_chars)
             elif tag in GROUP:
                 link_chars = self.flush(pieces, link_chars)
-                self.close(tag) if closing else self.open(tag, m[3])
+                self.close(tag) if closing else self.open(tag, attributes)
         self.flush(pieces, link_chars)
 
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        self.opened[tag] += 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.opened[tag] -= 1
+        return tag
+
     def add(self, tag: str, attributes: str) -> int:
         words, keep = (), None
         for name, *values in ATTRIBUTE.findall(attributes):
@@ -92,7 +165,7 @@ class Page:
         return len(self.group) - 1
 
     def flush(self, pieces: list[str], link_chars: int) -> int:
-        text = " ".join(unescape("".join(pieces)).split())
+        text = " ".join(unescape(LONG_REFERENCE.sub("\ufffd", "".join(pieces))).split())
         pieces.clear()
         if text:
             node = self.stack[-1][1]
@@ -102,29 +175,27 @@ class Page:
         return 0
 
     def open(self, tag: str, attributes: str) -> None:
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack):
+        if tag in ("html", "body") and self.opened[tag]:
             return
         if tag == "body" or (tag != "head" and self.stack[-1][0] == "head"):
             self.close("head")
         if self.stack[-1][0] == "p":
-            self.stack.pop()
+            self.pop()
         while tag not in CHOICES and self.stack[-1][0] in CHOICES:         # other elements end an unclosed choice
-            self.stack.pop()
+            self.pop()
         for t in CLOSES.get(tag, ()):
             if self.stack[-1][0] == t:
-                self.stack.pop()
+                self.pop()
         above = self.stack[-1][1]
         if self.text[above]:                    # text before a block element becomes a node of its own
             moved = self.add("#text", "")
             self.text[moved], self.links[moved], self.text[above], self.links[above] = self.text[above], self.links[above], "", 0
-        node = self.add(tag, attributes)
-        self.stack.append((tag, node))
+        self.push(tag, self.add(tag, attributes))
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        if tag != "html" and self.opened[tag]:
+            while self.pop() != tag:
+                pass
 
     def features(self) -> np.ndarray:
         n = len(self.group)
