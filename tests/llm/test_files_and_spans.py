@@ -82,7 +82,7 @@ def test_token_files(spark, documents, monkeypatch):
     check_token_files(documents, QUERIES["op7_token_files"](spark, SF))
     monkeypatch.setattr(token_files, "BLOCK", 300)
     monkeypatch.setattr(token_files, "PART_IDS", 5000)
-    odd = [*AWKWARD, (20, "ΑΣ ΣΟΦΟΣ İstanbul <|startoftext|>don't<|endoftext|> É é ǅ ½²")]
+    odd = [*AWKWARD, (20, "\x00 ΑΣ ΣΟΦΟΣ İstanbul <|startoftext|>don't<|endoftext|> É é ǅ ½²")]
     check_token_files(odd, token_files.written_and_read(frame(spark, odd), WORD_BPE))
     assert token_files.written_and_read(frame(spark, []), WORD_BPE).count() == 0
 
@@ -232,3 +232,16 @@ def test_redaction_keeps_the_rest(spark):
     assert got.filter("doc_id = 30").first()["n_chars"] == len("🙂 <email> <ip> é")
     untouched = sorted(repr((r["doc_id"], r["text"])) for r in got.filter("doc_id is null or doc_id < 20").collect())
     assert untouched == sorted(repr(r) for r in AWKWARD)
+
+
+def test_many_texts_at_once_equal_the_library(monkeypatch):
+    """Random strings of awkward pieces in batches, with a table so small that it is emptied often."""
+    monkeypatch.setattr(token_files, "SLOT_BITS", 8)
+    monkeypatch.setattr(token_files, "SLOTS", 256)
+    library, table, rng = Tokenizer.from_file(WORD_BPE), token_files.WordTable(WORD_BPE), random.Random(3)
+    bits = ["'", "'s", "'re", "'ll", "'v", "'d", "'m", "'t", " ", "  ", "\n", "a", "b", "é", "ß", "İ", "Σ", "ς", "x1", "22", "!", "?!", "''", "'S", "'LL", "<|", "<|endoftext|>", "|>", "²", "½", "日本", "🙂", "ª", "µ", "º", "×",
+            "÷", "¡", "\xa0", "\xad", "\x1c", "\x85", "word", "Longerwordthansixteenbytes", "z" * 49, "ñañañañaña", "ǅ", "ɏ", "Ā", "\x00", "'é", "'ſ", "K", "Å"]
+    for _ in range(400):
+        texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) or None for _ in range(rng.randint(1, 30))]
+        got = [np.frombuffer(x, dtype="<u2").tolist() for x in table.encode(texts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
