@@ -30,7 +30,7 @@ def run_batches(spark, folder, batches, **stages):
                 os.utime(path, (1e6 + k, 1e6 + k))
     iocs = spark.createDataFrame([], "ioc_type string, ioc_value string, confidence int, feed_source string, actor_tag string, malware_family string, bare_ip string")
     stream = jobs.event_stream(spark, f"{folder}/in", schema, max_files=1)
-    jobs.ingest(stream, f"{folder}/events", f"{folder}/cp", iocs, stages=jobs.derived_stages(f"{folder}/events", f"{folder}/stages", **stages)).awaitTermination()
+    jobs.ingest(stream, f"{folder}/events", f"{folder}/cp", iocs, stages=jobs.derived_stages(f"{folder}/stages", **stages)).awaitTermination()
     return spark.read.parquet(f"{folder}/events"), f"{folder}/stages"
 
 
@@ -61,7 +61,7 @@ def test_correlation_over_batches_equals_the_detectors_over_all_events(spark, tm
     assert {(r["id"], r["rule_id"], r["entity_key"], r["n_events"], r["created_at"]) for r in got.collect()} == wanted
     assert {(r[1], r[2]) for r in wanted} == {("corr-portscan", "10.0.0.1"), ("corr-portscan", "10.0.0.3"), ("corr-bruteforce", "10.0.0.3"), ("corr-beacon", "10.0.0.1"),
                                               ("corr-chain-by-rules", "10.0.0.3"), ("corr-chain-by-tactics", "10.0.0.1")}
-    early = spark.read.parquet(f"{stages}/detections").filter("rule_id = 'corr-beacon' AND entity_key = '10.0.0.2'").orderBy("batch_id").collect()
+    early = spark.read.parquet(f"{stages}/detections").filter("rule_id = 'corr-beacon' AND entity_key = '10.0.0.2'").orderBy("run").collect()
     assert [r["retracted"] for r in early][-1] and not early[0]["retracted"]
     repeats = [r for r in got.collect() if r["suppressed"]]
     assert {(r["rule_id"], r["window_start"].astimezone(timezone.utc)) for r in repeats} == {("corr-bruteforce", at(180))}     # the second target of one source

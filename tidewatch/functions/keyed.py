@@ -8,8 +8,9 @@ as many tasks as it has chunks.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def _chunk(ts: str, chunk: str) -> Column:
@@ -79,18 +80,19 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in names])
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared one the cluster names; machine-local only for a local master with none set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        return tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives executor loss.
-
-    A temporary folder is used only for a local master with nothing configured.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Written as a table in the folder the cluster names and read back: survives executor loss, and unlike a reliable checkpoint
+    the rows are computed once."""
+    folder = f"{scratch_folder(df.sparkSession)}/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

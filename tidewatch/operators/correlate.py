@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.keyed import with_previous
 from tidewatch.functions.scalars import stable_id
 
+PAIR = ["src_ip", "dst_ip", "dst_port"]
 BEACON_TYPES = ["conn", "network_connect", "tls", "ssl", "http"]
 OUTPUT = ["id", "rule_id", "rule_name", "severity", "attack_technique", "attack_tactic", "entity_key",
           "explanation", "n_events", "created_at"]
@@ -35,12 +36,30 @@ def scan_windows(events: DataFrame, window: str, as_of: str | None = None, lookb
             .withColumn("window_start", F.window("timestamp", window).getField("start")))
 
 
+PORT_KEY, PORT_SUMS = ["src_ip", "window_start", "dst_port"], (["n_events"], ["first_event"], ["created_at"])
+FAILURE_KEY = ["src_ip", "dst_ip", "window_start"]
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"), F.min("timestamp").alias("first_event"), F.max("timestamp").alias("created_at"))
+
+
+def port_counts(events: DataFrame, window: str, as_of: str | None = None, lookback: str | None = None) -> DataFrame:
+    """Rows by source, window and port; counts of several batches can be added up."""
+    return _counted(scan_windows(events, window, as_of, lookback), PORT_KEY)
+
+
 def port_scans(events: DataFrame, window: str = "60 seconds", min_ports: int = 15,
                as_of: str | None = None, lookback: str | None = None) -> DataFrame:
     """Sources touching many distinct ports inside one tumbling window."""
-    return (scan_windows(events, window, as_of, lookback).groupBy("src_ip", "window_start")
-            .agg(F.count_distinct("dst_port").alias("distinct_ports"), F.count(F.lit(1)).alias("n_events"),
-                 F.min("timestamp").alias("first_event"), F.max("timestamp").alias("created_at"))
+    return scans_of(port_counts(events, window, as_of, lookback), window, min_ports)
+
+
+def scans_of(counts: DataFrame, window: str = "60 seconds", min_ports: int = 15) -> DataFrame:
+    """Port scans from counts with one row a source, window and port."""
+    return (counts.groupBy("src_ip", "window_start")
+            .agg(F.count(F.lit(1)).alias("distinct_ports"), F.sum("n_events").alias("n_events"),
+                 F.min("first_event").alias("first_event"), F.max("created_at").alias("created_at"))
             .filter(F.col("distinct_ports") >= min_ports)
             .select("*", _window_id("corr-portscan", "src_ip").alias("id"), F.lit("corr-portscan").alias("rule_id"),
                     F.lit("Correlation: Port Scan").alias("rule_name"), F.lit("medium").alias("severity"),
@@ -66,14 +85,20 @@ def failure_windows(events: DataFrame, window: str, as_of: str | None = None, lo
             .withColumn("window_start", F.window("timestamp", window).getField("start")))
 
 
+def failure_counts(events: DataFrame, window: str, as_of: str | None = None, lookback: str | None = None) -> DataFrame:
+    """Failures by source, target and window; counts of several batches can be added up."""
+    return _counted(failure_windows(events, window, as_of, lookback), FAILURE_KEY)
+
+
 def brute_force(events: DataFrame, window: str = "60 seconds", min_failures: int = 10,
                 as_of: str | None = None, lookback: str | None = None) -> DataFrame:
     """Repeated authentication failures from one source to one target."""
-    return (failure_windows(events, window, as_of, lookback)
-            .groupBy("src_ip", "dst_ip", "window_start")
-            .agg(F.count(F.lit(1)).alias("n_events"), F.min("timestamp").alias("first_event"),
-                 F.max("timestamp").alias("created_at"))
-            .filter(F.col("n_events") >= min_failures)
+    return brute_of(failure_counts(events, window, as_of, lookback), window, min_failures)
+
+
+def brute_of(counts: DataFrame, window: str = "60 seconds", min_failures: int = 10) -> DataFrame:
+    """Brute force from counts with one row a source, target and window."""
+    return (counts.filter(F.col("n_events") >= min_failures)
             .select("*", _window_id("corr-bruteforce", "src_ip", "dst_ip").alias("id"),
                     F.lit("corr-bruteforce").alias("rule_id"), F.lit("Correlation: Brute Force").alias("rule_name"),
                     F.lit("high").alias("severity"), F.lit("T1110").alias("attack_technique"),
@@ -99,11 +124,14 @@ def connection_gaps(events: DataFrame, as_of=None, lookback=None, chunk: str = "
 def beacons(events: DataFrame, min_intervals: int = 19, max_cv: float = 0.3,
             as_of: str | None = None, lookback: str | None = None, chunk: str = "hour") -> DataFrame:
     """Connections with regular spacing: coefficient of variation of the gaps below ``max_cv``."""
+    return _beacon_rows(connection_gaps(events, as_of, lookback, chunk).groupBy(*PAIR)
+                        .agg(F.count(F.lit(1)).alias("n_events"), F.avg("gap_seconds").alias("mean_interval"),
+                             F.stddev_pop("gap_seconds").alias("stddev_interval"), F.max("timestamp").alias("created_at")), min_intervals, max_cv)
+
+
+def _beacon_rows(stats: DataFrame, min_intervals: int, max_cv: float) -> DataFrame:
     cv = F.try_divide(F.col("stddev_interval"), F.col("mean_interval"))
-    return (connection_gaps(events, as_of, lookback, chunk).groupBy("src_ip", "dst_ip", "dst_port")
-            .agg(F.count(F.lit(1)).alias("n_events"), F.avg("gap_seconds").alias("mean_interval"),
-                 F.stddev_pop("gap_seconds").alias("stddev_interval"), F.max("timestamp").alias("created_at"))
-            .filter((F.col("n_events") >= min_intervals) & (F.col("mean_interval") > 0) & (cv < max_cv))
+    return (stats.filter((F.col("n_events") >= min_intervals) & (F.col("mean_interval") > 0) & (cv < max_cv))
             .select("*", stable_id(F.lit("corr-beacon"), F.concat_ws("|", "src_ip", "dst_ip", F.col("dst_port").cast("string"))).alias("id"),
                     F.lit("corr-beacon").alias("rule_id"), F.lit("Correlation: Beaconing").alias("rule_name"),
                     F.lit("high").alias("severity"), F.lit("T1071").alias("attack_technique"),
@@ -112,6 +140,57 @@ def beacons(events: DataFrame, min_intervals: int = 19, max_cv: float = 0.3,
                                     cv, F.col("n_events") + 1).alias("explanation")))
 
 
+# ---- beacon summaries ----------------------------------------------------------------------------------
+# Connections of one (source, target, port) in one time chunk: the instants (microseconds, sorted) and what a pair needs of them.
+
+CHUNK_KEY = [*PAIR, "chunk"]
+MOMENTS = ["n", "first", "last", "mean", "m2"]
+
+
+def connection_chunks(events: DataFrame, chunk: str = "hour") -> DataFrame:
+    """(source, target, port, chunk, instants) of connections; a chunk holds one chunk's connections of one pair."""
+    return (connections(events).groupBy(*PAIR, F.date_trunc(chunk, "timestamp").alias("chunk"))
+            .agg(F.array_sort(F.collect_list(F.unix_micros("timestamp"))).alias("instants")))
+
+
+def merged_chunks(chunks: DataFrame) -> DataFrame:
+    """One row a pair and chunk, instants of several batches in order."""
+    return chunks.groupBy(*CHUNK_KEY).agg(F.array_sort(F.flatten(F.collect_list("instants"))).alias("instants"))
+
+
+def with_moments(chunks: DataFrame) -> DataFrame:
+    """Adds count, first and last instant, and mean and summed squared deviation of the gaps inside the chunk."""
+    gaps = F.zip_with(F.slice("instants", F.lit(2), F.greatest(F.size("instants") - 1, F.lit(0))), F.slice("instants", F.lit(1), F.greatest(F.size("instants") - 1, F.lit(0))), lambda b, a: (b - a) / 1e6)
+    placed = chunks.withColumn("n", F.size("instants").cast("bigint")).withColumn("first", F.element_at("instants", 1)).withColumn("last", F.element_at("instants", -1)) \
+        .withColumn("mean", F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / 1e6 / (F.col("n") - 1)).otherwise(0.0))
+    return placed.withColumn("m2", F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + (gap - F.col("mean")) * (gap - F.col("mean"))))
+
+
+def beacons_of(moments: DataFrame, min_intervals: int = 19, max_cv: float = 0.3) -> DataFrame:
+    """Beacons from the moments of all chunks of some pairs, combined in chunk order; instants are not needed.
+
+    The gaps of a pair are those inside its chunks and one from each chunk's last instant to the next one's first.
+    """
+    in_order, whole = Window.partitionBy(*PAIR).orderBy("chunk"), Window.partitionBy(*PAIR)
+    step = (F.col("first") - F.lag("last").over(in_order)) / 1e6
+    placed = moments.select(*CHUNK_KEY, *MOMENTS).withColumn("step", step).withColumn("gaps", F.sum("n").over(whole) - 1) \
+        .withColumn("overall", F.try_divide((F.max("last").over(whole) - F.min("first").over(whole)) / 1e6, F.col("gaps")))
+    spread = F.col("m2") + (F.col("n") - 1) * F.pow(F.col("mean") - F.col("overall"), 2) + F.coalesce(F.pow(F.col("step") - F.col("overall"), 2), F.lit(0.0))
+    stats = placed.filter("gaps > 0").groupBy(*PAIR).agg(F.first("gaps").alias("n_events"), F.first("overall").alias("mean_interval"), F.sqrt(F.sum(spread) / F.first("gaps")).alias("stddev_interval"),
+                                                         F.timestamp_micros(F.max("last")).alias("created_at"))
+    return _beacon_rows(stats, min_intervals, max_cv)
+
+
+def trimmed(chunks: DataFrame, as_of: str, lookback: str, chunk: str = "hour") -> DataFrame:
+    """Moments of the part of each chunk within the lookback; only border chunks look at their instants."""
+    end = F.lit(as_of).cast("timestamp")
+    start = end - F.expr(f"INTERVAL {lookback}")
+    inside = chunks.filter((F.col("chunk") > start) & (F.col("chunk") < F.date_trunc(chunk, end))).select(*CHUNK_KEY, *MOMENTS)
+    border = chunks.filter((F.col("chunk") == F.date_trunc(chunk, start)) | (F.col("chunk") == F.date_trunc(chunk, end))).select(
+        *CHUNK_KEY, F.filter("instants", lambda t: (t >= F.unix_micros(start)) & (t <= F.unix_micros(end))).alias("instants"))
+    return inside.unionByName(with_moments(border.filter(F.size("instants") > 0)).select(*CHUNK_KEY, *MOMENTS))
+
+
 @dataclass
 class Chain:
     name: str

@@ -71,7 +71,7 @@ def ingested(spark, sf, stages=False):
     raw.repartition(2).write.parquet(folder + "/in")
     raw.filter("process_id % 5 = 0").repartition(1).write.mode("append").parquet(folder + "/in")
     stream = J.event_stream(spark, folder + "/in", raw.schema, max_files=1)
-    hook = J.derived_stages(folder + "/events", folder + "/stages", **SCAN, brute=BRUTE, beacon=BEACON, chains=CHAINS, as_of=AS_OF) if stages else None
+    hook = J.derived_stages(folder + "/stages", **SCAN, brute=BRUTE, beacon=BEACON, chains=CHAINS, as_of=AS_OF) if stages else None
     J.ingest(stream, folder + "/events", folder + "/cp", D.iocs(spark, sf), folder + "/hits", hook).awaitTermination()
     return folder
 

@@ -1,27 +1,14 @@
 """Writers: idempotent append, replace, export, bundles, backup, retention, evidence archive."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.functions.keyed import newest_per_key, oldest_per_key, side_by_side
+from tidewatch.functions.keyed import newest_per_key, oldest_per_key, scratch_folder, side_by_side
 from tidewatch.operators.hunt import event_filter, newest_first
 from tidewatch.operators.graph import induced_edges
 from tidewatch.operators.kpi import run_durations
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one the cluster names; machine-local only for a local master with none set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # ---- event table -------------------------------------------------------------------------------------
 
 def new_events(stored: DataFrame | None, batch: DataFrame) -> DataFrame:

@@ -8,18 +8,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import _parse_datatype_string
 
 from tidewatch.functions.scalars import stable_id
 from tidewatch.functions.keyed import cut_lineage, newest_per_key, oldest_per_key
-from tidewatch.operators.correlate import BEACON_TYPES, OUTPUT, Chain, auth_failure, beacons, brute_force, chain_by_rules, chain_by_tactics, connections, failure_windows, port_scans, scan_windows, since
+from tidewatch.operators.correlate import (BEACON_TYPES, CHUNK_KEY, FAILURE_KEY, OUTPUT, PAIR, PORT_KEY, PORT_SUMS, Chain, auth_failure, beacons_of, brute_of, chain_by_rules, chain_by_tactics, connection_chunks,
+                                             failure_counts, merged_chunks, port_counts, scans_of, since, trimmed, with_moments)
 from tidewatch.operators.graph import EDGE_KEY, extract_edges, extract_entities, first_edges, upsert_entities
 from tidewatch.operators.intel import asset_mentions, ioc_hits, match_iocs, merge_assets
 from tidewatch.operators.normalize import normalize
 from tidewatch.operators.rules import anomaly_rules
-from tidewatch.operators.scores import anomaly_detections, score_new
+from tidewatch.operators.scores import anomaly_detections, peer_features, score_new
 from tidewatch.sources import logs, sensor  # noqa: F401  (they register their readers)
 from tidewatch.sources.records import source
-from tidewatch.sources.sinks import append_events, new_events, stored_table
+from tidewatch.sources.runs import IdIndex, RunTable, added_up, newest_version
+from tidewatch.sources.sinks import append_events, stored_table
 
 
 # ---- sources -----------------------------------------------------------------------------------------
@@ -49,27 +52,42 @@ def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits
            stages: Callable[[DataFrame, int], DataFrame | None] | None = None, available_now: bool = True, interval: str = "30 seconds") -> StreamingQuery:
     """normalize -> indicator match -> drop ids already stored -> append, per micro-batch.
 
-    A replayed batch finds its ids stored and adds nothing, so the sink is idempotent. ``stages`` gets the new rows of the batch
-    before they are stored: whatever it writes by batch is complete once the rows are, and written again if they never were. Rows
-    it returns are stored in their place.
+    Known ids are looked up in an index beside the table (:class:`~tidewatch.sources.runs.IdIndex`), never in the table. ``stages`` gets
+    the new rows of the batch and its number before they are stored: what it writes by number is complete once the rows are. Rows it
+    returns are stored in their place. A replayed batch whose rows are stored does nothing; one that stopped before or while they were is
+    run again, and only in that case the ids of the days it has are read from the table, to store just the missing rows.
     """
     spark = events.sparkSession
+    index = IdIndex(spark, f"{table.rstrip('/')}_ids")
+    index.cover(stored_table(spark, table))
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
+        number = index.number(spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch", batch_id)
+        status = index.status(number)
+        if status == "done":
+            return
+        index.compact(number)
         matched = match_iocs(normalize(batch), iocs)
-        rows = matched.select(*batch.columns)
-        # Checkpointed, not cached: appending to the table would make Spark compute a cached frame anew, then finding all ids stored.
-        fresh = cut_lineage(new_events(stored_table(spark, table), rows))
+        first = cut_lineage(oldest_per_key(matched.select(*batch.columns), ["event_id"], ["ingested_at", "timestamp"]))
+        fresh = cut_lineage(first.join(index.known(first, number), "event_id", "left_anti").select(*batch.columns))
+        stored = None
+        if status == "begun" and (old := stored_table(spark, table)) is not None:
+            days = fresh.select(F.to_date("timestamp").alias("event_date")).distinct()
+            stored = cut_lineage(old.join(F.broadcast(days) if days.count() <= MAX_DAYS else days, "event_date", "left_semi").select("event_id").join(fresh.select("event_id"), "event_id", "left_semi"))
+        index.begin(number, fresh)
         if hits_folder:
             new_hits = ioc_hits(matched).join(fresh.select("event_id"), "event_id", "left_semi")
-            new_hits.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(hits_folder)
-        staged = stages(fresh, batch_id) if stages else None
-        append_events(fresh if staged is None else staged.select(*batch.columns), table)
+            new_hits.withColumn("batch_id", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(hits_folder)
+        staged = stages(fresh, number) if stages else None
+        rows = fresh if staged is None else staged.select(*batch.columns)
+        append_events(rows if stored is None else rows.join(stored, "event_id", "left_anti").select(*batch.columns), table)
+        index.finish(number)
 
     writer = events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+MAX_DAYS = 100_000
 DETECTION = {**dict.fromkeys(OUTPUT, "string"), "n_events": "bigint", "created_at": "timestamp", "src_ip": "string", "dst_ip": "string", "dst_port": "int", "window_start": "timestamp", "distinct_ports": "bigint",
              "first_event": "timestamp", "mean_interval": "double", "stddev_interval": "double", "suppressed": "boolean", "retracted": "boolean"}
 
@@ -83,56 +101,93 @@ def _detection_rows(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def _stored_detections(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """Newest state of each detection, of the batches below ``before``; those that no longer hold are left out."""
-    rows = stored_table(spark, f"{folder}/detections")
-    if rows is None:
-        return None
-    if before is not None:
-        rows = rows.filter(F.col("batch_id") < before)
-    return newest_per_key(rows, ["id"], ["batch_id"]).filter(~F.col("retracted")).drop("batch_id")
-
-
-def _touched(keyed: Callable[[DataFrame], DataFrame], keys: list[str], fresh: DataFrame, stored: DataFrame | None, window: str | None = None) -> DataFrame:
-    """New and stored rows of the keys that new rows have. ``keyed`` adds the keys; with a window only the days it can reach are read."""
-    touched = keyed(fresh).select(*keys).distinct()
-    near = fresh
-    if stored is not None:
-        old = stored
-        if window:
-            first, last = touched.agg(F.date_sub(F.min("window_start").cast("date"), 1), F.date_add(F.max(F.col("window_start") + F.expr(f"interval {window}")).cast("date"), 1)).first()
-            old = stored.filter(F.col("event_date").between(first, last)) if first is not None else None
-        near = fresh.unionByName(old.select(*fresh.columns)) if old is not None else fresh
-    same = touched.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    return keyed(near).join(same, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi").select(*fresh.columns)
-
-
-def correlate_batch(fresh: DataFrame, stored: DataFrame | None, history: DataFrame | None, scan: dict, brute: dict, beacon: dict, chains: list[Chain],
+def _unretracted(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("retracted"))
+
+
+def _add(old: DataFrame | None, new: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return new if old is None else merge(old.unionByName(new))
+
+
+add_ports, add_failures = added_up(PORT_KEY, *PORT_SUMS), added_up(FAILURE_KEY, *PORT_SUMS)
+
+
+class StageTables:
+    """What the stages of :func:`ingest` keep over batches, as run tables: every batch writes its own share and reads just the buckets of
+    the keys it touches."""
+
+    def __init__(self, spark: SparkSession, folder: str, fresh: DataFrame | None = None, buckets: int = 16, fan_in: int = 8):
+        """``fresh`` gives the columns where they follow from those of events; without it they are read from the files."""
+        def table(name: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], rows: Callable[[DataFrame], DataFrame] | str) -> RunTable:
+            schema = _parse_datatype_string(rows) if isinstance(rows, str) else rows(fresh).schema if fresh is not None else None
+            return RunTable(spark, f"{folder}/{name}", keys, merge, schema, buckets, fan_in)
+        counts = "n_events bigint, first_event timestamp, created_at timestamp"
+        self.ports = table("ports", ["src_ip"], add_ports, f"src_ip string, window_start timestamp, dst_port int, {counts}")
+        self.failures = table("failures", ["src_ip"], add_failures, f"src_ip string, dst_ip string, window_start timestamp, {counts}")
+        self.chunks = table("connections", ["src_ip"], newest_version(CHUNK_KEY), "src_ip string, dst_ip string, dst_port int, chunk timestamp, instants array<bigint>, n bigint, first bigint, last bigint, mean double, m2 double")
+        self.clock = table("clock", [], added_up([], [], [], ["newest"]), "newest timestamp")
+        self.detections = table("detections", ["entity_key"], newest_version(["id"]), ", ".join(f"{c} {t}" for c, t in DETECTION.items()))
+        self.anomaly_state = table("anomaly_state", ["subnet", "process"], newest_version(["subnet", "process"]), lambda f: score_new(f, None)[1])
+        self.assets = table("assets", ["ip"], added_up(["ip"], [], ["first_seen"], ["last_seen", "named"]), asset_mentions)
+        self.entities = table("entities", ["id"], lambda rows: newest_per_key(rows, ["id"], ["timestamp", "event_id"]).drop("_version"), extract_entities)
+        self.edges = table("edges", EDGE_KEY, lambda rows: oldest_per_key(rows, EDGE_KEY, ["timestamp", "event_id"]).drop("_version"), extract_edges)
+        self.all = [self.ports, self.failures, self.chunks, self.clock, self.detections, self.anomaly_state, self.assets, self.entities, self.edges]
+
+    def compact(self, before: int) -> None:
+        for table in self.all:
+            table.compact(before)
+
+
+def correlate_batch(fresh: DataFrame, tables: StageTables, number: int, scan: dict, brute: dict, beacon: dict, chains: list[Chain],
                     as_of: str | None = None, suppress_minutes: int = 60) -> DataFrame:
     """Detections that the new rows make, change or end, over the keys they touch: the parts of :func:`~tidewatch.operators.correlate.run_all` on one micro-batch.
 
-    A scan or failure window split over batches is counted whole, and a beacon from all stored connections of its key. A beacon that new rows
-    make irregular is written with ``retracted``. Chains are looked for among all detections of the entities with a new detection, those of this
-    batch included. ``suppressed`` marks a detection whose (rule, entity) an earlier batch reported within the last ``suppress_minutes`` as another
+    Windows split over batches are counted whole from added-up counts, and a beacon from the moments of all chunks of its pair; the
+    event table is not read. Of the instants only those of chunks with new ones are. A beacon that new rows make irregular is written
+    with ``retracted``. Chains are looked for among all detections of the entities with a new detection, those of this batch included.
+    ``suppressed`` marks a detection whose (rule, entity) an earlier batch reported within the last ``suppress_minutes`` as another
     detection; it stays evidence for chains. Without ``as_of`` the clock is the newest time seen, and a chain found once stays unless it may
     rest on a beacon since retracted; at a fixed ``as_of`` it stays as long as it holds as of then.
     """
     spark = fresh.sparkSession
-    if history is None:
-        history = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in DETECTION.items()))
-    history = cut_lineage(history)
-    reach = {k: v for k, v in beacon.items() if k in ("as_of", "lookback")}
-    window, failures = scan.get("window", "60 seconds"), brute.get("window", "60 seconds")
-    pair = ["src_ip", "dst_ip", "dst_port"]
-    found = cut_lineage(_detection_rows(
-        port_scans(_touched(lambda rows: scan_windows(rows, window), ["src_ip", "window_start"], fresh, stored, window), **scan),
-        brute_force(_touched(lambda rows: failure_windows(rows, failures), ["src_ip", "dst_ip", "window_start"], fresh, stored, failures), **brute),
-        beacons(_touched(lambda rows: connections(rows, **reach), pair, fresh, stored), **beacon)))
-    lost = history.filter("rule_id = 'corr-beacon'").join(connections(fresh).select(*pair).distinct(), pair, "left_semi").join(found, "id", "left_anti").select(*history.columns)
+    sources = cut_lineage(fresh.filter("src_ip IS NOT NULL").select("src_ip").distinct())
+    entities = sources.withColumnRenamed("src_ip", "entity_key")
+    history = tables.detections.rows(number, entities)
+    history = cut_lineage(_unretracted(history)) if history is not None else spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in DETECTION.items()))
+    window, failures, chunk = scan.get("window", "60 seconds"), brute.get("window", "60 seconds"), beacon.get("chunk", "hour")
+
+    def whole(new: DataFrame, table: RunTable, keys: list[str], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """New and stored counts of the windows that new rows fall into; the new ones are written."""
+        new = cut_lineage(new)
+        table.write(number, new)
+        old = table.rows(number, sources)
+        touched = new.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        return new if old is None else _add(old.join(touched, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi"), new, merge)
+
+    ports = whole(port_counts(fresh, window), tables.ports, ["src_ip", "window_start"], add_ports)
+    failed = whole(failure_counts(fresh, failures), tables.failures, FAILURE_KEY, add_failures)
+    new_chunks, known_chunks = connection_chunks(fresh, chunk), tables.chunks.rows(number, sources)
+    if known_chunks is not None:
+        again = known_chunks.join(new_chunks.select(*CHUNK_KEY), CHUNK_KEY, "left_semi").select(*CHUNK_KEY, "instants")
+        new_chunks = merged_chunks(new_chunks.unionByName(again))
+    new_chunks = cut_lineage(with_moments(new_chunks))
+    tables.chunks.write(number, new_chunks)
+    pairs = new_chunks.select(*PAIR).distinct()
+    chunks = new_chunks
+    if known_chunks is not None:
+        chunks = new_chunks.unionByName(known_chunks.join(pairs, PAIR, "left_semi").select(*new_chunks.columns).join(new_chunks.select(*CHUNK_KEY), CHUNK_KEY, "left_anti").select(*new_chunks.columns))
+    if beacon.get("as_of") and beacon.get("lookback"):
+        chunks = trimmed(chunks, beacon["as_of"], beacon["lookback"], chunk)
+    limits = {k: v for k, v in beacon.items() if k in ("min_intervals", "max_cv")}
+    found = cut_lineage(_detection_rows(scans_of(ports, window, scan.get("min_ports", 15)), brute_of(failed, failures, brute.get("min_failures", 10)), beacons_of(chunks, **limits)))
+    lost = history.filter("rule_id = 'corr-beacon'").join(pairs, PAIR, "left_semi").join(found, "id", "left_anti").select(*history.columns)
     entities = found.select("entity_key").union(lost.select("entity_key")).distinct()
     known = history.join(entities, "entity_key", "left_semi").join(found.select("id").union(lost.select("id")), "id", "left_anti").select(*DETECTION).unionByName(found)
+    seen = fresh.agg(F.max("timestamp").alias("newest"))
+    tables.clock.write(number, seen)
     if as_of is None:
-        now = fresh.agg(F.max("timestamp").alias("t")).union(history.agg(F.max("created_at"))).agg(F.max("t").cast("string")).first()[0]
+        clock = tables.clock.rows(number)
+        now = (seen if clock is None else seen.unionByName(clock)).agg(F.max("newest").cast("string")).first()[0]
     else:
         now = as_of
     changed, ended = [found], [lost]
@@ -156,43 +211,33 @@ def correlate_batch(fresh: DataFrame, stored: DataFrame | None, history: DataFra
     return cut_lineage(_detection_rows(out, *[e.withColumn("retracted", F.lit(True)) for e in ended]))
 
 
-def _anomaly_state(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
-    """Rows that each peer group's last batch below ``before`` left behind."""
-    rows = stored_table(spark, f"{folder}/anomaly_state")
-    if rows is None:
-        return None
-    rows = rows.filter(F.col("batch_id") < before)
-    return rows.join(rows.groupBy("subnet", "process").agg(F.max("batch_id").alias("batch_id")), ["subnet", "process", "batch_id"], "left_semi").drop("batch_id")
-
-
-def derived_stages(table: str, folder: str, window: str = "60 seconds", min_ports: int = 15, brute: dict | None = None, beacon: dict | None = None,
+def derived_stages(folder: str, window: str = "60 seconds", min_ports: int = 15, brute: dict | None = None, beacon: dict | None = None,
                    chains: list[Chain] | None = None, as_of: str | None = None, suppress_minutes: int = 60,
-                   anomaly: dict | None = None, threshold: float = 0.7) -> Callable[[DataFrame, int], DataFrame]:
+                   anomaly: dict | None = None, threshold: float = 0.7, buckets: int = 16, fan_in: int = 8) -> Callable[[DataFrame, int], DataFrame]:
     """The ``stages`` of :func:`ingest`: assets, anomalies, graph and correlation of each micro-batch.
 
     New rows get the score of their peer group's half-space trees (:func:`~tidewatch.operators.scores.score_new`, ``anomaly`` its sizes) and are
     returned with it; scores above ``threshold`` make a detection. The state of a group is what the last batch that touched it wrote. The fixed rules are written beside.
 
-    Each stage writes mentions or detections below ``folder``, partitioned by batch; a replayed batch overwrites its own. Correlation
-    (:func:`correlate_batch`) reads the stored rows of just the keys that the batch touches. A batch without new rows (a replay) writes nothing.
+    What is kept below ``folder`` are run tables (:class:`StageTables`), of which a batch reads the buckets of its own keys; a replayed batch
+    overwrites its own run. Anomalies and rule hits are plain results by batch. A batch without new rows writes nothing.
     """
-    def run(fresh: DataFrame, batch_id: int) -> DataFrame:
+    def run(fresh: DataFrame, number: int) -> DataFrame:
         spark = fresh.sparkSession
-        scores, state = score_new(fresh, _anomaly_state(spark, folder, batch_id), **(anomaly or {}))
+        if fresh.isEmpty():
+            return fresh
+        tables = StageTables(spark, folder, fresh, buckets, fan_in)
+        tables.compact(number)
+        scores, state = score_new(fresh, tables.anomaly_state.rows(number, peer_features(fresh).select("subnet", "process").distinct()), **(anomaly or {}))
         scores, state = cut_lineage(scores), cut_lineage(state)
-        found = correlate_batch(fresh, stored_table(spark, table), _stored_detections(spark, folder, batch_id), dict(window=window, min_ports=min_ports),
-                                brute or {}, beacon or {}, chains or [], as_of, suppress_minutes)
-        outputs = {
-            "assets": asset_mentions(fresh),
-            "anomaly_rules": fresh.select("event_id", anomaly_rules().alias("rules")).filter(F.size("rules") > 0),
-            "anomaly_state": state,
-            "anomalies": anomaly_detections(scores, threshold),
-            "entities": newest_per_key(extract_entities(fresh), ["id"], ["timestamp", "event_id"]),
-            "edges": oldest_per_key(extract_edges(fresh), EDGE_KEY, ["timestamp", "event_id"]),
-            "detections": found,
-        }
-        for name, rows in outputs.items():
-            rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
+        tables.anomaly_state.write(number, state)
+        tables.detections.write(number, correlate_batch(fresh, tables, number, dict(window=window, min_ports=min_ports), brute or {}, beacon or {}, chains or [], as_of, suppress_minutes))
+        tables.assets.write(number, asset_mentions(fresh))
+        tables.entities.write(number, newest_per_key(extract_entities(fresh), ["id"], ["timestamp", "event_id"]))
+        tables.edges.write(number, oldest_per_key(extract_edges(fresh), EDGE_KEY, ["timestamp", "event_id"]))
+        results = {"anomaly_rules": fresh.select("event_id", anomaly_rules().alias("rules")).filter(F.size("rules") > 0), "anomalies": anomaly_detections(scores, threshold)}
+        for name, rows in results.items():
+            rows.withColumn("batch_id", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
         return fresh.drop("anomaly_score").join(scores.select("event_id", "anomaly_score"), "event_id", "left").select(*fresh.columns)
 
     return run
@@ -200,17 +245,14 @@ def derived_stages(table: str, folder: str, window: str = "60 seconds", min_port
 
 def derived_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """What the stages of all batches add up to: equal to the batch operator over all stored events."""
+    if name in ("anomalies", "anomaly_rules"):
+        return spark.read.parquet(f"{folder}/{name}").drop("batch_id")
+    rows = getattr(StageTables(spark, folder), name).rows()
     if name == "detections":
-        found = _stored_detections(spark, folder)
-        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in DETECTION.items())).drop("retracted") if found is None else found.drop("retracted")
-    rows = spark.read.parquet(f"{folder}/{name}")
-    if name == "assets":
-        return merge_assets(rows)
-    if name == "entities":
-        return upsert_entities(rows.drop("batch_id"))
-    if name == "edges":
-        return first_edges(rows.drop("batch_id"))
-    return rows.drop("batch_id")
+        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in DETECTION.items())).drop("retracted") if rows is None else _unretracted(rows).drop("retracted")
+    if rows is None:
+        raise ValueError(f"no batch has written {name}")
+    return {"assets": merge_assets, "entities": upsert_entities, "edges": first_edges}.get(name, lambda r: r)(rows)
 
 
 # ---- windowed detectors ---------------------------------------------------------------------------------
