@@ -224,6 +224,38 @@ def test_patterns_discover_identifiers(spark):
     assert clean[50] == "please call me <phone> today" and clean[0] == "text 0 call me <phone> bye" and clean[51] == "call me maybe"
 
 
+def test_three_generations_of_patterns(spark):
+    """Seeds stand after "call me"; badges there and before "on duty"; tags there and between "room" and "today"; the last ones only
+    in that. Decoys stand in contexts of their own, or where seeds are rare."""
+    rng, rows, wanted, decoys = random.Random(9), [], set(), set()
+
+    def put(text, value=None, kind=None):
+        noise = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4)]
+        text = f"{noise[0]} {noise[1]} {text} {noise[2]} {noise[3]}"
+        if value:
+            (wanted if kind else decoys).add((len(rows), text.index(value), text.index(value) + len(value)))
+        rows.append((len(rows), text))
+
+    for k in range(900):
+        put(f"call me +1 (200) 555-{1000 + k}")
+    for k in range(160):
+        badge, tag = f"x-{70000 + k}", f"{k + 100}t{5000 + k}"
+        put(f"call me {badge}", badge, "phone")
+        put(f"{badge} on duty", badge, "phone")
+        if k < 30:
+            put(f"{tag} on duty", tag, "phone")
+            put(f"room {tag} today", tag, "phone")
+        if k < 2:
+            put(f"room qq{8800 + k} today", f"qq{8800 + k}", "phone")
+        put(f"page number {20000 + k}", f"{20000 + k}", None)
+        if k < 40:
+            put(f"see also {30000 + k}", f"{30000 + k}", None)
+            put(f"see also +1 (300) 555-{1000 + k}")
+    got = {(r["doc_id"], s["start"], s["end"]) for r in pii.find_spans(frame(spark, rows)).collect() for s in r["spans"] if s not in r["base"]}
+    assert len(got & wanted) > 0.95 * len(wanted) and not got & decoys and got <= wanted
+    assert {w for w in wanted if "qq" in rows[w[0]][1]} <= got
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = [*AWKWARD, (30, "🙂 a@b.cc 1.2.3.4 é"), (31, None)]
     got = pii.redact(frame(spark, rows))

@@ -1,9 +1,13 @@
 """Personal data in text, with DataFrame functions alone: four fixed kinds, and identifiers that share their contexts.
 
-Bootstrapping: matches of the fixed kinds are seeds. The two words before a seed are a lexical pattern of its kind. Patterns and
-the instances (values) that follow them are a bipartite graph; a pattern scores the share of its instances believed to be of the
-kind, an instance that is no seed the mean score of its patterns, ``ROUNDS`` times. Patterns with MIN_SEEDS different seeds that
-end at ACCEPT or more add the instances that reach it too. Only rows of identifiers and their contexts are shuffled.
+Bootstrapping: matches of the fixed kinds are the first believed instances. Lexical patterns are the two words before an
+identifier, the two after it, and one on each side; words with digits count by their shape. Patterns and the instances (values) met in
+them are a bipartite graph. In every round a pattern scores the share of its instances believed to be of a kind; it is accepted with MIN_SEEDS believed instances and a
+score of ACCEPT. An instance that is no seed is believed as far as any of its accepted patterns is right (1 less the product of
+their doubts), and so induces the patterns of the next round. It ends when a round adds none and
+beliefs stand still (to STILL on average), or after ROUNDS. Identifiers in accepted patterns are added.
+Patterns with fewer than MIN_SEEDS different instances can never be accepted and are left out first. Only rows of identifiers and
+their contexts are shuffled.
 """
 from __future__ import annotations
 
@@ -20,9 +24,9 @@ EXPRESSIONS = [
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
 IDENTIFIER = r"(?<![\p{L}\p{N}@._%+/:-])[\p{L}\p{N}@._%+/:-]*[0-9@][\p{L}\p{N}@._%+/:-]*"
-MIN_SEEDS, ROUNDS, ACCEPT = 5, 2, 0.8
-CONTEXT, GROUP = 60, 256          # characters looked at before a match; matches whose lengths are summed together
-SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
+MIN_SEEDS, ROUNDS, ACCEPT, STILL = 5, 16, 0.8, 1e-4
+CONTEXT, GROUP = 60, 256          # characters looked at on each side of a match; matches whose lengths are summed together
+SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
 
 
 def digits(value: Column) -> Column:
@@ -68,7 +72,8 @@ def with_matches(df: DataFrame, text: str, name: str, expression: str, kind: int
         piece = F.element_at("_pieces", i + 1)
         group = F.floor(i / GROUP).cast("int")
         start = F.aggregate(F.slice("_groups", F.lit(1), group), F.lit(0), add) + F.aggregate(F.slice("_lengths", group * GROUP + 1, i % GROUP), F.lit(0), add) + F.char_length(piece)
-        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.char_length(hit)).alias("end"), hit.alias("value"), F.right(piece, F.lit(CONTEXT)).alias("before"))
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.char_length(hit)).alias("end"), hit.alias("value"), F.right(piece, F.lit(CONTEXT)).alias("before"),
+                        F.left(F.element_at("_pieces", i + 2), F.lit(CONTEXT)).alias("after"))
 
     spans = F.when(F.col("_any"), F.transform("_hits", span))
     if kind >= 0:
@@ -83,10 +88,15 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base", F.sort_array(F.concat(*[f"_{name}" for name in KINDS]))).drop(*[f"_{name}" for name in KINDS])
 
 
-def context(before: Column) -> Column:
-    """The two words before a match, lower-case, digits as 0; null if there are fewer since the match before it."""
-    words = F.regexp_extract(F.lower(before), r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
-    return F.when(words != "", F.regexp_replace(F.regexp_replace(words, "[0-9]", "0"), r"\s+", " "))
+def contexts(before: Column, after: Column) -> Column:
+    """The patterns of a match: lower-case words within CONTEXT characters and up to the next match of the same expression, digits as 0."""
+    def words(side: Column, expression: str) -> Column:
+        found = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.lower(side), expression, 1), "[0-9]+", "0"), r"\s+", " ")
+        return F.when(found != "", found)
+
+    left, right = words(before, r"(?:^|\s)(\S+)\s*$"), words(after, r"^\s*(\S+)(?:\s|$)")
+    return F.array_compact(F.array(F.concat(F.lit("before "), words(before, r"(?:^|\s)(\S+\s+\S+)\s*$")), F.concat(F.lit("after "), words(after, r"^\s*(\S+\s+\S+)(?:\s|$)")),
+                                   F.concat(F.lit("between "), left, F.lit(" "), right)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -99,26 +109,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def discovered(found: DataFrame) -> DataFrame:
     """(row, doc_id, text_key, start, kind, end) of identifiers that accepted patterns add."""
-    seeds = found.select(F.explode("base").alias("s")).select(context(F.col("s.before")).alias("pattern"), F.col("s.kind").alias("kind"), F.sha2("s.value", 256).alias("instance")).filter("pattern is not null").distinct()
-    strong = stored(seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS).drop("n"))
-    open_ = found.select("row", "doc_id", "text_key", F.explode("others").alias("o")).select("row", "doc_id", "text_key", "o.start", "o.end", F.col("o.value").alias("value"), context(F.col("o.before")).alias("pattern"))
-    open_ = stored(open_.filter("pattern is not null").join(strong.select("pattern").distinct(), "pattern", "left_semi").withColumn("instance", F.sha2("value", 256)))
-    known = seeds.join(strong.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance", F.col("kind").alias("seed_kind"))
-    edges = stored(known.unionByName(open_.select("pattern", "instance", F.lit(None).cast("int").alias("seed_kind")).distinct()))
-    graph = edges.join(strong, "pattern")                      # one row an edge and kind of its pattern
-    belief = F.coalesce((F.col("seed_kind") == F.col("kind")).cast("double"), F.lit(0.0))
-    scores = None
+    met = found.select(F.explode(F.concat("base", "others")).alias("s")).select(F.sha2("s.value", 256).alias("instance"), F.explode(contexts(F.col("s.before"), F.col("s.after"))).alias("pattern")).distinct()
+    frequent = met.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS)
+    edges = stored(met.join(frequent, "pattern"))                                                   # one row a pattern and instance
+    seeds = stored(found.select(F.explode("base").alias("s")).select(F.sha2("s.value", 256).alias("instance"), F.col("s.kind").alias("kind")).distinct().withColumn("belief", F.lit(1.0)))
+    believed, size = seeds, (0, 0.0)
     for _ in range(ROUNDS):
-        if scores is None:
-            believed = graph.withColumn("belief", belief)
-        else:
-            believed = graph.join(scores, ["instance", "kind"], "left").withColumn("belief", F.when(F.col("seed_kind").isNull(), F.coalesce("score", F.lit(0.0))).otherwise(belief)).drop("score")
-        patterns = stored(believed.groupBy("pattern", "kind").agg((F.sum("belief") / (F.count(F.lit(1)) + 1)).alias("strength")))
-        scores = edges.filter("seed_kind is null").join(patterns, "pattern").groupBy("instance", "kind").agg(F.avg("strength").alias("score"))
-    sure = patterns.filter(F.col("strength") >= ACCEPT)
-    taken = open_.join(sure, "pattern").join(scores.filter(F.col("score") >= ACCEPT), ["instance", "kind"])
+        support = edges.join(believed, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("believed"), F.sum("belief").alias("total"), F.first("n").alias("n"))
+        strong = (F.col("believed") >= MIN_SEEDS) & (F.col("total") >= ACCEPT * (F.col("n") + 1))
+        sure = stored(support.filter(strong).select("pattern", "kind", (F.col("total") / (F.col("n") + 1)).alias("strength")))
+        if sure.isEmpty():
+            break
+        met_by = edges.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.product(1 - F.col("strength"))).alias("belief"))
+        new = met_by.join(seeds.select("instance"), "instance", "left_anti")
+        believed = stored(seeds.unionByName(new))
+        before, size = size, believed.agg(F.count(F.lit(1)), F.coalesce(F.sum("belief"), F.lit(0.0))).first()
+        if size[0] == before[0] and abs(size[1] - before[1]) <= STILL * size[0]:
+            break
+    open_ = found.select("row", "doc_id", "text_key", F.explode("others").alias("o")).select(
+        "row", "doc_id", "text_key", "o.start", "o.end", F.col("o.value").alias("value"), F.sha2("o.value", 256).alias("instance"), F.explode(contexts(F.col("o.before"), F.col("o.after"))).alias("pattern"))
     shaped = (F.col("kind") == 0) | (F.char_length(digits(F.col("value"))) >= 4)
-    best = taken.filter(shaped).groupBy("row", "doc_id", "text_key", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    taken = open_.join(sure, "pattern").join(believed.select("instance", "kind", "belief"), ["instance", "kind"]).filter(shaped)
+    best = taken.groupBy("row", "doc_id", "text_key", "start", "end").agg(F.max_by("kind", F.struct("belief", "strength", -F.col("kind"))).alias("kind"))
     return best.select("row", "doc_id", "text_key", "start", "kind", "end")
 
 
