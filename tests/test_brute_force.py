@@ -39,14 +39,21 @@ def test_previous_and_position_equal_plain_windows(spark, timed):
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.select("event_id", "p", "n").collect()))
 
 
-def test_temporal_clusters_equal_greedy_walk(spark, timed):
+@pytest.mark.parametrize("chunk_windows", [1, 3, 12])
+def test_temporal_clusters_equal_greedy_walk(spark, timed, chunk_windows):
+    """One host holds most rows; with short chunks a start is carried over several of them, and dense stretches never pause."""
+    rng, second = random.Random(8), 0.0
+    for i in range(3000):
+        second += rng.choice([1, 7, 20, 20, 20, 290])
+        timed = timed if i else list(timed)
+        timed.append((f"d{i:04d}", START + timedelta(seconds=second), "dense"))
     want, state = {}, {}
     for eid, ts, host in sorted(timed, key=lambda r: (r[2], r[1], r[0])):
         if host not in state or ts - state[host] > timedelta(minutes=5):
             state[host] = ts
         want[eid] = state[host]
     df = make(spark, timed, "event_id string, timestamp timestamp, hostname string")
-    got = {r["event_id"]: r["cluster_start"].astimezone(timezone.utc) for r in K.temporal_cluster_members(df, 5).collect()}
+    got = {r["event_id"]: r["cluster_start"].astimezone(timezone.utc) for r in K.temporal_cluster_members(df, 5, chunk_windows=chunk_windows).collect()}
     assert got == want
 
 
@@ -116,12 +123,39 @@ def test_rate_gate_equals_sequential_walk(spark):
     assert all(not r["allowed"] for r in shadow)
 
 
-def test_anomaly_scores_equal_sequential_model(spark):
+def plain_scorer(feature, split, window):
+    """One row against one window, tree by tree."""
+    trees, inner = feature.shape
+
+    def path(row, t):
+        node, out = 0, [0]
+        while node < inner:
+            node = 2 * node + 1 + int(row[feature[t, node]] >= split[t, node])
+            out.append(node)
+        return out
+
+    def score(row, reference):
+        total = 0.0
+        for t in range(trees):
+            paths = [path(r, t) for r in reference]
+            for depth, node in enumerate(path(row, t)):
+                mass = sum(p[depth] == node for p in paths)
+                total += mass * 2.0 ** depth
+                if mass < 0.1 * window:
+                    break
+        return min(1.0, max(0.0, 1.0 - total / (trees * window * (inner * 2 + 1))))
+    return score
+
+
+@pytest.mark.parametrize("block, rows_at_once", [(64, 4096), (2, 120), (1, 10)])
+def test_anomaly_scores_equal_sequential_model(spark, monkeypatch, block, rows_at_once):
+    monkeypatch.setattr(S, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(S, "PASS_ROWS", rows_at_once)
     rng = random.Random(2)
     rows = [(f"e{i:04d}", START + timedelta(minutes=7 * i), f"10.0.{int(rng.random() < 0.3)}.5", "cmd.exe", rng.randint(0, 65000), rng.choice(["low", "high", "critical"])) for i in range(400)]
     df = make(spark, rows, "event_id string, timestamp timestamp, src_ip string, process_name string, dst_port int, severity string")
     feats = {r["event_id"]: np.array([[r[f"f_{n}"] for n in S.FEATURES]]) for r in S.peer_features(df).collect()}
-    score = S.mass_scorer(*S.grow_trees(7, 5, 4), 50)
+    score = plain_scorer(*S.grow_trees(7, 5, 4), 50)
     want, history = {}, defaultdict(list)
     for eid, _, ip, *_ in rows:
         past = history[ip.rsplit(".", 1)[0]]
@@ -130,7 +164,7 @@ def test_anomaly_scores_equal_sequential_model(spark):
             want[eid] = 0.5 if n == 0 else 0.0
         else:
             w = n // 50
-            want[eid] = float(score(feats[eid], np.vstack(past[(w - 1) * 50:w * 50]))[0])
+            want[eid] = score(feats[eid][0], np.vstack(past[(w - 1) * 50:w * 50]))
         past.append(feats[eid])
     got = {r["event_id"]: r["anomaly_score"] for r in S.score_anomalies(df, trees=5, height=4).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 
+from tests.test_brute_force import plain_scorer
 from tidewatch.operators import correlate as C, scores as S
 from tidewatch.schema import conform
 from tidewatch.streaming import jobs
@@ -73,12 +74,12 @@ def test_anomaly_scores_over_batches_equal_a_sequential_replay(spark, tmp_path):
     batches = [rows[:70], rows[70:75], rows[75:330]]
     events, stages = run_batches(spark, tmp_path, batches, anomaly=dict(trees=5, height=4), threshold=0.4)
     feats = {r["event_id"]: np.array([[r[f"f_{n}"] for n in S.FEATURES]]) for r in S.peer_features(events).collect()}
-    score, want, history = S.mass_scorer(*S.grow_trees(7, 5, 4), 50), {}, {}
+    score, want, history = plain_scorer(*S.grow_trees(7, 5, 4), 50), {}, {}
     for batch in batches:
         for eid, _, ip, *_ in sorted(batch, key=lambda r: (r[1], r[0])):
             past = history.setdefault(ip, [])
             w = len(past) // 50
-            want[eid] = float(score(feats[eid], np.vstack(past[(w - 1) * 50:w * 50]))[0]) if w else 0.0 if past else 0.5
+            want[eid] = score(feats[eid][0], np.vstack(past[(w - 1) * 50:w * 50])) if w else 0.0 if past else 0.5
             past.append(feats[eid])
     got = {r["event_id"]: r["anomaly_score"] for r in events.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -1,7 +1,9 @@
 """Event clustering by shared entities and by time, causal chains and their scores."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.keyed import cut_lineage
 from tidewatch.functions.scalars import canonical_id
@@ -99,13 +101,31 @@ def cluster_stats(clustered: DataFrame) -> DataFrame:
 
 # ---- time clusters ---------------------------------------------------------------------------------
 
+def chunk_transfer(t: np.ndarray, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a chunk of sorted instants, none before ``start``, does to the cluster start that is carried into it: (entries, exits).
+
+    A carried start covers instants up to ``width`` later; the first one beyond begins a cluster, and so on to the chunk's last
+    start. Only instants within ``width`` of the chunk's start, and the next one, can be that first one. Entries with one exit are
+    kept as their last, so chains that run together, as they soon do, leave few rows.
+    """
+    n = len(t)
+    onward = np.append(np.searchsorted(t, t + width, side="right"), n)
+    entry = np.arange(min(n, int(np.searchsorted(t, start + width, side="right")) + 1))
+    last, here = entry.copy(), onward[entry]
+    while (here < n).any():                              # as many steps as windows fit into the chunk
+        last, here = np.where(here < n, here, last), onward[here]
+    keep = np.append(last[1:] != last[:-1], True) if len(last) else np.zeros(0, dtype=bool)
+    return t[entry[keep]], t[last[keep]]
+
+
 def temporal_cluster_members(events: DataFrame, window_minutes: int = 5, hostname: str | None = None,
-                             case_id: str | None = None, max_rounds: int = 40) -> DataFrame:
+                             case_id: str | None = None, chunk_windows: int = 12) -> DataFrame:
     """(event_id, host, timestamp, cluster_start): a cluster takes events up to ``window_minutes`` after its first event.
 
-    The sequential rule is solved without walking a host's events in one task. Every instant points to the first instant
-    more than a window later; cluster starts are what the chains of pointers reach from instants that follow a gap. Chains
-    are followed by doubling the pointers, log2(chain length) rounds of equi-joins on (host, instant).
+    The sequential rule is solved without walking a host's events in one task: time is cut into chunks of ``chunk_windows`` windows,
+    the instants of a (host, chunk) are brought together once, and each chunk gives its transfer from the start carried in to the one
+    carried out (:func:`chunk_transfer`). The transfers of a host, a few numbers a chunk, are applied in order, streamed; with its
+    entry known every chunk then marks its own starts.
     """
     scope = events.filter(F.col("timestamp").isNotNull())
     if hostname:
@@ -113,41 +133,46 @@ def temporal_cluster_members(events: DataFrame, window_minutes: int = 5, hostnam
     if case_id:
         scope = scope.filter(F.col("case_id") == case_id)
     width = window_minutes * 60_000_000
+    length = width * chunk_windows
     rows = scope.select("event_id", F.coalesce("hostname", F.lit("unknown")).alias("host"), "timestamp",
                         F.unix_micros("timestamp").alias("t")).withColumn("slot", F.floor(F.col("t") / width))
-    points = cut_lineage(rows.select("host", "slot", "t").distinct())
-
-    # First instant of each occupied slot, and of the next slots after it.
-    slots = points.groupBy("host", "slot").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    by_host = Window.partitionBy("host").orderBy("slot")
-    slots = slots.withColumns({
-        "n1": F.lead("slot", 1).over(by_host), "f1": F.lead("first_t", 1).over(by_host),
-        "f2": F.lead("first_t", 2).over(by_host), "prev_t": F.lag("last_t", 1).over(by_host)})
-    far = slots.select("host", "slot", "first_t", "prev_t",
-                       F.when(F.col("n1") == F.col("slot") + 1, F.col("f2")).otherwise(F.col("f1")).alias("far_t"))
-
-    # Inside the following slot: the first instant later than t + window.
-    asked = points.select("host", (F.col("slot") + 1).alias("slot"), (F.col("t") + width).alias("pos"), F.col("t").alias("t0"),
-                          F.lit(None).cast("bigint").alias("hit"))
-    there = points.select("host", "slot", F.col("t").alias("pos"), F.lit(None).cast("bigint").alias("t0"), F.col("t").alias("hit"))
-    ahead = Window.partitionBy("host", "slot").orderBy("pos").rangeBetween(1, Window.unboundedFollowing)
-    near = asked.unionByName(there).withColumn("near_t", F.min("hit").over(ahead)) \
-        .filter(F.col("t0").isNotNull()).select("host", F.col("t0").alias("t"), "near_t")
-    jumps = cut_lineage(points.join(near, ["host", "t"]).join(far, ["host", "slot"], "left")
-                        .select("host", "t", F.coalesce("near_t", "far_t").alias("to"),
-                                (((F.col("t") == F.col("first_t")) & (F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > width)))).alias("seed")))
-    starts = cut_lineage(jumps.filter("seed").select("host", "t"))
-    jumps = jumps.filter(F.col("to").isNotNull()).select("host", "t", "to")
-    for _ in range(max_rounds):
-        reached = starts.join(jumps, ["host", "t"]).select("host", F.col("to").alias("t"))
-        new = cut_lineage(reached.join(starts, ["host", "t"], "left_anti").distinct())
-        if new.isEmpty():
-            break
-        starts = cut_lineage(starts.unionByName(new))
-        onward = jumps.select("host", F.col("t").alias("to"), F.col("to").alias("next_to"))
-        jumps = cut_lineage(jumps.join(onward, ["host", "to"]).select("host", "t", F.col("next_to").alias("to")))
+    instants = cut_lineage(rows.groupBy("host", F.floor(F.col("t") / length).alias("chunk")).agg(F.sort_array(F.collect_set("t")).alias("t")))
+
+    def transfers(batches):
+        for batch in batches:
+            found = [chunk_transfer(np.asarray(t, dtype=np.int64), c * length, width) for c, t in zip(batch.column("chunk").to_pylist(), batch.column("t").to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("chunk"), pa.array([e for e, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.int64()))],
+                                             ["host", "chunk", "entries", "exits"])
+
+    def compose(batches):
+        host, carried = None, None
+        for batch in batches:
+            out = []
+            for name, entries, exits in zip(batch.column("host").to_pylist(), batch.column("entries").to_numpy(zero_copy_only=False), batch.column("exits").to_numpy(zero_copy_only=False)):
+                if name != host:
+                    host, carried = name, None
+                out.append(carried)
+                at = 0 if carried is None else int(np.searchsorted(entries, carried + width, side="right"))
+                if at < len(exits):                      # else all instants belong to the carried start
+                    carried = int(exits[at])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("chunk"), pa.array(out, pa.int64())], ["host", "chunk", "carried"])
+
+    def mark(batches):
+        for batch in batches:
+            host, start = [], []
+            for name, carried, t in zip(batch.column("host").to_pylist(), batch.column("carried").to_pylist(), batch.column("t").to_numpy(zero_copy_only=False)):
+                at = 0 if carried is None else int(np.searchsorted(t, carried + width, side="right"))
+                while at < len(t):
+                    host.append(name)
+                    start.append(int(t[at]))
+                    at = int(np.searchsorted(t, t[at] + width, side="right"))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(start, pa.int64())], ["host", "own"])
+
+    moves = instants.mapInArrow(transfers, "host string, chunk bigint, entries array<bigint>, exits array<bigint>")
+    carried = moves.repartition("host").sortWithinPartitions("host", "chunk").mapInArrow(compose, "host string, chunk bigint, carried bigint")
+    starts = cut_lineage(instants.join(carried, ["host", "chunk"]).mapInArrow(mark, "host string, own bigint"))
     # A slot is one window wide, so it holds at most one start; an event belongs to its own slot's or the previous one's.
-    placed = starts.withColumn("slot", F.floor(F.col("t") / width)).select("host", "slot", F.col("t").alias("own"))
+    placed = starts.withColumn("slot", F.floor(F.col("own") / width))
     before = placed.select("host", (F.col("slot") + 1).alias("slot"), F.col("own").alias("earlier"))
     return rows.join(placed, ["host", "slot"], "left").join(before, ["host", "slot"], "left").select(
         "event_id", "host", "timestamp",

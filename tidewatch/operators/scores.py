@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -104,8 +105,11 @@ def grow_trees(n_features: int, trees: int = 25, height: int = 8, seed: int = 7,
 
 
 def mass_scorer(feature: np.ndarray, split: np.ndarray, window: int):
-    """``score(rows, reference rows)``: 1 is most anomalous. Mass of the reference along a row's path, deeper counts more,
-    down to the first node with less than a tenth of a window."""
+    """``score(rows, windows)``: the score of every row from the mass of the window before its own; 1 is most anomalous.
+
+    Windows are numbered from 0 in the order of the rows, many in one pass; rows of window 0 only count. Mass of the reference along a
+    row's path, deeper counts more, down to the first node with less than a tenth of a window.
+    """
     trees, inner = feature.shape
     height, size, tree = int(np.log2(inner + 1)), 2 * inner + 1, np.arange(trees)
 
@@ -119,11 +123,14 @@ def mass_scorer(feature: np.ndarray, split: np.ndarray, window: int):
             path.append(node)
         return path
 
-    def score(x: np.ndarray, reference: np.ndarray) -> np.ndarray:
-        mass = np.bincount(np.concatenate([(tree * size + n).ravel() for n in walk(reference)]), minlength=trees * size)
+    def score(x: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        path, own = walk(x), windows[:, None] * (trees * size) + tree * size
+        mass = np.zeros((int(windows.max()) + 1) * trees * size, dtype=np.int64)
+        for node in path:
+            mass += np.bincount((own + node).ravel(), minlength=len(mass))
         total, live = np.zeros(len(x)), np.ones((len(x), trees), dtype=bool)
-        for depth, node in enumerate(walk(x)):
-            m = mass[tree * size + node]
+        for depth, node in enumerate(path):
+            m = mass[np.maximum(own + node - trees * size, 0)]
             total += np.where(live, m, 0).sum(axis=1) * 2.0 ** depth
             live &= m >= 0.1 * window
         return np.clip(1.0 - total / (trees * window * (2 ** (height + 1) - 1)), 0.0, 1.0)
@@ -136,8 +143,7 @@ def score_anomalies(events: DataFrame, window: int = 50, trees: int = 25, height
     """(event_id, subnet, process, anomaly_score): every event scored by its peer group's previous full window.
 
     A window's score needs only the counts of the window before it, so the sequential model splits into independent pieces:
-    an event's position in its group (from chunked counts) gives its window, and each (group, window) task sees at most two
-    windows of rows however large the group is. The first event of a group scores 0.5, the rest of its first window 0.
+    an event's position in its group (from chunked counts) gives its window, and tasks get blocks of windows. The first event of a group scores 0.5, the rest of its first window 0.
     """
     base = peer_features(events)
     if squash_features:
@@ -146,25 +152,55 @@ def score_anomalies(events: DataFrame, window: int = 50, trees: int = 25, height
     return _scored(placed.withColumn("scored", F.lit(True)), window, trees, height, seed)
 
 
+BLOCK_WINDOWS, PASS_ROWS = 64, 4096        # windows of a group that a task gets together; rows of one array pass
+
+
 def _scored(placed: DataFrame, window: int, trees: int, height: int, seed: int) -> DataFrame:
-    """Scores of the rows to be ``scored`` from their position in their group; the other rows are known ones that only count."""
+    """Scores of the rows to be ``scored`` from their position in their group; the other rows are known ones that only count.
+
+    Groups are cut into blocks of BLOCK_WINDOWS windows. A block gets the last window of the block before once more, so one row in
+    BLOCK_WINDOWS is sent twice, and a group of any size is spread over as many tasks as it has blocks.
+    """
     placed = placed.withColumn("window", F.floor(F.col("position") / window))
     early = placed.filter("scored AND window = 0").select("event_id", "subnet", "process", F.when(F.col("position") == 0, 0.5).otherwise(0.0).alias("anomaly_score"))
     columns = [f"f_{n}" for n in FEATURES]
-    pieces = placed.select("event_id", "subnet", "process", *columns, F.explode(F.array(
-        F.struct(F.col("window").alias("w"), F.col("scored")), F.struct((F.col("window") + 1).alias("w"), F.lit(None).cast("boolean").alias("scored")))).alias("p")) \
-        .select("event_id", "subnet", "process", *columns, "p.w", F.coalesce("p.scored", F.lit(False)).alias("scored"), F.col("p.scored").isNull().alias("counts")) \
-        .filter("w > 0 AND (scored OR counts)")
-
+    block = F.floor(F.col("window") / BLOCK_WINDOWS)
+    again = F.when((F.col("window") + 1) % BLOCK_WINDOWS == 0, F.struct((block + 1).alias("block"), F.lit(False).alias("scored")))
+    pieces = placed.select("event_id", "subnet", "process", *columns, "position", "window", F.explode(F.array_compact(F.array(F.struct(block.alias("block"), "scored"), again))).alias("p")) \
+        .select("event_id", "subnet", "process", *columns, "position", "window", "p.block", (F.col("p.scored") & (F.col("window") > 0)).alias("scored"))
     score = mass_scorer(*grow_trees(len(columns), trees, height, seed), window)
 
-    def one_window(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["scored"]]
-        values = score(mine[columns].to_numpy(), pdf.loc[pdf["counts"], columns].to_numpy()) if len(mine) else np.zeros(0)
-        text = {c: pd.Series(mine[c].tolist(), dtype=object) for c in ("event_id", "subnet", "process")}
-        return pd.DataFrame({**text, "anomaly_score": values})
-
-    later = pieces.groupBy("subnet", "process", "w").applyInPandas(one_window, "event_id string, subnet string, process string, anomaly_score double")
+    def many_windows(batches):
+        held = None
+
+        def changes(table: pa.Table, *names: str) -> np.ndarray:
+            """Whether each row but the first differs from the one before."""
+            return np.logical_or.reduce([pc.not_equal(table.column(c).slice(1), table.column(c).slice(0, table.num_rows - 1)).to_numpy() for c in names])
+
+        def emit(table: pa.Table) -> pa.RecordBatch:
+            number = np.append(0, np.cumsum(changes(table, "subnet", "process", "block", "window")))
+            wanted = pa.array(table.column("scored").to_numpy())
+            x = np.column_stack([table.column(c).to_numpy() for c in columns])
+            values = pa.array(score(x, number))
+            return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().filter(wanted) for c in ("event_id", "subnet", "process")), values.filter(wanted)], ["event_id", "subnet", "process", "anomaly_score"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            while table.num_rows > PASS_ROWS:
+                # Up to a border of blocks: a block's rows stay together.
+                borders = np.flatnonzero(changes(table, "subnet", "process", "block")) + 1
+                borders = borders[borders >= PASS_ROWS // 2]
+                if not len(borders):
+                    break
+                cut = int(borders[0])
+                yield emit(table.slice(0, cut))
+                table = table.slice(cut)
+            held = table
+        if held is not None and held.num_rows:
+            yield emit(held)
+
+    later = pieces.repartition("subnet", "process", "block").sortWithinPartitions("subnet", "process", "block", "position") \
+        .mapInArrow(many_windows, "event_id string, subnet string, process string, anomaly_score double")
     return early.unionByName(later)
 
 
