@@ -98,7 +98,9 @@ def test_causal_chain_equals_breadth_first_search(spark):
     assert got == dict(order[:50])
 
 
-def test_rate_gate_equals_sequential_walk(spark):
+@pytest.mark.parametrize("chunk_windows, rounds", [(8, 6), (1, 6), (1, 0), (2, 1)])
+def test_rate_gate_equals_sequential_walk(spark, chunk_windows, rounds):
+    """One scope has four fifths of the actions; few rounds leave the rest to the walk in order."""
     rng = random.Random(11)
     rows, t = [], defaultdict(float)
     for i in range(700):
@@ -117,7 +119,7 @@ def test_rate_gate_equals_sequential_walk(spark):
         if want[aid] == "allowed":
             q.append(ts)
     ddl = "action_id string, scope string, requested_at timestamp, action string, target string, confidence double, human_confirmed boolean"
-    got = {r["action_id"]: r["gate"] for r in V.decide_actions(spark.createDataFrame(rows, ddl)).collect()}
+    got = {r["action_id"]: r["gate"] for r in V.decide_actions(spark.createDataFrame(rows, ddl), chunk_windows=chunk_windows, rounds=rounds).collect()}
     assert got == want
     shadow = V.decide_actions(spark.createDataFrame(rows, ddl), learning_mode=True).select("shadow_gate", "allowed").distinct().collect()
     assert all(not r["allowed"] for r in shadow)

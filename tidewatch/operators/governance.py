@@ -1,13 +1,11 @@
 """Receipts, approval checks, action policy and source health."""
 from __future__ import annotations
 
-from collections import deque
-from typing import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.functions.keyed import newest_per_key, with_previous
+from tidewatch.functions.keyed import cut_lineage, newest_per_key
 from tidewatch.functions.scalars import cidr_bounds, ipv4_number
 from tidewatch.schema import lookup
 
@@ -58,42 +56,94 @@ def static_gate(min_confidence: float = 0.85, require_approval: bool = True) ->
              .when((F.col("action") == "block_ip") & protected, "safelist"))
 
 
+def passed_by_rate(t: np.ndarray, entry: list[int], limit: int, width: int) -> list[int]:
+    """Places of the candidates (sorted instants) that pass the rate gate when ``entry`` holds the last passed instants before them.
+
+    Only passed candidates are visited, at most ``limit`` a window: the next one is the first after the last that is more than a window
+    later than the ``limit``-th passed before it.
+    """
+    passed, out, at = list(entry), [], 0
+    while True:
+        if len(passed) >= limit:
+            at = max(at, int(np.searchsorted(t, passed[-limit] + width, side="right")))
+        if at >= len(t):
+            return out
+        out.append(at)
+        passed.append(int(t[at]))
+        at += 1
+
+
+def _rate_gate(candidates: DataFrame, limit: int, width: int, chunk_windows: int = 8, rounds: int = 6) -> DataFrame:
+    """(action_id) of the candidates (action_id, scope, t) that pass.
+
+    Time is cut into chunks of ``chunk_windows`` windows. Every chunk is evaluated at once, first as if nothing had passed before it; what
+    it then carries out, at most ``limit`` instants, is the next one's entry. Chunks whose entry differs from the one they were
+    evaluated with are evaluated again, until none is left: mostly after two or three rounds, as passes soon do not depend on those a few
+    windows back. Should chunks depend on one another longer than ``rounds``, the rest is walked in order, a chunk at a time.
+    """
+    length = width * chunk_windows
+    chunks = cut_lineage(candidates.groupBy("scope", F.floor(F.col("t") / length).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("t", "action_id"))).alias("c"))
+                         .select("scope", "chunk", F.col("c.t").alias("t"), F.col("c.action_id").alias("ids")))
+
+    def carried(t: np.ndarray, entry: list[int]) -> list[int]:
+        passed = [*entry, *t[passed_by_rate(t, entry, limit, width)].tolist()]
+        return passed[-limit:] if limit else []
+
+    def useful(out: list[int], chunk: int) -> list[int]:
+        """The part of what was carried out that still counts from the start of a chunk on."""
+        return [x for x in out if x >= chunk * length - width]
+
+    def evaluate(batches):
+        for batch in batches:
+            out = [carried(t, e or []) for t, e in zip(batch.column("t").to_numpy(zero_copy_only=False), batch.column("entry").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("scope", "chunk", "entry")), pa.array(out, pa.list_(pa.int64()))], ["scope", "chunk", "entry", "out"])
+
+    def walk(batches):
+        scope, out = None, []
+        for batch in batches:
+            entries = []
+            for name, c, t in zip(batch.column("scope").to_pylist(), batch.column("chunk").to_pylist(), batch.column("t").to_numpy(zero_copy_only=False)):
+                entry = useful(out, c) if name == scope else []
+                scope, out = name, carried(t, entry)
+                entries.append(entry)
+            yield pa.RecordBatch.from_arrays([batch.column("scope"), batch.column("chunk"), pa.array(entries, pa.list_(pa.int64()))], ["scope", "chunk", "entry"])
+
+    def pick(batches):
+        for batch in batches:
+            ids = [i[k] for t, i, e in zip(batch.column("t").to_numpy(zero_copy_only=False), batch.column("ids").to_pylist(), batch.column("entry").to_pylist()) for k in passed_by_rate(t, e or [], limit, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], ["action_id"])
+
+    state_schema = "scope string, chunk bigint, entry array<bigint>, out array<bigint>"
+    none = F.array().cast("array<bigint>")
+    key = [F.col("c.scope").eqNullSafe(F.col("s.scope")), F.col("c.chunk") == F.col("s.chunk")]
+    state = cut_lineage(chunks.select("scope", "chunk", "t", none.alias("entry")).mapInArrow(evaluate, state_schema))
+    before = Window.partitionBy("scope").orderBy("chunk")
+    for _ in range(rounds):
+        entry = F.filter(F.coalesce(F.lag("out").over(before), none), lambda x: x >= F.col("chunk") * length - width)
+        linked = cut_lineage(state.withColumn("next", entry))
+        changed = linked.filter(F.col("next") != F.col("entry")).select("scope", "chunk", F.col("next").alias("entry"))
+        if changed.isEmpty():
+            break
+        again = chunks.alias("c").join(changed.alias("s"), key).select("c.scope", "c.chunk", "t", "entry").mapInArrow(evaluate, state_schema)
+        state = cut_lineage(linked.filter(F.col("next") == F.col("entry")).select("scope", "chunk", "entry", "out").unionByName(again))
+    else:
+        state = chunks.select("scope", "chunk", "t").repartition("scope").sortWithinPartitions("scope", "chunk").mapInArrow(walk, "scope string, chunk bigint, entry array<bigint>")
+    return chunks.alias("c").join(state.select("scope", "chunk", "entry").alias("s"), key).select("t", "ids", "entry").mapInArrow(pick, "action_id string")
+
+
 def decide_actions(actions: DataFrame, min_confidence: float = 0.85, rate_limit: int = 3, rate_window_seconds: int = 3600,
-                   learning_mode: bool = False) -> DataFrame:
+                   learning_mode: bool = False, chunk_windows: int = 8, rounds: int = 6) -> DataFrame:
     """Gate per action (action_id, scope, requested_at, action, target, confidence, human_confirmed).
 
-    Static gates are columns. The rate gate counts only allowed actions, so it must see a scope's candidates in order. A pause
-    longer than the window resets it, so candidates are cut into runs at such pauses; runs are spread over tasks and each is
-    streamed in sorted Arrow batches with a state of ``rate_limit`` times, never collected. Of candidates at one instant only
-    the first ``rate_limit`` can pass, so later ones are settled beforehand.
+    Static gates are columns. The rate gate counts only allowed actions, so it depends on the order of a scope's candidates; it is
+    evaluated for all time chunks at once and mended where chunks depend on one another (:func:`_rate_gate`), so no scope is one
+    task. Of candidates at one instant only the first ``rate_limit`` can pass, so later ones are settled beforehand.
     """
     gated = actions.withColumn("gate", static_gate(min_confidence))
-    candidates = gated.filter("gate IS NULL").select("action_id", "scope", "requested_at")
-    micros = F.unix_micros("requested_at")
-    same_instant = Window.partitionBy("scope", "requested_at").orderBy("action_id")
+    candidates = gated.filter("gate IS NULL").select("action_id", "scope", F.unix_micros("requested_at").alias("t"))
+    same_instant = Window.partitionBy("scope", "t").orderBy("action_id")
     thin = candidates.withColumn("n", F.row_number().over(same_instant)).filter(F.col("n") <= rate_limit).drop("n")
-    gaps = with_previous(thin, ["scope"], "requested_at", "action_id", micros, "before")
-    starts = gaps.withColumn("opens", (F.col("before").isNull() | (micros - F.col("before") > rate_window_seconds * 1_000_000)).cast("int"))
-    runs = _run_numbers(starts)
-    window_us = rate_window_seconds * 1_000_000
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, passed = None, deque()
-        for batch in batches:
-            allowed = []
-            for scope, run, t in zip(batch["scope"], batch["run"], batch["t"]):
-                if (scope, run) != key:
-                    key, passed = (scope, run), deque()
-                while passed and passed[0] < t - window_us:
-                    passed.popleft()
-                ok = len(passed) < rate_limit
-                if ok:
-                    passed.append(t)
-                allowed.append(ok)
-            yield pd.DataFrame({"action_id": pd.Series(batch["action_id"].tolist(), dtype=object), "allowed": allowed})
-
-    ordered = runs.select("action_id", "scope", "run", micros.alias("t")).repartition("scope", "run").sortWithinPartitions("scope", "run", "t", "action_id")
-    judged = ordered.mapInPandas(stream, "action_id string, allowed boolean")
+    judged = _rate_gate(thin, rate_limit, rate_window_seconds * 1_000_000, chunk_windows, rounds).withColumn("allowed", F.lit(True))
     final = gated.join(judged, "action_id", "left").withColumn(
         "gate", F.coalesce("gate", F.when(F.col("allowed"), "allowed").otherwise("rate_limit"))).drop("allowed")
     real = F.col("gate") == "allowed"
@@ -102,17 +152,6 @@ def decide_actions(actions: DataFrame, min_confidence: float = 0.85, rate_limit:
     return final.withColumn("allowed", real)
 
 
-def _run_numbers(starts: DataFrame, chunk: str = "hour") -> DataFrame:
-    """Running count of ``opens`` per scope, added up per time chunk first."""
-    c = starts.withColumn("_chunk", F.date_trunc(chunk, "requested_at"))
-    per = c.groupBy("scope", "_chunk").agg(F.sum("opens").alias("_s"))
-    before = Window.partitionBy("scope").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(F.col("scope").alias("_scope"), F.col("_chunk").alias("_at"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("scope", "_chunk").orderBy("requested_at", "action_id")
-    return c.withColumn("_n", F.sum("opens").over(inside)).join(base, (F.col("scope") == F.col("_scope")) & (F.col("_chunk") == F.col("_at"))) \
-        .select("action_id", "scope", "requested_at", (F.col("_n") + F.col("_base")).alias("run"))
-
-
 def source_health(events: DataFrame, as_of: str, degraded_after: int = 120, offline_after: int = 300) -> DataFrame:
     """connected / degraded / offline per source by the age of its last event."""
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_seen")

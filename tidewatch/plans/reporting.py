@@ -331,9 +331,18 @@ def gov3(spark, sf):
     return actions(spark, sf).select("action_id", F.coalesce(V.static_gate(), F.lit("open")).alias("gate"))
 
 
-@query("gov3_action_policy")
+RATE = """cand AS (SELECT action_id, scope, t FROM act WHERE gate IS NULL),
+passed(scope, a1, a2, a3, id) AS (
+  SELECT scope, CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), t, action_id FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY t, action_id) AS r FROM cand) WHERE r = 1
+  UNION ALL SELECT scope, a2, a3, t, action_id FROM (
+    SELECT p.scope, p.a2, p.a3, c.t, c.action_id, row_number() OVER (PARTITION BY p.scope ORDER BY c.t, c.action_id) AS r FROM passed p
+    JOIN cand c ON c.scope = p.scope AND (c.t > p.a3 OR (c.t = p.a3 AND c.action_id > p.id)) AND (p.a1 IS NULL OR c.t > p.a1 + INTERVAL 1 DAY)) WHERE r = 1)"""
+
+
+@query("gov3_action_policy", with_ne("""SELECT action_id, coalesce(gate, CASE WHEN id IS NOT NULL THEN 'allowed' ELSE 'rate_limit' END) AS gate, id IS NOT NULL AS allowed
+FROM act LEFT JOIN passed ON id = action_id""", GATES, RATE, recursive=True))
 def gov3b(spark, sf):
-    """Order-dependent, so no SQL; checked against a sequential walk in the tests."""
+    """The rate gate depends on order; the SQL walks from each passed action to the next."""
     return V.decide_actions(actions(spark, sf), rate_limit=3, rate_window_seconds=86400).select("action_id", "gate", "allowed")
 
 
