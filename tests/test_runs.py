@@ -11,7 +11,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from tidewatch.operators import correlate as C
 from tidewatch.schema import conform
-from tidewatch.sources import runs as R
+from tidewatch.sources import runs as R, sinks
 from tidewatch.streaming import jobs
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -157,3 +157,31 @@ def test_beacons_from_chunk_moments_equal_the_detector(spark):
         assert read(C.beacons_of(chunks, 4, 0.5)) == want and len(want) > 5
         end = "2024-01-01 03:10:30"
         assert read(C.beacons_of(C.trimmed(chunks, end, "2 hours", chunk), 4, 0.5)) == read(C.beacons(events, 4, 0.5, end, "2 hours"))
+
+
+@pytest.mark.parametrize("stop", range(7))
+def test_a_purge_that_stops_loses_nothing_and_is_finished_later(spark, tmp_path, monkeypatch, stop):
+    rows = spark.createDataFrame([(f"e{k}", START + timedelta(hours=6 * k)) for k in range(40)], "event_id string, timestamp timestamp")
+    folder = f"{tmp_path}/events"
+    sinks.append_events(rows.repartition(3), folder)
+    read = lambda: sorted(r[0] for r in spark.read.parquet(folder).select("event_id").collect())
+    want = sorted(f"e{k}" for k in range(40) if 6 * k >= 7 * 24 + 10)
+    steps = []
+
+    def counted(real):
+        def run(self, *names):
+            steps.append(names)
+            if len(steps) == stop + 2:                     # the first one clears what an earlier purge left
+                raise RuntimeError("stop")
+            real(self, *names)
+        return run
+    with monkeypatch.context() as patched:
+        patched.setattr(R.Folder, "move", counted(R.Folder.move))
+        patched.setattr(R.Folder, "delete", counted(R.Folder.delete))
+        with pytest.raises(RuntimeError):
+            sinks.purge_old(spark, folder, "2024-01-15 10:00:00", 7)
+    assert set(read()) >= set(want)
+    sinks.purge_old(spark, folder, "2024-01-15 10:00:00", 7)
+    assert read() == want
+    sinks.purge_old(spark, folder, "2024-01-15 10:00:00", 7)
+    assert read() == want

@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.keyed import with_position
+from tidewatch.functions.keyed import scratch_folder, with_position
 from tidewatch.functions.scalars import peer_process, peer_subnet
 from tidewatch.operators.rules import anomaly_rules
 from tidewatch.schema import SEVERITY_BASE, TECHNIQUE_WEIGHTS, lookup
@@ -288,3 +288,43 @@ def progressive_accuracy(labelled: DataFrame, folds: int = 5, min_samples: int =
         right, seen = right + row[0], seen + row[1]
     placed.unpersist()
     return round(right / seen, 4) if seen else None
+
+
+def online_verdicts(labelled: DataFrame, batches: int = 20, rate: float = 1.0) -> list[dict]:
+    """One row a batch of verdicts in time order: how many the model of all earlier batches got right, and the model after it.
+
+    Logistic regression by gradient steps: each batch is judged, then moves the weights by its mean gradient. The verdicts are placed
+    in order once and stored by batch, so a step reads its own rows and brings five sums to the driver.
+    """
+    spark, n = labelled.sparkSession, labelled.count()
+    placed = with_position(labelled.withColumn("_all", F.lit(1)), ["_all"], "created_at", "id", "_pos", "day")
+    folder = scratch_folder(spark) + "/verdicts"
+    placed.select("severity_level", "rule_hash", "label", F.floor(F.col("_pos") * batches / F.lit(max(n, 1))).cast("int").alias("batch")).write.partitionBy("batch").parquet(folder)
+    rows = spark.read.schema("severity_level double, rule_hash double, label double, batch int").parquet(folder)
+    weights, out = [0.0, 0.0, 0.0], []
+    for k in range(batches):
+        inputs = [F.col("severity_level"), F.col("rule_hash"), F.lit(1.0)]
+        chance = 1 / (1 + F.exp(-sum((F.lit(w) * x for w, x in zip(weights, inputs)), F.lit(0.0))))
+        judged = rows.filter(F.col("batch") == k).withColumn("p", chance)
+        step = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("p") > 0.5) == (F.col("label") == 1)).alias("right"), *[F.avg((F.col("p") - F.col("label")) * x).alias(f"g{i}") for i, x in enumerate(inputs)]).first()
+        if step["n"]:
+            weights = [w - rate * step[f"g{i}"] for i, w in enumerate(weights)]
+            out.append({"batch": k, "n": step["n"], "right": step["right"], "severity_weight": weights[0], "rule_weight": weights[1], "bias": weights[2]})
+    return out
+
+
+def running_accuracy(steps: list[dict], min_samples: int = 10) -> list[dict]:
+    """Adds ``accuracy``: the share of right answers so far, None below ``min_samples``."""
+    seen = right = 0
+    out = []
+    for step in steps:
+        seen, right = seen + step["n"], right + step["right"]
+        out.append({**step, "accuracy": right / seen if seen >= min_samples else None})
+    return out
+
+
+def online_probability(steps: list[dict], detections: DataFrame) -> DataFrame:
+    """(id, p_tp) by the last model of :func:`online_verdicts`; 0.5 by one that has seen nothing."""
+    last = steps[-1] if steps else {"severity_weight": 0.0, "rule_weight": 0.0, "bias": 0.0}
+    z = F.lit(last["severity_weight"]) * F.col("severity_level") + F.lit(last["rule_weight"]) * F.col("rule_hash") + F.lit(last["bias"])
+    return verdict_features(detections).select("id", (1 / (1 + F.exp(-z))).alias("p_tp"))

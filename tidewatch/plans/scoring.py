@@ -85,3 +85,28 @@ def ano4b(spark, sf):
 def fbk1(spark, sf):
     det = D.detections(spark, sf)
     return S.true_positive_probability(S.train_verdicts(S.verdict_features(det, D.feedback(spark, sf))), det)
+
+
+# The same steps in SQL: a batch is judged by the weights so far, which its mean gradient then moves.
+ONLINE = f"""obs AS (SELECT {BASE.format('severity')} / 40.0 AS s, CAST('0x' || md5(rule_id)[1:8] AS BIGINT) % 100 / 100.0 AS r, CAST(verdict = 'TP' AS DOUBLE) AS y,
+  ((row_number() OVER (ORDER BY created_at, id) - 1) * 20) // count(*) OVER () AS k FROM det JOIN feedback ON detection_id = id),
+steps(k, n, hits, ws, wr, b) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL SELECT k, count(*), sum(CAST((p > 0.5) = (y = 1) AS INT)), any_value(ws) - avg((p - y) * s), any_value(wr) - avg((p - y) * r), any_value(b) - avg(p - y)
+  FROM (SELECT o.*, t.ws, t.wr, t.b, 1 / (1 + exp(-(t.ws * o.s + t.wr * o.r + t.b))) AS p FROM steps t JOIN obs o ON o.k = t.k + 1) GROUP BY k)"""
+
+
+@query("fbk1_progressive_accuracy", f"""WITH RECURSIVE {D.DET}, {D.FEEDBACK}, {ONLINE} SELECT CAST(k AS INT) AS batch, n, round(ws, 4) AS severity_weight, round(wr, 4) AS rule_weight, round(b, 4) AS bias,
+  CASE WHEN sum(n) OVER (ORDER BY k) >= 10 THEN round(sum(hits) OVER (ORDER BY k) / sum(n) OVER (ORDER BY k), 4) END AS accuracy FROM steps WHERE k >= 0""")
+def fbk1b(spark, sf):
+    steps = S.running_accuracy(S.online_verdicts(S.verdict_features(D.detections(spark, sf), D.feedback(spark, sf))))
+    figures = ["severity_weight", "rule_weight", "bias", "accuracy"]
+    rows = spark.createDataFrame([(r["batch"], r["n"], *(r[c] for c in figures)) for r in steps], "batch int, n bigint, " + ", ".join(f"{c} double" for c in figures))
+    return rows.select("batch", "n", *[F.round(c, 4).alias(c) for c in figures])
+
+
+@query("fbk1_online_probability", f"""WITH RECURSIVE {D.DET}, {D.FEEDBACK}, {ONLINE} SELECT id, round(1 / (1 + exp(-(ws * {BASE.format('severity')} / 40.0 + wr * (CAST('0x' || md5(rule_id)[1:8] AS BIGINT) % 100 / 100.0) + b))), 4) AS p_tp
+FROM det, (SELECT * FROM steps ORDER BY k DESC LIMIT 1)""")
+def fbk1c(spark, sf):
+    det = D.detections(spark, sf)
+    steps = S.online_verdicts(S.verdict_features(det, D.feedback(spark, sf)))
+    return S.online_probability(steps, det).select("id", F.round("p_tp", 4).alias("p_tp"))

@@ -10,8 +10,8 @@ from tidewatch.plans.graphs import GRAPH
 from tidewatch.plans.detection import BEACON, BRUTE_SQL, BRUTE, CHAINS, SCAN, SCAN_SQL, correlated
 from tidewatch.plans.ingestion import RECORD_COLUMNS, eve_lines, sensor_docs, syslog_lines  # noqa: F401
 from tidewatch.plans.model import AS_OF, REGISTRY, events, query, raw_events, with_ne
-from tidewatch.sources.sinks import scratch_folder
-from tidewatch.streaming import jobs as J
+from tidewatch.sources.sinks import append_events, scratch_folder
+from tidewatch.streaming import jobs as J, runner as T
 
 
 def landed(spark, sf, batches=1):
@@ -168,3 +168,48 @@ def str9(spark, sf):
         I.cookie_exfil(batch, blocklist).select("event_id").write.mode("append").parquet(folder + "/found")
     stream.writeStream.foreachBatch(scan).option("checkpointLocation", folder + "/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(folder + "/found")
+
+
+TICKS = "ticks AS (SELECT least(4, (dayofyear(timestamp) - 1) // 6) AS k, max(timestamp) AS t FROM ne GROUP BY 1), spans AS (SELECT k, t, lag(t) OVER (ORDER BY k) AS earlier FROM ticks)"
+
+
+def ticked(spark, sf, jobs, before=None):
+    """Runs the jobs at the end of each of five micro-batches, every tick twice: the second must change nothing."""
+    stream, folder = landed(spark, sf, batches=5)
+    runner = T.Runner(spark, folder, jobs(folder))
+    real = runner.tick
+    runner.tick = lambda now: real(now) + real(now)
+    T.on_event_time(stream, runner, folder + "/cp", before(folder) if before else None).awaitTermination()
+    return folder
+
+
+@query("str9_triage", with_ne(f"""SELECT id, t AS taken_at FROM (SELECT id, t, row_number() OVER (PARTITION BY k ORDER BY created_at DESC, id DESC) AS r
+FROM det JOIN spans ON created_at <= t AND (earlier IS NULL OR created_at > earlier) WHERE triaged_at IS NULL) WHERE r <= 20""", D.DET, TICKS))
+def str9b(spark, sf):
+    folder = ticked(spark, sf, lambda f: [T.triage_job(spark, lambda: D.detections(spark, sf), f + "/triaged")])
+    return spark.read.parquet(folder + "/triaged").select("id", "taken_at")
+
+
+@query("str9_kpi_snapshot", with_ne("""SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS snapshot_date, count(*) FILTER (created_at <= t) AS detection_count,
+  count(*) FILTER (created_at <= t AND created_at > t - INTERVAL 24 HOUR) AS alert_volume FROM det, ticks GROUP BY t""", D.DET, TICKS))
+def str9c(spark, sf):
+    def compute(now):
+        at = F.timestamp_micros(F.lit(round(now.timestamp() * 1_000_000)))
+        det = D.detections(spark, sf).filter(F.col("created_at") <= at)
+        return det.agg(F.count(F.lit(1)).alias("detection_count"), F.count_if(F.col("created_at") > at - F.expr("INTERVAL 24 HOURS")).alias("alert_volume")).withColumn("snapshot_date", F.to_date(at))
+    folder = ticked(spark, sf, lambda f: [T.snapshot_job(compute, f + "/snapshots")])
+    return spark.read.parquet(folder + "/snapshots").select(F.col("snapshot_date").cast("string"), "detection_count", "alert_volume")
+
+
+@query("str9_daily", with_ne("""SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS day, (SELECT count(*) FROM ne WHERE timestamp <= t AND timestamp >= t - INTERVAL 9 DAY) AS backed_up,
+  (SELECT CAST(sum(greatest(0, confidence - k - 1)) AS BIGINT) FROM iocs) AS ioc_confidence FROM ticks""", D.IOCS, TICKS))
+def str9d(spark, sf):
+    """Days without a tick are made up for by one run; each run decays, purges to nine days and backs up."""
+    def prepare(folder):
+        D.iocs(spark, sf).withColumn("day", F.lit("2023-12-31").cast("date")).write.partitionBy("day").parquet(folder + "/iocs")
+        return [T.daily_job(spark, folder + "/events", folder + "/backups", folder + "/iocs", 9)]
+
+    folder = ticked(spark, sf, prepare, lambda folder: lambda batch, batch_id: append_events(batch, folder + "/events"))
+    kept = spark.read.option("recursiveFileLookup", "true").parquet(folder + "/backups").groupBy(F.regexp_extract(F.input_file_name(), r"events_(\d{4}-\d\d-\d\d)", 1).alias("day")).agg(F.count(F.lit(1)).alias("backed_up"))
+    sums = spark.read.parquet(folder + "/iocs").groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("confidence").cast("bigint").alias("ioc_confidence"))
+    return kept.join(sums, "day").select("day", "backed_up", "ioc_confidence")

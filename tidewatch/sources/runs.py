@@ -53,6 +53,10 @@ class Folder:
     def delete(self, name: str) -> None:
         self.files.delete(self.path(name), True)
 
+    def move(self, name: str, to: str) -> None:
+        self.files.mkdirs(self.path(to).getParent())
+        self.files.rename(self.path(name), self.path(to))
+
     def write(self, name: str, text: str) -> None:
         """A small file, there whole or not at all."""
         out = self.files.create(self.path(f"{name}.new"), True)

@@ -1,12 +1,15 @@
 """Writers: idempotent append, replace, export, bundles, backup, retention, evidence archive."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.keyed import newest_per_key, oldest_per_key, scratch_folder, side_by_side
 from tidewatch.operators.hunt import event_filter, newest_first
 from tidewatch.operators.graph import induced_edges
 from tidewatch.operators.kpi import run_durations
+from tidewatch.sources.runs import Folder
 
 
 # ---- event table -------------------------------------------------------------------------------------
@@ -95,26 +98,47 @@ def daily_backup(events: DataFrame, folder: str, day: str) -> str:
     return target
 
 
+def keep_from(as_of: str, retention_days: int) -> Column:
+    return F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(retention_days))
+
+
 def keep_recent(events: DataFrame, as_of: str, retention_days: int = 90) -> DataFrame:
-    return events.filter(F.col("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(retention_days)))
+    return events.filter(F.col("timestamp") >= keep_from(as_of, retention_days))
 
 
 def purge_old(spark: SparkSession, folder: str, as_of: str, retention_days: int = 90) -> None:
-    """Drop expired day folders; only the day the cut-off falls into is rewritten, from a staged copy.
+    """Drop expired day folders; of the day the cut-off falls into the kept rows are written anew.
 
-    A job must not overwrite the files it reads, so the kept rows of the border day are written aside first.
+    Kept rows are staged, a plan of the change is written, and only then files move: new ones in first, old ones out after. A purge
+    that stops half way never loses a kept row; the next one finishes it before its own. Files that come into the border day
+    meanwhile stay.
     """
-    table = spark.read.parquet(folder)
-    border = F.to_date(F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(retention_days)))
-    kept = keep_recent(table.filter(F.col("event_date") == border), as_of, retention_days)
-    staging = scratch_folder(spark) + "/border"
-    kept.write.parquet(staging)
-    expired = [r[0] for r in table.select("event_date").distinct().filter(F.col("event_date") <= border).collect()]  # one row per day
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for day in expired:
-        path = hadoop.Path(f"{folder}/event_date={day}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark.read.schema(kept.schema).parquet(staging).write.mode("append").partitionBy("event_date").parquet(folder)
+    disk = Folder(spark, folder)
+    finish_purge(disk)
+    cut = keep_from(as_of, retention_days)
+    border = str(spark.range(1).select(F.to_date(cut).cast("string")).first()[0])
+    days = [n.removeprefix("event_date=") for n in disk.names() if n.startswith("event_date=")]
+    plan = {"border": border, "expired": [d for d in days if d < border], "old": [n for n in disk.names(f"event_date={border}") if not n.startswith(("_", "."))]}
+    if plan["old"]:
+        kept = keep_recent(spark.read.parquet(folder).filter(F.col("event_date") == F.lit(border).cast("date")), as_of, retention_days)
+        kept.drop("event_date").write.mode("overwrite").parquet(f"{folder}/_purge/rows")
+    disk.write("_purge/plan", json.dumps(plan))
+    finish_purge(disk)
+
+
+def finish_purge(disk: Folder) -> None:
+    """Carries out the plan of a purge, from wherever it stopped."""
+    if disk.exists("_purge/plan"):
+        plan = json.loads(disk.read("_purge/plan"))
+        for name in disk.names("_purge/rows"):
+            if name.startswith("part-"):
+                disk.move(f"_purge/rows/{name}", f"event_date={plan['border']}/{name}")
+        for name in plan["old"]:
+            disk.delete(f"event_date={plan['border']}/{name}")
+        for day in plan["expired"]:
+            disk.delete(f"event_date={day}")
+        disk.delete("_purge/plan")
+    disk.delete("_purge")
 
 
 def archive_lines(lines: DataFrame, folder: str) -> None:

@@ -372,9 +372,3 @@ def relay_to_days(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQu
     out = logs.relay_documents(lines).withColumn("day", F.substring("timestamp", 1, 10))
     return out.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).option("compression", "gzip") \
               .partitionBy("day").trigger(availableNow=True).start()
-
-
-def every(spark: SparkSession, interval: str, job: Callable[[int], None]) -> StreamingQuery:
-    """Run a batch job on a timer (privacy scan, triage, KPIs, daily maintenance)."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return ticks.writeStream.foreachBatch(lambda _, batch_id: job(batch_id)).trigger(processingTime=interval).start()
