@@ -173,11 +173,21 @@ def test_anomaly_scores_equal_sequential_model(spark, monkeypatch, block, rows_a
 
 
 def test_nearest_rank_is_exact(spark):
+    """Negative and extreme numbers, ties, a hot group, a null group and null values; all groups and percentiles in one frame."""
     rng = random.Random(4)
-    values = [rng.choice([1.0, 7.5, rng.random() * 1e6]) for _ in range(501)]
-    want = [sorted(values)[round(p / 100 * 500)] for p in (0, 50, 95, 100)]
-    got = nearest_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0, 50, 95, 100], buckets=8)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([1, 7, None, -3, 2 ** 62, -2 ** 63, rng.randrange(-10 ** 6, 10 ** 12)])) for _ in range(1501)]
+    rows.append(("one", 5))
+    percents = [0, 37.5, 50, 95, 100]
+    want = {}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        want.update({(g, float(p)): v[round(p / 100 * (len(v) - 1))] for p in percents})
+    df = spark.createDataFrame(rows, "g string, v bigint")
+    got = {(r["g"], r["percent"]): r["value"] for r in nearest_rank(df, "v", percents, ["g"]).collect()}
     assert got == want
+    everything = sorted(x for _, x in rows if x is not None)
+    assert {r["percent"]: r["value"] for r in nearest_rank(df, "v", percents).collect()} == {float(p): everything[round(p / 100 * (len(everything) - 1))] for p in percents}
+    assert nearest_rank(df.limit(0), "v", percents, ["g"]).count() == 0
 
 
 def test_nearest_neighbours_over_many_partitions_and_batches(spark):

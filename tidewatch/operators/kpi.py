@@ -1,7 +1,7 @@
 """Operational KPIs, quality metrics and trends."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.keyed import newest_per_key, side_by_side
 
@@ -135,37 +135,49 @@ def playbook_mttr(runs: DataFrame) -> DataFrame:
     return run_durations(runs).groupBy("playbook_id", "playbook_name").agg(F.avg("seconds").alias("mttr_seconds"), F.count(F.lit(1)).alias("sample_size"))
 
 
-def nearest_rank(values: DataFrame, column: str, percents: list[float], buckets: int = 4096) -> list[float]:
-    """Exact nearest-rank percentiles (index = half-even round of p(n-1)) by narrowing value ranges.
+def nearest_rank(values: DataFrame, key: str, percents: list[float], groups: list[str] = (), bits: int = 16) -> DataFrame:
+    """(groups, percent, value): exact nearest-rank percentiles (index = half-even round of p(n-1)) of a 64-bit integer column.
 
-    Each pass counts values per bucket of the current range, at most ``buckets`` small rows, and keeps the bucket with the
-    wanted rank; no task ever sorts or holds the values.
+    Digits of ``bits`` are fixed from the top, all groups and percentiles in one scan a digit, so a scan count of 64 / bits
+    whatever is asked. A scan counts rows per digit below the prefixes chosen so far: at most 2^bits rows a prefix, added up before
+    the shuffle; no task sorts or holds values. Null keys are left out, a null group is a group, one without values has no row.
     """
-    stats = values.agg(F.count(column), F.min(column), F.max(column)).first()
-    n, low, high = stats
-    if not n:
-        return [0.0 for _ in percents]
-    out = []
-    for p in percents:
-        rank = max(0, min(n - 1, round((p / 100.0) * (n - 1))))
-        lo, hi = low, high
-        scope = values
-        while lo < hi:
-            step = (hi - lo) / buckets or hi - lo  # a range too small to divide is one bucket per end
-            slot = F.least(F.floor((F.col(column) - lo) / step), F.lit(buckets - 1))
-            rows = scope.groupBy(slot.alias("s")).agg(F.count(column).alias("c"), F.min(column).alias("a"), F.max(column).alias("b")).collect()
-            for r in sorted(rows, key=lambda x: x["s"]):
-                if rank < r["c"]:
-                    lo, hi = r["a"], r["b"]
-                    break
-                rank -= r["c"]
-            scope = scope.filter(F.col(column).between(lo, hi))
-        out.append(float(lo))
-    return out
+    rows = values.filter(F.col(key).isNotNull()).select(F.struct(*(groups or [F.lit(0).alias("all")])).alias("_g"), F.col(key).cast("bigint").alias("_k"))
+    order = Window.partitionBy("_g", "_above").orderBy("_p")
+    chosen = None
+    for shift in range(64 - bits, -1, -bits):
+        digit = F.shiftright("_k", shift).alias("_p")      # arithmetic shifts keep the order of signed numbers
+        if chosen is None:
+            counts = rows.groupBy("_g", F.lit(0).alias("_above"), digit).agg(F.count(F.lit(1)).alias("_c"))
+            n = F.sum("_c").over(Window.partitionBy("_g"))
+            asks = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.bround(F.lit(p / 100.0) * (n - 1), 0).cast("bigint").alias("rank")) for p in percents])
+            counts = counts.withColumn("_asks", asks)
+        else:
+            above = rows.withColumn("_above", F.shiftright("_k", shift + bits))
+            counts = above.join(chosen, ["_g", "_above"]).groupBy("_g", "_above", digit).agg(F.count(F.lit(1)).alias("_c"), F.any_value("_asks").alias("_asks"))
+        placed = counts.withColumn("_upto", F.sum("_c").over(order)).select("_g", "_p", "_upto", "_c", F.explode("_asks").alias("_a"))
+        before = F.col("_upto") - F.col("_c")
+        hit = placed.filter((F.col("_a.rank") >= before) & (F.col("_a.rank") < F.col("_upto")))
+        chosen = hit.groupBy("_g", F.col("_p").alias("_above")).agg(
+            F.collect_list(F.struct(F.col("_a.percent").alias("percent"), (F.col("_a.rank") - before).alias("rank"))).alias("_asks"))
+    return chosen.select(*[F.col("_g")[g].alias(g) for g in groups], F.explode("_asks").alias("_a"), F.col("_above").alias("value")) \
+        .select(*groups, F.col("_a.percent").alias("percent"), "value")
+
+
+def _percentile_columns(runs: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, p50_seconds, p95_seconds) of finished runs, exact to the microsecond."""
+    micros = run_durations(runs).withColumn("_micros", F.round(F.col("seconds") * 1e6).cast("bigint"))
+    def at(p):
+        return (F.max(F.when(F.col("percent") == p, F.col("value"))) / 1e6).alias(f"p{p}_seconds")
+    return nearest_rank(micros, "_micros", [50, 95], groups).groupBy(*groups).agg(at(50), at(95))
+
+
+def playbook_percentiles(runs: DataFrame) -> DataFrame:
+    """Nearest-rank p50 and p95 of the durations of every playbook."""
+    return _percentile_columns(runs, ["playbook_id"])
 
 
 def playbook_overall(runs: DataFrame) -> DataFrame:
-    durations = run_durations(runs)
-    p50, p95 = nearest_rank(durations, "seconds", [50, 95])
-    return durations.agg(F.avg("seconds").alias("mttr_seconds"), F.lit(p50).alias("p50_seconds"), F.lit(p95).alias("p95_seconds"),
-                         F.count(F.lit(1)).alias("sample_size"))
+    """Mean, p50, p95 and number of finished runs in one row; without any, no mean and zeros."""
+    return side_by_side(run_durations(runs).agg(F.avg("seconds").alias("mttr_seconds"), F.count(F.lit(1)).alias("sample_size")),
+                        _percentile_columns(runs, [])).na.fill(0.0, ["p50_seconds", "p95_seconds"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.keyed import scratch_folder, with_position
 from tidewatch.functions.scalars import peer_process, peer_subnet
-from tidewatch.operators.rules import anomaly_rules
+from tidewatch.operators.rules import ANOMALY_RULES, anomaly_rules
 from tidewatch.schema import SEVERITY_BASE, TECHNIQUE_WEIGHTS, lookup
 
 
@@ -36,12 +36,11 @@ def score_entities(links: DataFrame, events: DataFrame, entity: Column | None =
     who = entity if entity is not None else F.coalesce("process_name", "event_id")
     tagged = events.select("event_id", who.alias("entity"), _points(TECHNIQUE_WEIGHTS, F.col("attack_technique")).alias("w"),
                            _points(SEVERITY_BASE, F.lower("severity")).alias("s"), anomaly_rules().alias("r"))
-    rows = links.join(tagged, "event_id")
-    base = rows.groupBy("entity").agg(F.max("w").alias("w"), F.max("s").alias("s"), F.count_distinct("detection_id").alias("d"))
-    flags = rows.select("entity", F.explode("r").alias("r")).groupBy("entity").agg(F.count_distinct("r").alias("a"))
-    return base.join(flags, "entity", "left").select("entity", F.least(
-        F.lit(100), F.col("w") + F.least("s", F.lit(30)) + F.least(F.coalesce("a", F.lit(0)) * 10, F.lit(20))
-        + F.least(F.col("d") * 5, F.lit(10))).cast("int").alias("risk_score"))
+    fired = [F.max(F.array_contains("r", rule).cast("int")).alias(f"r{i}") for i, rule in enumerate(ANOMALY_RULES)]
+    worst = links.join(tagged, "event_id").groupBy("entity").agg(F.max("w").alias("w"), F.max("s").alias("s"), F.count_distinct("detection_id").alias("d"), *fired)
+    rules = sum((F.col(f"r{i}") for i in range(1, len(fired))), F.col("r0"))
+    return worst.select("entity", F.least(
+        F.lit(100), F.col("w") + F.least("s", F.lit(30)) + F.least(rules * 10, F.lit(20)) + F.least(F.col("d") * 5, F.lit(10))).cast("int").alias("risk_score"))
 
 
 def nodes_with_risk(nodes: DataFrame, scores: DataFrame) -> DataFrame:

@@ -138,6 +138,12 @@ def kpi10b(spark, sf):
     return P.playbook_overall(D.playbook_runs(spark, sf)).withColumn("mttr_seconds", F.round("mttr_seconds", 3))
 
 
+@query("kpi10_playbook_percentiles", f"""WITH {D.RUNS}, {DURATIONS}, l AS (SELECT playbook_id, list_sort(list(s)) AS v FROM dur GROUP BY 1)
+SELECT playbook_id, v[CAST(round_even(0.5 * (len(v) - 1), 0) AS BIGINT) + 1] AS p50_seconds, v[CAST(round_even(0.95 * (len(v) - 1), 0) AS BIGINT) + 1] AS p95_seconds FROM l""")
+def kpi10c(spark, sf):
+    return P.playbook_percentiles(D.playbook_runs(spark, sf))
+
+
 # ---- reports --------------------------------------------------------------------------------------------
 
 DAY = f"timestamp > {T_AS_OF} - INTERVAL 1 DAY"
