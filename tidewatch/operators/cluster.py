@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.keyed import cut_lineage
+from tidewatch.functions.postings import Postings, store_postings
 from tidewatch.functions.scalars import canonical_id
 from tidewatch.operators.rules import map_techniques
 from tidewatch.schema import CHAIN_SEVERITY_POINTS, lookup
@@ -205,26 +206,37 @@ def causal_ids() -> Column:
     return F.array_distinct(F.array_compact(F.array(*[canonical_id(k, F.col(c)) for k, c in CAUSAL_KINDS.items()])))
 
 
-def causal_chain(events: DataFrame, start_event: str, max_depth: int = 5, max_events: int = 50) -> DataFrame:
+def store_causal_index(events: DataFrame, folder: str, buckets: int = 256) -> Postings:
+    """Events by canonical id, in time order; each posting carries all ids of its event, so that a chain needs no event row."""
+    tagged = events.select("event_id", "timestamp", causal_ids().alias("ids"))
+    return store_postings(tagged.select(F.explode("ids").alias("entity"), "timestamp", "event_id", "ids"), "entity", ["timestamp", "event_id"], folder, buckets)
+
+
+def causal_chain(events: DataFrame, start_event: str, max_depth: int = 5, max_events: int = 50, index: Postings | None = None) -> DataFrame:
     """(event_id, depth): events reached from ``start_event`` over shared canonical ids, nearest and oldest first.
 
     The feature caps the chain at ``max_events``, so a level keeps at most that many ids; only those few travel through
-    the driver, each level is one filtered top-k over the events.
+    the driver. With an index a level reads the buckets of its ids, without one it is a filtered top-k over all events.
     """
     spark = events.sparkSession
-    tagged = events.withColumn("_ids", causal_ids())
+    tagged = events.select("event_id", "timestamp", causal_ids().alias("ids"))
     found: list[tuple[str, int]] = []
     seen: set[str] = set()
-    frontier = tagged.filter(F.col("event_id") == start_event).select("event_id", "_ids").limit(1).collect()
+    frontier = tagged.filter(F.col("event_id") == start_event).select("event_id", "ids").limit(1).collect()
     depth = 0
     while frontier and len(found) < max_events:
         found += [(r["event_id"], depth) for r in frontier]
         seen.update(r["event_id"] for r in frontier)
         if depth == max_depth or len(found) >= max_events:
             break
-        keys = sorted({k for r in frontier for k in r["_ids"]})
-        linked = tagged.filter(F.arrays_overlap("_ids", F.array(*[F.lit(k) for k in keys])) & ~F.col("event_id").isin(sorted(seen)))
-        frontier = linked.orderBy("timestamp", "event_id").select("event_id", "_ids").limit(max_events - len(found)).collect()
+        keys = sorted({k for r in frontier for k in r["ids"]})
+        room = max_events - len(found)
+        if index is not None:
+            linked, most = index.rows_of(spark, keys), room * len(CAUSAL_KINDS)  # an event has a posting an id, one a kind at most
+        else:
+            linked, most = tagged.filter(F.arrays_overlap("ids", F.array(*[F.lit(k) for k in keys]))), room
+        nearest = linked.filter(~F.col("event_id").isin(sorted(seen))).orderBy("timestamp", "event_id").select("event_id", "ids").limit(most).collect()
+        frontier = list({r["event_id"]: r for r in nearest}.values())[:room]
         depth += 1
     return spark.createDataFrame(found, "event_id string, depth int")
 
@@ -250,7 +262,7 @@ def score_chains(chain_events: DataFrame, alerts: DataFrame, techniques: DataFra
 
 
 def causality(events: DataFrame, detections: DataFrame, links: DataFrame, detection_id: str, max_depth: int = 5,
-              max_events: int = 50) -> DataFrame:
+              max_events: int = 50, index: Postings | None = None) -> DataFrame:
     """One row for a detection: chain size, alerts in the chain, techniques, score, time bounds.
 
     Techniques are the catalog's for the detection's tag; without one, those that the type of the triggering event or the
@@ -258,7 +270,7 @@ def causality(events: DataFrame, detections: DataFrame, links: DataFrame, detect
     """
     trigger = links.filter(F.col("detection_id") == detection_id).join(events.select("event_id", "timestamp"), "event_id") \
         .agg(F.min_by("event_id", F.struct("timestamp", "event_id")).alias("event_id")).first()["event_id"]
-    chain = causal_chain(events, trigger, max_depth, max_events)
+    chain = causal_chain(events, trigger, max_depth, max_events, index)
     in_chain = events.join(chain, "event_id").withColumn("chain_id", F.lit(detection_id))
     touching = links.join(chain.select("event_id"), "event_id", "left_semi").select(F.col("detection_id").alias("id")).distinct()
     alerts = detections.join(touching, "id", "left_semi").withColumn("chain_id", F.lit(detection_id))

@@ -1,9 +1,13 @@
 """Entity graph: extraction from events, upserts, traversals, paths."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.keyed import cut_lineage, newest_per_key, oldest_per_key
+from tidewatch.functions.postings import Postings, store_postings
+from tidewatch.functions.scalars import any_of
 from tidewatch.schema import AUTH_EVENT_TYPES
 
 EDGE_KEY = ["source_id", "edge_type", "target_id"]
@@ -136,13 +140,31 @@ def build_graph(events: DataFrame, source_type: str | None = None) -> tuple[Data
 
 # ---- traversal -------------------------------------------------------------------------------------
 
-def edges_from(edges: DataFrame, entity_id: str, depth: int = 2) -> DataFrame:
-    """Edges reachable forward within ``depth`` hops, each once. A node expands only the first time it is reached."""
-    frontier = edges.sparkSession.createDataFrame([(entity_id,)], "node string")
+class GraphIndex(NamedTuple):
+    """A stored graph: entities by id, edges by source and by target. The traversals take it in place of the frames."""
+    entities: Postings
+    by_source: Postings
+    by_target: Postings
+
+
+def store_graph(entities: DataFrame, edges: DataFrame, folder: str, buckets: int = 256) -> GraphIndex:
+    return GraphIndex(store_postings(entities, "id", [], f"{folder}/entities", buckets),
+                      store_postings(edges, "source_id", ["target_id"], f"{folder}/by_source", buckets),
+                      store_postings(edges, "target_id", ["source_id"], f"{folder}/by_target", buckets))
+
+
+def edges_from(edges: DataFrame | GraphIndex, entity_id: str, depth: int = 2, spark: SparkSession | None = None) -> DataFrame:
+    """Edges reachable forward within ``depth`` hops, each once. A node expands only the first time it is reached.
+
+    From a stored graph a hop reads the buckets of its frontier; from a frame it scans all edges.
+    """
+    spark = spark or edges.sparkSession
+    frontier = spark.createDataFrame([(entity_id,)], "node string")
     seen = frontier
     parts = []
     for hop in range(depth):
-        step = cut_lineage(edges.join(frontier, F.col("source_id") == F.col("node"), "left_semi"))
+        leaving = edges.by_source.rows(frontier) if isinstance(edges, GraphIndex) else edges.join(frontier, F.col("source_id") == F.col("node"), "left_semi")
+        step = cut_lineage(leaving)
         parts.append(step)
         if hop + 1 < depth:
             frontier = cut_lineage(step.select(F.col("target_id").alias("node")).distinct().join(seen, "node", "left_anti"))
@@ -179,32 +201,48 @@ def subgraph(entities: DataFrame, edges: DataFrame, root: str, depth: int = 2, m
     Keeps the first ``max_nodes`` by (hop, id), the feature's own cap, so the kept ids are few and may pass the driver; the
     edge scan of every hop stays distributed. Nodes without an entity row come back as stubs named by their id.
     """
-    spark = edges.sparkSession
+    def rows(ids, ends):
+        return edges.filter(any_of([F.col(end).isin(ids) for end in ends]))
+    return _subgraph(edges.sparkSession, lambda ids: entities.filter(F.col("id").isin(ids)), rows, root, depth, max_nodes, types)
+
+
+def stored_subgraph(spark: SparkSession, graph: GraphIndex, root: str, depth: int = 2, max_nodes: int = 100,
+                    types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`subgraph` of a stored graph; every hop reads the buckets of its frontier."""
+    sides = {"source_id": graph.by_source, "target_id": graph.by_target}
+
+    def rows(ids, ends):
+        parts = [sides[end].rows_of(spark, ids) for end in ends]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _subgraph(spark, lambda ids: graph.entities.rows_of(spark, ids), rows, root, depth, max_nodes, types)
+
+
+def _subgraph(spark, entities_of, edges_at, root, depth, max_nodes, types):
     empty = spark.createDataFrame([], "id string, hop int")
-    if entities.filter(F.col("id") == root).isEmpty():
-        return (empty.join(entities.drop("event_id"), "id"), edges.limit(0))
+    ends = ["source_id", "target_id"]
+    if entities_of([root]).isEmpty():
+        return (empty.join(entities_of([root]).drop("event_id"), "id"), edges_at([root], ends).limit(0))
     depth, max_nodes = min(max(depth, 1), 10), max(max_nodes, 1)
-    links = both_directions(edges)
-    if types:
-        links = links.filter(F.col("b_type").isin(types))
     kept, frontier, expanded = {root: 0}, [root], []
     for hop in range(1, depth + 1):
         if not frontier or len(kept) >= max_nodes:
             break
         expanded += frontier
+        links = both_directions(edges_at(frontier, ends))
+        if types:
+            links = links.filter(F.col("b_type").isin(types))
         fresh = links.filter(F.col("a").isin(frontier) & ~F.col("b").isin(list(kept))).select("b").distinct() \
                      .orderBy("b").limit(max_nodes - len(kept)).collect()
         frontier = [r["b"] for r in fresh]
         kept.update({node: hop for node in frontier})
     nodes = spark.createDataFrame(list(kept.items()), "id string, hop int")
-    described = nodes.join(entities.drop("event_id"), "id", "left").withColumns({
+    described = nodes.join(entities_of(list(kept)).drop("event_id"), "id", "left").withColumns({
         "type": F.coalesce("type", F.substring_index("id", ":", 1)),
         "name": F.coalesce("name", F.expr("substring(id, instr(id, ':') + 1)"))})
     if types:
         described = described.filter(F.col("type").isin(types))
     ids = list(kept)
-    touched = edges.filter((F.col("source_id").isin(expanded) | F.col("target_id").isin(expanded))
-                           & F.col("source_id").isin(ids) & F.col("target_id").isin(ids)).dropDuplicates(EDGE_KEY)
+    touched = edges_at(expanded, ends).filter(F.col("source_id").isin(ids) & F.col("target_id").isin(ids)).dropDuplicates(EDGE_KEY)
     return described, touched
 
 
@@ -228,16 +266,23 @@ def delete_entity(entities: DataFrame, edges: DataFrame, entity_id: str) -> tupl
     return entities.filter(F.col("id") != entity_id), edges.filter((F.col("source_id") != entity_id) & (F.col("target_id") != entity_id))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 10) -> DataFrame:
+def shortest_path(edges: DataFrame | GraphIndex, source: str, target: str, max_hops: int = 10, spark: SparkSession | None = None) -> DataFrame:
     """(step, node) of one shortest undirected path; among equals the smallest predecessor. Empty when none."""
-    spark = edges.sparkSession
-    links = cut_lineage(both_directions(edges).select("a", "b").distinct())
+    spark = spark or edges.sparkSession
+    links = None if isinstance(edges, GraphIndex) else cut_lineage(both_directions(edges).select("a", "b").distinct())
+
+    def around(nodes):
+        """(a, b) with a in ``nodes``."""
+        if links is not None:
+            return links.join(nodes.select(F.col("node").alias("a")), "a")
+        out = edges.by_source.rows(nodes).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+        return out.union(edges.by_target.rows(nodes).select("target_id", "source_id"))
     frontier = spark.createDataFrame([(source, None, 0)], "node string, parent string, hop int")
     levels, seen, arrived = [frontier], frontier.select("node"), source == target
     for hop in range(1, max_hops + 1):
         if arrived:
             break
-        reached = links.join(frontier.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        reached = around(frontier.select("node")).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         frontier = cut_lineage(reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break

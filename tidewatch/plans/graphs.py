@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.keyed import scratch_folder
 from tidewatch.operators import graph as G
 from tidewatch.plans.model import events, query, with_ne
 from tidewatch.schema import AUTH_EVENT_TYPES
@@ -45,6 +46,18 @@ def built(spark, sf):
     return G.build_graph(events(spark, sf))
 
 
+_STORED: dict[tuple, G.GraphIndex] = {}
+
+
+def stored(spark, sf):
+    """The graph of all events, stored once a session and input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        entities, edges = built(spark, sf)
+        _STORED[key] = G.store_graph(entities, edges, scratch_folder(spark), buckets=32)
+    return _STORED[key]
+
+
 @query("grf1_entities", with_ne("SELECT id, type, name, case_id, event_id, timestamp FROM mentions", IDS, MENTIONS))
 def grf1(spark, sf):
     return G.extract_entities(events(spark, sf)).drop("attributes")
@@ -90,7 +103,7 @@ SELECT DISTINCT source_id, edge_type, target_id FROM edges JOIN (SELECT node, mi
     *GRAPH, "walk(node, hop) AS (SELECT 'domain:px.tracker0.com', 0 UNION SELECT target_id, hop + 1 FROM walk JOIN edges ON source_id = node WHERE hop < 3)",
     recursive=True))
 def grf6(spark, sf):
-    return G.edges_from(built(spark, sf)[1], "domain:px.tracker0.com", depth=3).select("source_id", "edge_type", "target_id")
+    return G.edges_from(stored(spark, sf), "domain:px.tracker0.com", depth=3, spark=spark).select("source_id", "edge_type", "target_id")
 
 
 @query("grf6_forward_hops_process", with_ne("""
@@ -98,7 +111,7 @@ SELECT DISTINCT source_id, edge_type, target_id FROM edges JOIN (SELECT node, mi
     *GRAPH, "walk(node, hop) AS (SELECT 'proc:host-1.corp.local:1002', 0 UNION SELECT target_id, hop + 1 FROM walk JOIN edges ON source_id = node WHERE hop < 2)",
     recursive=True))
 def grf6b(spark, sf):
-    return G.edges_from(built(spark, sf)[1], "proc:host-1.corp.local:1002", depth=2).select("source_id", "edge_type", "target_id")
+    return G.edges_from(stored(spark, sf), "proc:host-1.corp.local:1002", depth=2, spark=spark).select("source_id", "edge_type", "target_id")
 
 
 @query("grf7_reverse_edges", with_ne("SELECT source_id, edge_type FROM edges WHERE target_id = 'ip:203.0.113.2'", *GRAPH))
@@ -119,8 +132,7 @@ kept AS (SELECT node, min(hop) AS hop FROM walk GROUP BY 1 ORDER BY hop, node LI
 
 @query("grf8_subgraph_nodes", with_ne("SELECT node AS id, CAST(hop AS INT) AS hop, type, name FROM kept LEFT JOIN ents ON id = node", *GRAPH, UNDIRECTED, SUB, recursive=True))
 def grf8(spark, sf):
-    entities, edges = built(spark, sf)
-    return G.subgraph(entities, edges, "file:/tmp/f3", depth=2, max_nodes=100)[0].select("id", "hop", "type", "name")
+    return G.stored_subgraph(spark, stored(spark, sf), "file:/tmp/f3", depth=2, max_nodes=100)[0].select("id", "hop", "type", "name")
 
 
 @query("grf8_subgraph_edges", with_ne("""
@@ -128,8 +140,7 @@ SELECT source_id, edge_type, target_id FROM edges WHERE source_id IN (SELECT nod
 AND (source_id IN (SELECT node FROM kept WHERE hop < 2) OR target_id IN (SELECT node FROM kept WHERE hop < 2))
 AND ((SELECT count(*) FROM kept WHERE hop < 2) < 100 OR source_id = 'file:/tmp/f3' OR target_id = 'file:/tmp/f3')""", *GRAPH, UNDIRECTED, SUB, recursive=True))
 def grf8b(spark, sf):
-    entities, edges = built(spark, sf)
-    return G.subgraph(entities, edges, "file:/tmp/f3", depth=2, max_nodes=100)[1].select("source_id", "edge_type", "target_id")
+    return G.stored_subgraph(spark, stored(spark, sf), "file:/tmp/f3", depth=2, max_nodes=100)[1].select("source_id", "edge_type", "target_id")
 
 
 @query("grf9_global_graph", with_ne("""
@@ -170,7 +181,7 @@ path(node, hop) AS (SELECT node, hop FROM lev WHERE node = 'domain:www.example.o
 
 @query("grf13_shortest_path", with_ne("SELECT CAST(hop AS INT) AS step, node FROM path", *GRAPH, UNDIRECTED, PATH, recursive=True))
 def grf13(spark, sf):
-    return G.shortest_path(built(spark, sf)[1], "file:/tmp/f3", "domain:www.example.org", max_hops=4)
+    return G.shortest_path(stored(spark, sf), "file:/tmp/f3", "domain:www.example.org", max_hops=4, spark=spark)
 
 
 RETYPED = """r AS (SELECT *, CASE event_type WHEN 'logon_failure' THEN 'process_create' WHEN 'http' THEN 'network_connection' WHEN 'conn' THEN 'file_create'
