@@ -133,6 +133,7 @@ def check_fingerprints(rows, found):
 def test_fingerprints(spark, documents, monkeypatch):
     found = QUERIES["op8_fingerprints"](spark, SF)
     check_fingerprints(documents, found)
+    check_search(found.collect())
     monkeypatch.setattr(fingerprints, "CHUNK_ROWS", 7)
     monkeypatch.setattr(fingerprints, "PART_ROWS", 100)
     again = fingerprints.edited_and_next(spark.read.parquet(f"{SF}/documents.parquet"))
@@ -174,6 +175,46 @@ def test_all_pairs_within_a_radius(spark):
         assert got == {(frozenset([pair(a), pair(b)]), (a ^ b).bit_count()) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= radius}
 
 
+def check_search(rows):
+    """n_within against the distances of all fingerprints of the rows."""
+    prints = [int(r["fingerprint"], 16) for r in rows]
+    for r, own in zip(rows, prints):
+        asked = r["doc_id"] is not None and r["doc_id"] % fingerprints.QUERY_STEP == 0
+        assert r["n_within"] == (sum((own ^ p).bit_count() <= fingerprints.RADIUS for p in prints) - 1 if asked else None)
+
+
+def test_search_of_the_query_documents(spark, monkeypatch):
+    """Equal and close texts, a third of the rows copies of one text, repeated and missing ids; broadcast and shuffled queries agree."""
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    rows = [(None, "no id"), (0, " ".join(long)), (0, " ".join(long)), (100, None), (100, "")]
+    rows += [(k, "the same text in many rows") for k in range(1, 200)]
+    rows += [(200 + k, " ".join([*long[:k], "changed", *long[k + 1:]])) for k in range(301)]
+    found = fingerprints.edited_and_next(frame(spark, rows)).collect()
+    check_search(found)
+    assert sum(r["n_within"] or 0 for r in found) > 200
+    monkeypatch.setattr(fingerprints, "MAX_BROADCAST_LEADS", 3)
+    assert sorted(map(repr, fingerprints.edited_and_next(frame(spark, rows)).collect())) == sorted(map(repr, found))
+
+
+@pytest.mark.parametrize("radius", [0, 3, 12])
+def test_near_counts_equal_all_distances(spark, radius):
+    rng = random.Random(radius)
+    prints = [rng.getrandbits(128) for _ in range(40)]
+    for _ in range(300):
+        p = rng.choice(prints)
+        for bit in rng.sample(range(128), rng.randrange(0, radius + 3)):
+            p ^= 1 << bit
+        prints.append(p)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pair = lambda p: (signed(p & ((1 << 64) - 1)), signed(p >> 64))
+    df = spark.createDataFrame([pair(p) for p in prints], "f0 long, f1 long")
+    asked = prints[::5] + [rng.getrandbits(128)]
+    got = {(r["f0"], r["f1"]): r["n"] for r in fingerprints.near_counts(df, spark.createDataFrame([pair(p) for p in asked], "f0 long, f1 long"), radius).collect()}
+    want = {pair(a): sum((a ^ p).bit_count() <= radius for p in prints) for a in asked}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 # ---- personal data -----------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from tidewatch.llm.common import running_total, stored
 
 BITS, CHUNK_ROWS, PART_ROWS = 128, 256, 250_000
+RADIUS, QUERY_STEP = 3, 100        # bits; every document whose id this divides is a query of the search
+MAX_BROADCAST_LEADS = 250_000      # 12 MB
 HALVES = 0x1_0000_0001
 
 
@@ -86,11 +88,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within) of every document.
 
     The edited text has the last quarter of the code points replaced by the first as many (or all) of the next document. A null
     text counts as empty; equal ids are ordered by a text hash, and the copy of a repeated row is its next document; rows without
-    id come first; a single document is its own next. Extra columns are ignored.
+    id come first; a single document is its own next. Extra columns are ignored. n_within is the number of other documents with a
+    fingerprint at most RADIUS bits apart, for ids divisible by QUERY_STEP; null for the others and without an id.
     """
     n, k = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k))
@@ -102,10 +105,14 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     table = stored(two)                                    # narrow: no texts
     target = table.select(F.col("chunk").alias("n_chunk"), F.col("place").alias("n_place"), F.col("af0").alias("nf0"), F.col("af1").alias("nf1"))
     following = table.withColumn("n_chunk", F.when(F.col("last"), F.pmod(F.col("chunk") + 1, F.col("n_chunks"))).otherwise(F.col("chunk"))).withColumn("n_place", F.when(F.col("last"), F.lit(1)).otherwise(F.col("place") + 1))
-    out = following.join(target, ["n_chunk", "n_place"])
+    prints, asks = table.select(F.col("af0").alias("f0"), F.col("af1").alias("f1"), "doc_id"), F.col("doc_id") % QUERY_STEP == 0
+    counts = stored(near_counts(prints, prints.filter(asks)))
+    within = counts.select(F.col("f0").alias("af0"), F.col("f1").alias("af1"), F.lit(True).alias("asked"), (F.col("n") - 1).alias("n_within"))
+    within = F.broadcast(within) if counts.count() <= MAX_BROADCAST_LEADS else within
+    out = following.withColumn("asked", F.coalesce(asks, F.lit(False))).join(target, ["n_chunk", "n_place"]).join(within, ["af0", "af1", "asked"], "left")
     c = F.col
     return out.select("doc_id", "n_chars", "edited_sha256", text_of(c("af0"), c("af1")).alias("fingerprint"), text_of(c("ef0"), c("ef1")).alias("edited_fingerprint"),
-                      likeness(distance(c("af0"), c("af1"), c("ef0"), c("ef1"))).alias("near_edited"), likeness(distance(c("af0"), c("af1"), c("nf0"), c("nf1"))).alias("near_next"))
+                      likeness(distance(c("af0"), c("af1"), c("ef0"), c("ef1"))).alias("near_edited"), likeness(distance(c("af0"), c("af1"), c("nf0"), c("nf1"))).alias("near_next"), "n_within")
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
@@ -126,6 +133,42 @@ def bit_field(first: int, width: int) -> Column:
     return F.concat_ws(",", *parts)
 
 
+def agreeing(radius: int, x0: Column, x1: Column) -> Column:
+    """Bit b is set if the differing bits x0 and x1 leave block b alone."""
+    found = F.lit(0).cast("long")
+    for b, (first, width) in enumerate(blocks(radius)):
+        mask = ((1 << width) - 1) << first
+        low, high = (m - (1 << 64) if m >> 63 else m for m in (mask & (1 << 64) - 1, mask >> 64))
+        same = (x0.bitwiseAND(F.lit(low).cast("long")) == 0) & (x1.bitwiseAND(F.lit(high).cast("long")) == 0)
+        found = found + F.when(same, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
+    return found
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(f0, f1, n): for every different fingerprint of ``queries``, the rows of ``prints`` at most ``radius`` bits apart, equal ones
+    included; only those with any.
+
+    The block tables of :func:`within_radius`. A pair counts in the first table it meets in, the one of the first two blocks it
+    agrees in, so no pair is a row and nothing is made distinct. Few queries are broadcast and the tables are probed in place, hot
+    blocks too; more are joined by a shuffle, where adaptive execution splits a hot block.
+    """
+    if not 0 <= radius <= 60:
+        raise ValueError("radius out of range")
+    known = prints.filter("f0 is not null and f1 is not null").groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("members"))
+    asked = queries.filter("f0 is not null and f1 is not null").select("f0", "f1").distinct()
+    fields = [bit_field(*b) for b in blocks(radius)]
+    tables = list(combinations(range(len(fields)), 2))
+    leads = F.posexplode(F.array(*[F.xxhash64(fields[i], fields[j]) for i, j in tables])).alias("k", "lead")
+    held = stored(asked.select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), leads))
+    held = F.broadcast(held) if held.count() <= MAX_BROADCAST_LEADS else held
+    x0, x1 = F.col("f0").bitwiseXOR(F.col("q0")), F.col("f1").bitwiseXOR(F.col("q1"))
+    both = F.element_at(F.array(*[F.lit(1 << i | 1 << j).cast("long") for i, j in tables]), F.col("k") + 1)
+    upto = F.element_at(F.array(*[F.lit((2 << j) - 1).cast("long") for _, j in tables]), F.col("k") + 1)
+    near = (F.bit_count(x0) + F.bit_count(x1) <= radius) & (agreeing(radius, x0, x1).bitwiseAND(upto) == both)
+    met = known.select("f0", "f1", "members", leads).join(held, ["k", "lead"]).filter(near)
+    return met.groupBy("q0", "q1").agg(F.sum("members").alias("n")).select(F.col("q0").alias("f0"), F.col("q1").alias("f1"), "n")
+
+
 def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(a0, a1, b0, b1, distance): all pairs of different fingerprints at most ``radius`` bits apart, from columns f0 and f1.
 
