@@ -30,6 +30,12 @@ def _ids() -> dict[str, Column]:
     }
 
 
+def _with_ids(events: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Events with a column an id, each computed once a row however many edges use it."""
+    ids = _ids()
+    return events.withColumns({f"_{k}": c for k, c in ids.items()}), {k: F.col(f"_{k}") for k in ids}
+
+
 def _attributes(**cells: Column | str) -> Column:
     """String map without the null entries."""
     pairs = []
@@ -45,7 +51,7 @@ def _base_name(path: Column) -> Column:
 
 def extract_entities(events: DataFrame) -> DataFrame:
     """(id, type, name, attributes, case_id, event_id, timestamp): one row per entity mention."""
-    ids = _ids()
+    events, ids = _with_ids(events)
     cmd = F.substring("command_line", 1, 256)
     names = {"host": F.col("hostname"), "user": F.col("username"), "process": F.col("process_name"), "file": _base_name(F.col("file_path")),
              "ip": F.col("dst_ip"), "domain": F.col("domain")}
@@ -59,16 +65,16 @@ def extract_entities(events: DataFrame) -> DataFrame:
         "ip": _attributes(ip_address="dst_ip", dst_port="dst_port", network_protocol="network_protocol", network_direction="network_direction"),
         "domain": _attributes(domain="domain"),
     }
-    rows = F.array_compact(F.array(*[
+    rows = F.array(*[
         F.when(ids[k].isNotNull(), F.struct(ids[k].alias("id"), F.lit(k).alias("type"), names[k].alias("name"), extra[k].alias("attributes")))
-        for k in ids]))
-    return events.select(F.explode(rows).alias("e"), "case_id", "event_id", "timestamp") \
+        for k in ids])
+    return events.select(F.explode(rows).alias("e"), "case_id", "event_id", "timestamp").filter("e IS NOT NULL") \
                  .select("e.id", "e.type", "e.name", "e.attributes", "case_id", "event_id", "timestamp")
 
 
 def extract_edges(events: DataFrame) -> DataFrame:
     """(source_type, source_id, edge_type, target_type, target_id, event_id, timestamp, properties) per mention."""
-    ids = _ids()
+    events, ids = _with_ids(events)
     proc, user, host, file, ip, domain = (ids[k] for k in ("process", "user", "host", "file", "ip", "domain"))
     plain = F.create_map().cast("map<string,string>")
     flow = _attributes(dst_port="dst_port", src_ip="src_ip", src_port="src_port", network_protocol="network_protocol", event_outcome="event_outcome")
@@ -82,15 +88,15 @@ def extract_edges(events: DataFrame) -> DataFrame:
             F.lit(tt).alias("target_type"), t.alias("target_id"), props.alias("properties")))
 
     yes = F.lit(True)
-    rows = F.array_compact(F.array(
+    rows = F.array(
         edge(yes, "process", proc, "executed_by", "user", user, plain),
         edge(yes, "process", proc, "ran_on", "host", host, plain),
         edge(yes, "process", proc, "accessed", "file", file, plain),
         edge(yes, "process", proc, "connected_to", "ip", ip, flow),
         edge(yes, "domain", domain, "resolved_to", "ip", ip, plain),
         edge(no_proc, "host", host, "connected_to", "ip", ip, host_flow),
-        edge(no_proc & F.col("event_type").isin(AUTH_EVENT_TYPES), "user", user, "logged_into", "host", host, login)))
-    return events.select(F.explode(rows).alias("e"), "event_id", "timestamp").select("e.*", "event_id", "timestamp")
+        edge(no_proc & F.col("event_type").isin(AUTH_EVENT_TYPES), "user", user, "logged_into", "host", host, login))
+    return events.select(F.explode(rows).alias("e"), "event_id", "timestamp").filter("e IS NOT NULL").select("e.*", "event_id", "timestamp")
 
 
 def _zone() -> Column:
@@ -148,6 +154,7 @@ class GraphIndex(NamedTuple):
 
 
 def store_graph(entities: DataFrame, edges: DataFrame, folder: str, buckets: int = 256) -> GraphIndex:
+    entities, edges = cut_lineage(entities), cut_lineage(edges)       # dealing by ranges reads its rows twice, edges are dealt twice
     return GraphIndex(store_postings(entities, "id", [], f"{folder}/entities", buckets),
                       store_postings(edges, "source_id", ["target_id"], f"{folder}/by_source", buckets),
                       store_postings(edges, "target_id", ["source_id"], f"{folder}/by_target", buckets))
