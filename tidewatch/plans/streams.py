@@ -9,21 +9,39 @@ from tidewatch.plans.enrichment import ASSETS
 from tidewatch.plans.graphs import GRAPH
 from tidewatch.plans.detection import BEACON, BRUTE_SQL, BRUTE, CHAINS, SCAN, SCAN_SQL, correlated
 from tidewatch.plans.ingestion import RECORD_COLUMNS, eve_lines, sensor_docs, syslog_lines  # noqa: F401
-from tidewatch.plans.model import AS_OF, REGISTRY, events, query, raw_events, with_ne
+from tidewatch.plans.model import AS_OF, REGISTRY, events, query, raw_events, table, with_ne
+from tidewatch.sources.runs import Folder
 from tidewatch.sources.sinks import append_events, scratch_folder
 from tidewatch.streaming import jobs as J, runner as T
 
 
+FILE_ROWS = 1 << 15
+
+
+def files_a_batch(spark, sf, batches):
+    """In how many files a micro-batch lands: its size grows with the table, the share of a task that writes or reads a file does not."""
+    return max(1, -(-table(spark, sf, "events").count() // (batches * FILE_ROWS)))
+
+
+def land(rows, folder, files):
+    """Appends exactly ``files`` files, empty ones where rows are few, so that a stream that takes as many at a time sees them as one batch."""
+    spark, disk = rows.sparkSession, Folder(rows.sparkSession, folder)
+    wanted = files + sum(n.endswith(".parquet") for n in disk.names())
+    (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(folder)
+    for _ in range(wanted - sum(n.endswith(".parquet") for n in disk.names())):
+        spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+
+
 def landed(spark, sf, batches=1):
-    """Event table as stream input; returns (stream, folder for outputs). Several batches are files in time order, read one at a time."""
+    """Event table as stream input; returns (stream, folder for outputs). Several batches are groups of files in time order, read one at a time."""
     folder = scratch_folder(spark)
     if batches == 1:
         events(spark, sf).write.parquet(folder + "/in")
         return J.event_stream(spark, folder + "/in", events(spark, sf).schema), folder
-    ordered = events(spark, sf).withColumn("_day", F.dayofyear("timestamp"))
+    ordered, files = events(spark, sf).withColumn("_day", F.dayofyear("timestamp")), files_a_batch(spark, sf, batches)
     for k in range(batches):                                  # written one after another: the stream takes files by age
-        ordered.filter((F.col("_day") > 30 * k // batches) & (F.col("_day") <= 30 * (k + 1) // batches if k < batches - 1 else F.lit(True))).drop("_day").coalesce(1).write.mode("append").parquet(folder + "/in")
-    return J.event_stream(spark, folder + "/in", events(spark, sf).schema, max_files=1), folder
+        land(ordered.filter((F.col("_day") > 30 * k // batches) & (F.col("_day") <= 30 * (k + 1) // batches if k < batches - 1 else F.lit(True))).drop("_day"), folder + "/in", files)
+    return J.event_stream(spark, folder + "/in", events(spark, sf).schema, max_files=files), folder
 
 
 def newest_batch(rows, keys):
@@ -77,10 +95,10 @@ def ingested(spark, sf, stages=False):
 
 def _ingest(spark, sf, stages):
     folder = scratch_folder(spark)
-    raw = raw_events(spark, sf)
-    raw.repartition(2).write.parquet(folder + "/in")
-    raw.filter("process_id % 5 = 0").repartition(1).write.mode("append").parquet(folder + "/in")
-    stream = J.event_stream(spark, folder + "/in", raw.schema, max_files=1)
+    raw, files = raw_events(spark, sf), files_a_batch(spark, sf, 2)
+    land(raw, folder + "/in", 2 * files)
+    land(raw.filter("process_id % 5 = 0"), folder + "/in", files)
+    stream = J.event_stream(spark, folder + "/in", raw.schema, max_files=files)
     hook = J.derived_stages(folder + "/stages", **SCAN, brute=BRUTE, beacon=BEACON, chains=CHAINS, as_of=AS_OF, buckets=4) if stages else None
     J.ingest(stream, folder + "/events", folder + "/cp", D.iocs(spark, sf), folder + "/hits", hook).awaitTermination()
     return folder

@@ -5,6 +5,7 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -330,8 +331,20 @@ def stream_beacons(events: DataFrame, min_intervals: int = 19, max_cv: float = 0
 
 
 def stream_heartbeats(events: DataFrame, offline_after_ms: int = 300_000, delay: str = "1 minute") -> DataFrame:
-    """``connected`` with the newest event time when a source sends, ``offline`` when event time moves on without it."""
-    beats = events.filter("source_type IS NOT NULL").withWatermark("timestamp", delay).select("source_type", "timestamp", F.unix_millis("timestamp").alias("ms"))
+    """``connected`` with the newest event time when a source sends, ``offline`` when event time moves on without it.
+
+    Only the newest beat that a task has of a source goes on to the source's state: there are few sources and many events.
+    """
+    def newest_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = (rows if held is None else pa.concat_tables([held, rows])).group_by("source_type").aggregate([("timestamp", "max"), ("ms", "max")]).select(["source_type", "timestamp_max", "ms_max"]).rename_columns(["source_type", "timestamp", "ms"])
+        if held is not None:
+            yield from held.to_batches()
+
+    sent = events.filter("source_type IS NOT NULL").select("source_type", "timestamp", F.unix_millis("timestamp").alias("ms"))
+    beats = sent.mapInArrow(newest_of_each, sent.schema).withWatermark("timestamp", delay)
 
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def row(seen: int, status: str) -> pd.DataFrame:
