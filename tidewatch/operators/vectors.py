@@ -12,15 +12,21 @@ from tidewatch.functions.scalars import sanitize_field
 from tidewatch.schema import SEVERITY_BASE, lookup
 
 
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
+QUERY_BLOCK, SIDES, LARGEST_BLOCK = 1024, 8, 32768
+
+
+def _blocks(n: int) -> int:
+    """SIDES blocks of 1 024 to 32 768 rows, more only for larger tables: each row is sent once a block of the other side."""
+    return max(1, min(SIDES, -(-n // 1024)), -(-n // LARGEST_BLOCK))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, distance, rank): exact cosine k-NN of every query (query_id, embedding) over all vectors.
 
     No vector-query pair is ever a row: a task multiplies a block of queries with vectors and keeps k candidates a query. Queries
-    that fit one block are broadcast and the vectors scanned in place. More queries meet the vectors block by block in a cogroup;
-    both sides of a group are of bounded size and nothing passes the driver.
+    that fit ``query_block`` are broadcast and the vectors scanned in place. More queries meet the vectors block by block in a cogroup;
+    both sides of a group are of bounded size and nothing passes the driver. The products are as many as there are pairs; rows sent
+    are SIDES times the input up to SIDES * LARGEST_BLOCK rows.
     """
     n = queries.count()
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
@@ -28,7 +34,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
         held = queries.select("query_id", "embedding").collect()          # at most one block
         out = _scan(rows, np.array([r["query_id"] for r in held], dtype=np.int64), [r["embedding"] for r in held], k)
     else:
-        n_q, n_v = -(-n // query_block), max(1, -(-vectors.count() // VECTOR_BLOCK))
+        n_q, n_v = _blocks(n), _blocks(vectors.count())
         asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
         stored = rows.select("id", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb"))
         out = asked.groupBy("qb", "vb").cogroup(stored.groupBy("qb", "vb")).applyInPandas(lambda q, v: _block(q, v, k), CANDIDATE)
@@ -67,13 +73,17 @@ def _frame(names: np.ndarray, best_d: np.ndarray, best_i: np.ndarray) -> pd.Data
 def _block(asked: pd.DataFrame, stored: pd.DataFrame, k: int) -> pd.DataFrame:
     if asked.empty or stored.empty:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-    q, v = _unit(asked["embedding"]), _unit(stored["v"])
-    best_d, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
-    for at in range(0, len(v), 4096):
-        distance = 1.0 - q @ v[at:at + 4096].T
-        ids = np.broadcast_to(stored["id"].to_numpy(dtype=np.int64)[at:at + 4096], distance.shape)
-        best_d, best_i = _closest(np.hstack([best_d, distance]), np.hstack([best_i, ids]), k)
-    return _frame(asked["query_id"].to_numpy(dtype=np.int64), best_d, best_i)
+    v, names, ids = _unit(stored["v"]), asked["query_id"].to_numpy(dtype=np.int64), stored["id"].to_numpy(dtype=np.int64)
+    frames = []
+    for first in range(0, len(names), 1024):
+        q = _unit(asked["embedding"].iloc[first:first + 1024])
+        best_d, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
+        for at in range(0, len(v), 4096):
+            distance = 1.0 - q @ v[at:at + 4096].T
+            same = np.broadcast_to(ids[at:at + 4096], distance.shape)
+            best_d, best_i = _closest(np.hstack([best_d, distance]), np.hstack([best_i, same]), k)
+        frames.append(_frame(names[first:first + 1024], best_d, best_i))
+    return pd.concat(frames, ignore_index=True)
 
 
 def _scan(rows: DataFrame, names: np.ndarray, embeddings: list, k: int) -> DataFrame:
