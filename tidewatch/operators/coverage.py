@@ -1,7 +1,7 @@
 """Technique coverage, actor matching and test validation."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.functions.scalars import is_technique, parent_technique
 from tidewatch.schema import ATTACK_TACTICS, PRIORITY_TECHNIQUES
@@ -98,14 +98,18 @@ def atomics_coverage(atomics: DataFrame, detections: DataFrame, validations: Dat
 def validate_tests(requests: DataFrame, detections: DataFrame, window_seconds: int = 300) -> DataFrame:
     """Latest detection of the technique, its parent or a sibling in the seconds before each request.
 
-    The range join is bucketed: a detection can only serve requests of its own or the next time bucket.
+    Rows are dealt by technique and time slot, a detection to its own slot and the next; inside a slot the last detection before a
+    request is carried along in order of time, so that no request meets detections one by one.
     """
     slot = lambda c: F.floor(F.unix_micros(c) / (window_seconds * 1_000_000))
-    asked = requests.withColumns({"_parent": parent_technique(F.col("technique_id")), "_slot": slot("checked_at")})
-    found = detections.filter("attack_technique IS NOT NULL").select(
-        F.col("id").alias("detection_id"), F.col("created_at").alias("detected_at"), parent_technique(F.col("attack_technique")).alias("_parent"),
-        F.explode(F.array(slot("created_at"), slot("created_at") + 1)).alias("_slot"))
-    near = asked.join(found, ["_parent", "_slot"]).filter(
-        (F.col("detected_at") <= F.col("checked_at")) & (F.col("detected_at") > F.col("checked_at") - F.make_interval(secs=F.lit(window_seconds))))
+    asked = requests.select("request_id", F.lit(None).cast("string").alias("detection_id"), F.col("checked_at").alias("_at"), F.lit(1).alias("_asked"),
+                            parent_technique(F.col("technique_id")).alias("_parent"), slot("checked_at").alias("_slot"))
+    found = detections.filter("attack_technique IS NOT NULL AND created_at IS NOT NULL").select(
+        F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), F.col("id").cast("string").alias("detection_id"), F.col("created_at").alias("_at"), F.lit(0).alias("_asked"),
+        parent_technique(F.col("attack_technique")).alias("_parent"), F.explode(F.array(slot("created_at"), slot("created_at") + 1)).alias("_slot"))
+    order = Window.partitionBy("_parent", "_slot").orderBy("_at", "_asked", "detection_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("_asked") == 0, F.struct(F.col("_at").alias("detected_at"), "detection_id")), ignorenulls=True).over(order)
+    near = asked.unionByName(found).withColumn("_last", last).filter("_asked = 1").select("request_id", "_at", "_last.*") \
+        .filter(F.col("detected_at") > F.col("_at") - F.make_interval(secs=F.lit(window_seconds)))
     latest = near.groupBy("request_id").agg(F.max_by("detection_id", F.struct("detected_at", "detection_id")).alias("detection_id"))
     return requests.join(latest, "request_id", "left").withColumn("verdict", F.when(F.col("detection_id").isNotNull(), "pass").otherwise("fail"))
