@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import coverage as C, vectors as V
 from tidewatch.plans import model as M, streams as S
+from tidewatch.schema import conform
+from tidewatch.streaming import jobs as J
 
 
 def test_rows_sent_by_nearest_grow_with_the_table():
@@ -39,3 +41,30 @@ def test_validation_pairs_no_request_with_all_detections(spark):
     assert got == {"a": ("z", "pass"), "b": (None, "fail"), "c": (None, "fail"), "d": (None, "fail"), "e": ("y", "pass")}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_slot" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_a_batch_is_normalized_once_and_keeps_the_first_delivery_of_an_id(spark, tmp_path, monkeypatch):
+    rows = [("a", 5, "late"), ("a", 3, "first"), ("b", 1, "only"), ("a", 3, "again")]
+    frame = conform(spark.createDataFrame(rows, "event_id string, s long, hostname string").withColumn("timestamp", F.timestamp_seconds(F.col("s") + 1_704_067_200)).drop("s")).withColumn("ingested_at", F.col("timestamp"))
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batch):
+        def add(parts):
+            for part in parts:
+                seen.add(part.num_rows)
+                yield part
+        return batch.mapInArrow(add, batch.schema)
+    monkeypatch.setattr(J, "normalize", counted)
+    iocs = spark.createDataFrame([], "ioc_type string, ioc_value string, confidence int, feed_source string, actor_tag string, malware_family string, bare_ip string")
+    J.ingest(J.event_stream(spark, f"{tmp_path}/in", frame.schema), f"{tmp_path}/events", f"{tmp_path}/cp", iocs, f"{tmp_path}/hits").awaitTermination()
+    got = {r["event_id"]: r["hostname"] for r in spark.read.parquet(f"{tmp_path}/events").collect()}
+    assert set(got) == {"a", "b"} and got["a"] in ("first", "again")
+    assert seen.value == len(rows)                           # was twice as many: once for the rows, once for the hits
+
+
+def test_events_land_as_they_were_dealt(spark, tmp_path):
+    raw = M.raw_events(spark, "/root/testdata/sf0.001", 6)
+    assert raw.rdd.getNumPartitions() == 6
+    S.land(raw, f"{tmp_path}/in", 6, dealt=True)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 6 and spark.read.parquet(f"{tmp_path}/in").count() == raw.count()

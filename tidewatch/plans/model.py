@@ -127,16 +127,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 PART_ROWS = 1 << 16
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Dealt into parts of about PART_ROWS rows. A split of a well compressed file holds millions of narrow rows, each of which becomes
     several wide ones; the narrow ones are dealt, so that a task's share stays the same however large the table is."""
-    parts = -(-rows.count() // PART_ROWS)                # from the files' footers
+    parts = parts or -(-rows.count() // PART_ROWS)       # from the files' footers
     return rows.repartition(parts, key) if parts > 1 else rows
 
 
-def raw_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a sensor would deliver them: severity spelled with aliases."""
-    base = spread(table(spark, sf, "events"), "event_id").withColumn("k", F.expr(K_SPARK))
+def raw_events(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
+    """Events as a sensor would deliver them: severity spelled with aliases. In ``parts`` partitions if given."""
+    base = spread(table(spark, sf, "events"), "event_id", parts).withColumn("k", F.expr(K_SPARK))
     return base.selectExpr(*[f"cast({EVENT_EXPRESSIONS.get(f.name, 'null')} as {f.dataType.simpleString()}) AS {f.name}" for f in EVENT_SCHEMA.fields])
 
 

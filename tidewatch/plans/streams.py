@@ -23,11 +23,12 @@ def files_a_batch(spark, sf, batches):
     return max(1, -(-table(spark, sf, "events").count() // (batches * FILE_ROWS)))
 
 
-def land(rows, folder, files):
-    """Appends exactly ``files`` files, empty ones where rows are few, so that a stream that takes as many at a time sees them as one batch."""
+def land(rows, folder, files, dealt=False):
+    """Appends exactly ``files`` files, empty ones where rows are few, so that a stream that takes as many at a time sees them as one batch.
+    Rows ``dealt`` into as many partitions beforehand, while they were narrow, are written as they are."""
     spark, disk = rows.sparkSession, Folder(rows.sparkSession, folder)
     wanted = files + sum(n.endswith(".parquet") for n in disk.names())
-    (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(folder)
+    (rows if dealt else rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(folder)
     for _ in range(wanted - sum(n.endswith(".parquet") for n in disk.names())):
         spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
 
@@ -95,9 +96,10 @@ def ingested(spark, sf, stages=False):
 
 def _ingest(spark, sf, stages):
     folder = scratch_folder(spark)
-    raw, files = raw_events(spark, sf), files_a_batch(spark, sf, 2)
-    land(raw, folder + "/in", 2 * files)
-    land(raw.filter("process_id % 5 = 0"), folder + "/in", files)
+    files = files_a_batch(spark, sf, 2)
+    raw = raw_events(spark, sf, 2 * files)
+    land(raw, folder + "/in", 2 * files, dealt=True)
+    land(raw_events(spark, sf, files).filter("process_id % 5 = 0"), folder + "/in", files, dealt=files > 1)
     stream = J.event_stream(spark, folder + "/in", raw.schema, max_files=files)
     hook = J.derived_stages(folder + "/stages", **SCAN, brute=BRUTE, beacon=BEACON, chains=CHAINS, as_of=AS_OF, buckets=4) if stages else None
     J.ingest(stream, folder + "/events", folder + "/cp", D.iocs(spark, sf), folder + "/hits", hook).awaitTermination()

@@ -68,9 +68,8 @@ def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits
         if status == "done":
             return
         index.compact(number)
-        matched = match_iocs(normalize(batch), iocs)
-        first = cut_lineage(oldest_per_key(matched.select(*batch.columns), ["event_id"], ["ingested_at", "timestamp"]))
-        fresh = cut_lineage(first.join(index.known(first, number), "event_id", "left_anti").select(*batch.columns))
+        matched = cut_lineage(match_iocs(normalize(batch), iocs).withColumn("_row", F.monotonically_increasing_id()))
+        fresh = cut_lineage(matched.join(later_copies(matched), "_row", "left_anti").join(index.known(matched, number), "event_id", "left_anti").select(*batch.columns))
         stored = None
         if status == "begun" and (old := stored_table(spark, table)) is not None:
             days = fresh.select(F.to_date("timestamp").alias("event_date")).distinct()
@@ -88,6 +87,12 @@ def ingest(events: DataFrame, table: str, checkpoint: str, iocs: DataFrame, hits
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+def later_copies(rows: DataFrame) -> DataFrame:
+    """(_row) of all but the first delivery of each id. Stored by itself: copies are few as a rule, so that leaving them out moves no wide row."""
+    best = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ingested_at", "timestamp", "_row")).alias("first")).filter("n > 1")
+    return cut_lineage(rows.select("event_id", "_row").join(best, "event_id").filter(F.col("_row") != F.col("first._row")).select("_row"))
+
+
 MAX_DAYS = 100_000
 DETECTION = {**dict.fromkeys(OUTPUT, "string"), "n_events": "bigint", "created_at": "timestamp", "src_ip": "string", "dst_ip": "string", "dst_port": "int", "window_start": "timestamp", "distinct_ports": "bigint",
              "first_event": "timestamp", "mean_interval": "double", "stddev_interval": "double", "suppressed": "boolean", "retracted": "boolean"}
