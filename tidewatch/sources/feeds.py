@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewatch.functions.scalars import stable_id
+from tidewatch.functions.keyed import cut_lineage
+from tidewatch.functions.scalars import parse_once, stable_id
 from tidewatch.schema import lookup
 
 
@@ -113,7 +114,7 @@ def _colon(ddl: str) -> list[str]:
 
 def stix_objects(lines: DataFrame) -> DataFrame:
     """One object per line (value)."""
-    return lines.select(F.from_json("value", OBJECT_DDL).alias("o")).select("o.*")
+    return parse_once(lines, F.from_json("value", OBJECT_DDL), "o").select("o.*")
 
 
 def _catalog_id() -> Column:
@@ -136,7 +137,8 @@ def stix_groups(objects: DataFrame) -> DataFrame:
 
 
 def stix_group_techniques(objects: DataFrame) -> DataFrame:
-    """(stix_id, tech_id) of live ``uses`` relationships from groups to live top-level techniques."""
+    """(stix_id, tech_id) of live ``uses`` relationships from groups to live top-level techniques. Objects are parsed once and stored by what is asked of them."""
+    objects = cut_lineage(objects.select("id", "type", "revoked", "relationship_type", "source_ref", "target_ref", "x_mitre_is_subtechnique", "external_references", "name", "kill_chain_phases"))
     uses = objects.filter((F.col("type") == "relationship") & _not("revoked") & (F.col("relationship_type") == "uses")).select("source_ref", "target_ref").distinct()
     groups = objects.filter(F.col("type") == "intrusion-set").select(F.col("id").alias("source_ref"))
     techniques = stix_techniques(objects).select(F.col("stix_id").alias("target_ref"), "tech_id")
@@ -148,7 +150,10 @@ def _clean(c: Column) -> Column:
 
 
 def technique_documents(objects: DataFrame, min_description: int = 50, max_chars: int = 2000, procedures: int = 5) -> DataFrame:
-    """(tid, name, document): description, detection advice, mitigations and up to five observed procedures as one text."""
+    """(tid, name, document): description, detection advice, mitigations and up to five observed procedures as one text.
+    Objects are parsed once and stored by what is asked of them."""
+    objects = cut_lineage(objects.select("id", "type", "revoked", "relationship_type", "source_ref", "target_ref", "x_mitre_deprecated", "external_references", "name", "kill_chain_phases",
+                                         "description", "x_mitre_detection", "x_mitre_platforms"))
     rel = objects.filter(F.col("type") == "relationship").select("id", "relationship_type", "source_ref", "target_ref", "description")
     seen = _first_n(rel.filter((F.col("relationship_type") == "uses") & (F.coalesce("description", F.lit("")) != ""))
                     .select("target_ref", "id", F.substring(_clean(F.col("description")), 1, 400).alias("text")), procedures).withColumnRenamed("texts", "seen")
