@@ -1,9 +1,10 @@
 """Work a row and shares of a task stay bounded as tables grow."""
 from pyspark.sql import functions as F
 
-from tidewatch.operators import coverage as C, vectors as V
-from tidewatch.plans import model as M, streams as S
+from tidewatch.operators import cluster as K, coverage as C, vectors as V
+from tidewatch.plans import ingestion as I, load_all, model as M, streams as S
 from tidewatch.schema import conform
+from tidewatch.sources import feeds as X
 from tidewatch.streaming import jobs as J
 
 
@@ -68,3 +69,20 @@ def test_events_land_as_they_were_dealt(spark, tmp_path):
     assert raw.rdd.getNumPartitions() == 6
     S.land(raw, f"{tmp_path}/in", 6, dealt=True)
     assert len(list((tmp_path / "in").glob("*.parquet"))) == 6 and spark.read.parquet(f"{tmp_path}/in").count() == raw.count()
+
+
+def test_one_causal_chain_stores_no_postings_of_all_events(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("all events stored for one chain")
+    monkeypatch.setattr(K, "store_causal_index", refuse)
+    queries = load_all().queries
+    assert queries["clu6_causal_chain"](spark, "/root/testdata/sf0.001").count() == 50
+    assert queries["clu8_causality"](spark, "/root/testdata/sf0.001").first()["n_events"] == 50
+
+
+def test_catalog_objects_are_parsed_once(spark):
+    objects = X.stix_objects(I.stix_lines(spark, "/root/testdata/sf0.001"))
+    plans = [f(objects)._jdf.queryExecution().optimizedPlan().toString() for f in (X.stix_group_techniques, X.technique_documents)]
+    assert all("from_json" not in p for p in plans)          # were three and four parses of every line
+    one = X.stix_techniques(objects)._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("from_json") == 1

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.keyed import cut_lineage
 from tidewatch.functions.postings import Postings, store_postings
-from tidewatch.functions.scalars import canonical_id
+from tidewatch.functions.scalars import canonical_id, parse_once
 from tidewatch.operators.rules import map_techniques
 from tidewatch.schema import CHAIN_SEVERITY_POINTS, lookup
 
@@ -219,7 +219,8 @@ def causal_chain(events: DataFrame, start_event: str, max_depth: int = 5, max_ev
     the driver. With an index a level reads the buckets of its ids, without one it is a filtered top-k over all events.
     """
     spark = events.sparkSession
-    tagged = events.select("event_id", "timestamp", causal_ids().alias("ids"))
+    # Ids behind a one-row explode: computed once a row, and where the rows have been dealt to, not in the few tasks that read the files.
+    tagged = parse_once(events, causal_ids(), "ids").select("event_id", "timestamp", "ids")
     found: list[tuple[str, int]] = []
     seen: set[str] = set()
     frontier = tagged.filter(F.col("event_id") == start_event).select("event_id", "ids").limit(1).collect()
