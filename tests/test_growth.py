@@ -1,7 +1,7 @@
 """Work a row and shares of a task stay bounded as tables grow."""
 from pyspark.sql import functions as F
 
-from tidewatch.operators import cluster as K, coverage as C, vectors as V
+from tidewatch.operators import cluster as K, coverage as C, governance as G, vectors as V
 from tidewatch.plans import ingestion as I, load_all, model as M, streams as S
 from tidewatch.schema import conform
 from tidewatch.sources import feeds as X
@@ -86,3 +86,12 @@ def test_catalog_objects_are_parsed_once(spark):
     assert all("from_json" not in p for p in plans)          # were three and four parses of every line
     one = X.stix_techniques(objects)._jdf.queryExecution().optimizedPlan().toString()
     assert one.count("from_json") == 1
+
+
+def test_gates_are_judged_once_a_row_above_the_deal(spark):
+    rows = [("a", "block_ip", " 10.1.2.3 ", "safelist"), ("b", "block_ip", "11.0.0.1", "allowed"), ("c", "block_ip", "::1", "safelist"), ("d", "notify", "10.1.2.3", "allowed"), ("e", "block_ip", None, "allowed")]
+    acts = spark.createDataFrame([(i, f"s{i}", a, t, 0.9, True) for i, a, t, _ in rows], "action_id string, scope string, action string, target string, confidence double, human_confirmed boolean") \
+        .withColumn("requested_at", F.timestamp_seconds(F.lit(0))).repartition(3, "action_id")
+    out = G.decide_actions(acts)
+    assert {r["action_id"]: r["gate"] for r in out.collect()} == {i: g for i, _, _, g in rows}
+    assert "safelist" not in out._jdf.queryExecution().optimizedPlan().toString()      # was judged where it is filtered on and again in the result

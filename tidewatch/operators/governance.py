@@ -1,12 +1,14 @@
 """Receipts, approval checks, action policy and source health."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.keyed import cut_lineage, newest_per_key
-from tidewatch.functions.scalars import cidr_bounds, ipv4_number
+from tidewatch.functions.scalars import cidr_bounds, ipv4_number, once, parse_once
 from tidewatch.schema import lookup
 
 # Fixed values.
@@ -45,11 +47,7 @@ def approval_errors(as_of: str) -> Column:
 
 def static_gate(min_confidence: float = 0.85, require_approval: bool = True) -> Column:
     """First of the order-free gates that stops an action, else null: approval, confidence, protected networks."""
-    number = ipv4_number(F.trim("target"))
-    inside = None
-    for network in PROTECTED_NETWORKS:
-        test = number.between(*cidr_bounds(*network))
-        inside = test if inside is None else inside | test
+    inside = once(ipv4_number(F.trim("target")), lambda number: reduce(Column.__or__, [number.between(*cidr_bounds(*n)) for n in PROTECTED_NETWORKS]))
     protected = F.coalesce(inside, F.lit(False)) | (F.trim("target") == "::1")
     return (F.when(F.lit(require_approval) & F.col("action").isin(HIGH_RISK_ACTIONS) & ~F.col("human_confirmed"), "approval")
              .when(F.col("confidence") < min_confidence, "confidence")
@@ -139,7 +137,8 @@ def decide_actions(actions: DataFrame, min_confidence: float = 0.85, rate_limit:
     evaluated for all time chunks at once and mended where chunks depend on one another (:func:`_rate_gate`), so no scope is one
     task. Of candidates at one instant only the first ``rate_limit`` can pass, so later ones are settled beforehand.
     """
-    gated = actions.withColumn("gate", static_gate(min_confidence))
+    # Judged once a row and where rows have been dealt to: as a plain column the gate is filtered on in the few tasks that read the files.
+    gated = cut_lineage(parse_once(actions, static_gate(min_confidence), "gate"))
     candidates = gated.filter("gate IS NULL").select("action_id", "scope", F.unix_micros("requested_at").alias("t"))
     same_instant = Window.partitionBy("scope", "t").orderBy("action_id")
     thin = candidates.withColumn("n", F.row_number().over(same_instant)).filter(F.col("n") <= rate_limit).drop("n")
