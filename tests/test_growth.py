@@ -95,3 +95,10 @@ def test_gates_are_judged_once_a_row_above_the_deal(spark):
     out = G.decide_actions(acts)
     assert {r["action_id"]: r["gate"] for r in out.collect()} == {i: g for i, _, _, g in rows}
     assert "safelist" not in out._jdf.queryExecution().optimizedPlan().toString()      # was judged where it is filtered on and again in the result
+
+
+def test_entities_of_an_event_are_made_once(spark):
+    rows = conform(spark.createDataFrame([(f"e{i}", f"h{i // 2}", f"u{i}") for i in range(6)], "event_id string, hostname string, username string")).withColumn("timestamp", F.timestamp_seconds(F.lit(0)))
+    out = K.cluster_events(rows)
+    assert {r["event_id"]: r["n_events"] for r in out.collect()} == {f"e{i}": 2 for i in range(6)}
+    assert "user:" not in out._jdf.queryExecution().optimizedPlan().toString()         # was made anew for every use

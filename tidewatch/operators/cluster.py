@@ -75,12 +75,13 @@ def cluster_events(events: DataFrame, entities: Column | None = None) -> DataFra
     Components run over entities, not events: each event links its first entity to its others, so the graph has one
     edge per distinct entity pair that meets in an event and no event pairs are built.
     """
-    tagged = events.select("event_id", "timestamp", (entities if entities is not None else entity_array()).alias("entities")) \
-                   .filter(F.size("entities") > 0).withColumn("anchor", F.col("entities")[0])
+    # Entities are made once a row, on dealt rows, and stored, as they are joined and counted several times.
+    tagged = cut_lineage(parse_once(events, entities if entities is not None else entity_array(), "entities").select("event_id", "timestamp", "entities")
+                         .filter(F.size("entities") > 0).withColumn("anchor", F.col("entities")[0]))
     edges = tagged.select(F.col("anchor").alias("a"), F.explode(F.slice("entities", 2, F.size("entities"))).alias("b")).distinct()
     labels = connected_components(edges)
-    placed = tagged.join(labels, F.col("anchor") == F.col("node"), "left") \
-                   .withColumn("cluster_id", F.coalesce("label", "anchor")).drop("node", "label", "anchor")
+    placed = cut_lineage(tagged.join(labels, F.col("anchor") == F.col("node"), "left")
+                         .withColumn("cluster_id", F.coalesce("label", "anchor")).drop("node", "label", "anchor"))
     big = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_events")).filter("n_events > 1")
     return placed.join(big, "cluster_id")
 
