@@ -10,6 +10,7 @@ This needs a proper list (the parts of a merge are made by earlier merges), whic
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import re
@@ -322,6 +323,15 @@ def loaded(path: str) -> tuple[Vocabulary, Encoder]:
     return _LOADED[path]
 
 
+def holds(path: str) -> bool:
+    return path in _LOADED
+
+
+def forget(path: str) -> None:
+    _LOADED.pop(path, None)
+    gc.collect()               # a vocabulary and its neighbours refer to each other
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the text as an array of token ids; null texts have none. Other columns are ignored."""
     def scan(batches):
@@ -349,10 +359,11 @@ def decode_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "ids").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), streamed: neither ids nor decoded text of a document are held whole.
 
     Null texts count as empty: no tokens and the digests of nothing. Repeated documents each get a row, other columns are ignored.
+    Workers outlive their tasks; unless ``keep``, they give up vocabulary and memos after each, as other work on them needs the memory.
     """
     def scan(batches):
         v, encoder = loaded(path)
@@ -368,6 +379,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 for column, value in zip(out, (n, ids_digest.hexdigest(), text_digest.hexdigest())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep:
+            del v, encoder
+            forget(path)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

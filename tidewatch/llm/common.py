@@ -14,12 +14,22 @@ BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MAX_BROADCAST_IDS = 1_000_000
 BATCH_BYTES = 1 << 19              # text that one array step handles at once, apart from a single longer text
+ARROW_ROWS, ARROW_BYTES = 1024, 1 << 22         # of a batch that a task sends to its Python worker
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of at most ARROW_ROWS rows to Python workers, and begins another after ARROW_BYTES. A batch
+    stands in the task's buffers, which double as they grow, and again in the worker; Spark's own 10 000 whole texts come to tens of MB each."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write to a fresh folder below spark.checkpoint.dir and read back: cuts lineage and survives lost executors."""
     folder = scratch_folder(df.sparkSession)
