@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions.keyed import cut_lineage
 from tidewatch.functions.scalars import sanitize_field
 from tidewatch.operators import vectors as V
 from tidewatch.plans.model import events, query, table, with_ne
@@ -40,7 +41,7 @@ def vec2(spark, sf):
 @query("vec3_rerank", f"""WITH {PROBES}, {knn_sql(10)} SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN id % 4 <> 0 THEN (id * 7) % 13 END DESC NULLS LAST, rank) AS new_rank
 FROM near QUALIFY new_rank <= 4""")
 def vec3(spark, sf):
-    near = V.nearest(table(spark, sf, "embeddings"), probes(spark, sf), 10)
+    near = cut_lineage(V.nearest(table(spark, sf, "embeddings"), probes(spark, sf), 10).drop("distance"))      # asked for twice
     given = near.filter("id % 4 <> 0").selectExpr("query_id", "id", "(id * 7) % 13 AS score")
     return V.rerank(near, given, 4).select("query_id", "id", "rank", "new_rank")
 
