@@ -5,8 +5,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators.cluster import cluster_events
+from tidewatch.operators.cluster import causal_chain, cluster_events
 from tidewatch.operators.hunt import hunt_sql
+from tidewatch.schema import conform
 from tidewatch.sources import sinks
 from tidewatch.streaming import jobs
 
@@ -55,6 +56,12 @@ def test_all_entities_of_an_event_link(spark):
     assert found.select("cluster_id").distinct().count() == 1 and found.count() == 2
 
 
+def test_a_chain_of_events_that_have_ids_of_their_own(spark):
+    rows = [("a", START, "h1", "u1", ["x"]), ("b", START + timedelta(minutes=1), "h2", "u1", ["y"]), ("c", START, "h3", "u3", ["x"])]
+    events = conform(spark.createDataFrame(rows, "event_id string, timestamp timestamp, hostname string, username string, ids array<string>")).withColumn("ids", F.array(F.lit("x")))
+    assert {r["event_id"] for r in causal_chain(events, "a").collect()} == {"a", "b"}
+
+
 def test_hunts_read_the_event_view_alone(spark, tmp_path):
     columns = ", ".join(f"c{k} int" for k in range(40))
     events = spark.createDataFrame([("a", 1, "UnresolvedRelation [x]", [1, 2], *range(40)), ("b", 2, "identifier('x')", None, *range(40))], f"event_id string, k int, str string, list array<int>, {columns}")

@@ -76,7 +76,8 @@ def cluster_events(events: DataFrame, entities: Column | None = None) -> DataFra
     edge per distinct entity pair that meets in an event and no event pairs are built.
     """
     # Entities are made once a row, on dealt rows, and stored, as they are joined and counted several times.
-    tagged = cut_lineage(parse_once(events, entities if entities is not None else entity_array(), "entities").select("event_id", "timestamp", "entities")
+    tagged = cut_lineage(parse_once(events, entities if entities is not None else entity_array(), "_made")       # events may have entities of their own
+                         .select("event_id", "timestamp", F.col("_made").alias("entities"))
                          .filter(F.size("entities") > 0).withColumn("anchor", F.col("entities")[0]))
     edges = tagged.select(F.col("anchor").alias("a"), F.explode(F.slice("entities", 2, F.size("entities"))).alias("b")).distinct()
     labels = connected_components(edges)
@@ -221,7 +222,7 @@ def causal_chain(events: DataFrame, start_event: str, max_depth: int = 5, max_ev
     """
     spark = events.sparkSession
     # Ids behind a one-row explode: computed once a row, and where the rows have been dealt to, not in the few tasks that read the files.
-    tagged = parse_once(events, causal_ids(), "ids").select("event_id", "timestamp", "ids")
+    tagged = parse_once(events, causal_ids(), "_made").select("event_id", "timestamp", F.col("_made").alias("ids"))
     found: list[tuple[str, int]] = []
     seen: set[str] = set()
     frontier = tagged.filter(F.col("event_id") == start_event).select("event_id", "ids").limit(1).collect()
