@@ -49,6 +49,17 @@ def test_few_pairs_are_measured_in_double_precision(monkeypatch):
     assert len(r) == 10_000 and sum(seen) < 20_000           # of 8 million pairs
 
 
+def test_few_pairs_of_near_copies_are_measured(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = (rng.standard_normal(16) + 1e-4 * rng.standard_normal((5000, 16))).astype("<f4")
+    side = lambda a, b, k=None: V._Side([(np.arange(a, b).tobytes(), np.zeros(b - a, bool).tobytes(), rows[a:b].tobytes())], "<f4", k)
+    q, v, seen, measured = side(0, 300), side(300, 5000, 10), [], V._measured
+    want = np.lexsort((np.broadcast_to(v.ids, (300, len(v.ids))), measured(q, v, *np.divmod(np.arange(300 * len(v.ids)), len(v.ids))).reshape(300, -1)), axis=1)[:, :10]
+    monkeypatch.setattr(V, "_measured", lambda q, v, r, c: seen.append(len(r)) or measured(q, v, r, c))
+    r, c, d = V._best(q, v, 10)
+    assert (c[np.lexsort((d, r))].reshape(300, 10) == want).all() and sum(seen) < 40_000           # of 1.4 million pairs, all nearer to each other than single precision tells
+
+
 def test_copies_are_held_k_times():
     rows = np.repeat(np.random.default_rng(5).standard_normal((5, 16)), 200, axis=0)
     v = V._Side([(np.arange(1000)[::-1].tobytes(), np.zeros(1000, bool).tobytes(), rows.tobytes())], "<f8", 3)

@@ -114,7 +114,10 @@ class _Side:
             kept = np.sort(at[_places(group[at]) < k])
             ids, given, square, far = ids[kept], given[kept], square[kept], far[kept]
         self.ids, self.given, self.square, self.far = ids, given, square, far
-        self.unit = (given / np.sqrt(square)[:, None]).astype(np.float32)
+        self.unit = self.direction(slice(None)).astype(np.float32)
+
+    def direction(self, rows) -> np.ndarray:
+        return self.given[rows] / np.sqrt(self.square[rows])[:, None]
 
 
 def _places(keys: np.ndarray) -> np.ndarray:
@@ -139,7 +142,7 @@ def _best(q: _Side, v: _Side, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     Products in single precision are off by less than ``slack``. A pair whose product is below a query's k-th largest by more than twice
     that has k nearer ones and goes no further; what is left is measured.
     """
-    found, slack = [], np.float32((q.given.shape[1] + 8) * 2.0 ** -23)
+    found, slack, fine_slack = [], np.float32((q.given.shape[1] + 8) * 2.0 ** -23), (q.given.shape[1] + 8) * 2.0 ** -51
     for far in (NAN, NULL):                                               # all vectors with a direction are equally far from these
         rows, some = np.flatnonzero(q.far == far), np.lexsort((v.ids, np.maximum(v.far, far)))[:k]
         found.append((np.repeat(rows, len(some)), np.tile(some, len(rows)), np.tile(np.maximum(v.far[some], far), len(rows))))
@@ -159,6 +162,9 @@ def _best(q: _Side, v: _Side, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
                 bound = np.partition(np.where(far, -np.inf, product), -k, axis=1)[:, -k] - 2 * slack
             np.greater_equal(product, bound[:, None], out=marks[:n].reshape(product.shape))
             some = _marked(marks, n)
+            if len(some) > max(n // 16, 4 * k * len(rows)):               # very many are about equally near: the products in double precision rule out more
+                fine = np.where(far, -np.inf, q.direction(rows) @ v.direction(slice(at, at + TILE_V)).T)
+                some = np.flatnonzero(marks[:n].reshape(product.shape) & (fine >= np.partition(fine, -k, axis=1)[:, -k, None] - 2 * fine_slack))
             r, c = np.divmod(some, len(stored))
             held.append((r, c + at, np.where(far[c], np.float32(-2), products[some])))
             waiting += len(r)
